@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,7 +58,9 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def tables(spark: SparkSession, sf_dir: str, *names: str) -> TableSet:
-    return TableSet({n: read(spark, sf_dir, n) for n in (names or STAR + OTHER)})
+    chosen = list(names or STAR + OTHER)
+    with ThreadPoolExecutor(max_workers=8) as pool:
+        return TableSet(zip(chosen, pool.map(lambda n: read(spark, sf_dir, n), chosen)))
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:

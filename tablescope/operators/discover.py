@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import canonical_key, classifiable, clean, col, is_boolean, is_datetime, is_integral, is_number
-from ..sources.tables import sample_values
+from ..sources.tables import row_draws, sample_values
 from .stats import measure
 
 # Fixed values.
@@ -65,22 +65,25 @@ def classify_columns(columns: DataFrame) -> DataFrame:
     )
 
 
-def columns_table(
-    tables: dict[str, DataFrame], exact: bool = False, samples: int = 3, hashing: str = "xxhash64"
-) -> DataFrame:
+def columns_table(tables: dict[str, DataFrame], exact: bool = False, samples: int = 3) -> DataFrame:
     """One classified row per column of every table.  Tables are measured side by side."""
     spark = next(iter(tables.values())).sparkSession
 
     def one(item):
         pos, (name, df) = item
         plain = [f.name for f in df.schema.fields if classifiable(f.dataType)]
-        extra = {f"s_{c}": sample_values(df, c, samples, hashing) for c in plain} if samples else {}
-        stats, drawn = measure(df, exact, extra)
+        draws = row_draws(df, plain) if samples and plain else []
+        stats, drawn = measure(df, exact, {f"row{i}": d for i, d in enumerate(draws)})
+        values = {c: [row[i] for row in drawn.values() if row and row[i] is not None][:samples] for i, c in enumerate(plain)}
+        # Columns too sparse to be met in whole rows are drawn on their own.
+        sparse = [s.column for s in stats if s.column in values and len(values[s.column]) < min(samples, s.n_rows - s.n_missing)]
+        if sparse:
+            found = df.agg(*[sample_values(df, c, samples).alias(f"s{i}") for i, c in enumerate(sparse)]).first()
+            values.update({c: [v for v in found[f"s{i}"] if v is not None] for i, c in enumerate(sparse)})
         return [
             (
                 name, pos, s.ordinal, s.column, s.dtype, kind_of(df.schema[s.column].dataType), s.n_rows,
-                s.n_missing, s.n_distinct,
-                [v for v in drawn.get(f"s_{s.column}") or [] if v is not None],
+                s.n_missing, s.n_distinct, values.get(s.column, []),
             )
             for s in stats
         ]

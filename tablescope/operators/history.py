@@ -166,7 +166,8 @@ class HistoryStore:
     def _write(self, tables: dict[str, DataFrame]) -> int:
         v = self.version() + 1
         for name, df in tables.items():
-            df.write.mode("overwrite").partitionBy("schema_hash").parquet(
+            # Rebalancing keeps a family in few files but splits one that is very large.
+            df.hint("rebalance", "schema_hash").write.mode("overwrite").partitionBy("schema_hash").parquet(
                 f"{self.root}/v{v}/{name}"
             )
         # The version counts from the moment its mark exists, after all three tables are complete.

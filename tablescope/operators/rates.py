@@ -92,7 +92,7 @@ def seasonal_spikes(df: DataFrame, ts: str, value: str | Column, sds: float = 2.
     required(df, ts)
     months = (
         df.where(col(ts).isNotNull())
-        .groupBy(F.date_trunc("month", col(ts)).alias("month"))
+        .groupBy(F.trunc(col(ts).cast("date"), "month").alias("month"))
         .agg(F.sum(value_of(df, value)).cast("double").alias("total"))
     )
     stats = months.agg((F.avg("total") + sds * F.stddev_samp("total")).alias("limit")).scalar()

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions import canonical_key, classifiable, clean, col, is_floating, is_missing, is_number
+from ..functions import classifiable, clean, col, is_boolean, is_floating, is_integral, is_missing, is_number
 
 # A category changes only at these points, so only near them must an estimate be made exact.
 CLOSE_COUNT = 200
@@ -35,26 +36,36 @@ def approx_distinct(value: Column) -> Column:
     return F.hll_sketch_estimate(F.hll_sketch_agg(hashed, SKETCH_BITS))
 
 
+def _comparable(df: DataFrame, name: str) -> tuple[str, Column]:
+    """A type family and the column in it, so that many columns share one shuffle per family."""
+    dtype, value = df.schema[name].dataType, clean(df, name)
+    if is_integral(dtype) or is_boolean(dtype):
+        return "long", value.cast("long")
+    if is_floating(dtype):
+        return "double", value.cast("double")
+    if isinstance(dtype, T.StringType):
+        # Long texts travel as their sha-256.
+        return "string", F.when(F.length(value) > 64, F.sha2(value, 256)).otherwise(value)
+    return dtype.simpleString(), value
+
+
 def exact_distinct(df: DataFrame, names: list[str]) -> DataFrame:
-    """(column, n_distinct) for many columns with one shuffle of their distinct values.
+    """(column, n_distinct) for many columns.
 
-    Each row gives one (column, value) cell; equal cells combine before the shuffle.  Long texts travel as
-    their sha-256.
+    Each column is a scan of its own that reads nothing else; equal values combine before the shuffle, and
+    columns of one type family share it.
     """
-    cells = []
-    for i, name in enumerate(names):
-        text = canonical_key(df, name)
-        text = F.when(F.length(text) > 64, F.sha2(text, 256)).otherwise(text)
-        cells.append(F.struct(F.lit(i).alias("i"), text.alias("v")))
-    labels = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(i), F.lit(n))])
-    return (
-        df.select(F.explode(F.array(*cells)).alias("c"))
-        .where(F.col("c.v").isNotNull())
-        .select("c.i", "c.v")
-        .distinct()
-        .groupBy("i")
-        .agg(F.count("*").alias("n_distinct"))
-        .select(F.element_at(labels, F.col("i")).alias("column"), "n_distinct")
+    families: dict[str, list[DataFrame]] = {}
+    for name in names:
+        family, value = _comparable(df, name)
+        cells = df.select(F.lit(name).alias("column"), value.alias("v")).where(F.col("v").isNotNull())
+        families.setdefault(family, []).append(cells)
+    return reduce(
+        DataFrame.unionAll,
+        [
+            reduce(DataFrame.unionAll, parts).distinct().groupBy("column").agg(F.count("*").alias("n_distinct"))
+            for parts in families.values()
+        ],
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -108,13 +109,15 @@ def load_table_set(
     absent = [n for n in names if n not in found]
     if absent:
         raise FileNotFoundError(f"no table {absent} in {folder}")
-    out = TableSet()
-    for name in names:
+
+    def load(name: str) -> DataFrame:
         if fmt == "csv":
-            out[name] = next(iter(load_csv(spark, found[name]).values()))
-        else:
-            out[name] = spark.read.format(fmt).load(found[name])
-    return out.register()
+            return next(iter(load_csv(spark, found[name]).values()))
+        return spark.read.format(fmt).load(found[name])
+
+    # Schemas are read side by side.
+    with ThreadPoolExecutor(max_workers=8) as pool:
+        return TableSet(zip(names, pool.map(load, names))).register()
 
 
 def _children(spark: SparkSession, folder: str) -> list[str]:
@@ -201,9 +204,9 @@ def as_text(df: DataFrame, name: str) -> Column:
 
 
 def sample_values(df: DataFrame, name: str, k: int = 3, hashing: str = "xxhash64") -> Column:
-    """An aggregate giving k example values, each the value with the least of k hashes.
+    """An aggregate giving k non-missing values, each the value with the least of k hashes.
 
-    One bounded buffer per value and column, so all columns sample in one pass; a value can be drawn twice.
+    The buffer is k values, so all columns can sample in one pass; a value can be drawn twice.
     """
     value = as_text(df, name)
     if hashing == "md5":
@@ -219,6 +222,17 @@ def sample_values(df: DataFrame, name: str, k: int = 3, hashing: str = "xxhash64
     return F.array(*draws)
 
 
+def row_draws(df: DataFrame, names: list[str], k: int = 6) -> list[Column]:
+    """Aggregates giving k whole rows as text, each the row with the least of k hashes.
+
+    Far cheaper than drawing per column: one hash per row, over the columns that are not text if there are any.
+    """
+    short = [n for n in names if not isinstance(df.schema[n].dataType, T.StringType)] or names
+    row = F.xxhash64(*[col(n) for n in short])
+    cells = F.array(*[as_text(df, n) for n in names])
+    return [F.min_by(cells, F.xxhash64(F.lit(i), row)) for i in range(k)]
+
+
 def column_samples(df: DataFrame, k: int = 3, hashing: str = "xxhash64") -> DataFrame:
     """k non-missing example values per column, as strings."""
     names = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType))]
