@@ -90,7 +90,8 @@ def columns_table(tables: dict[str, DataFrame], exact: bool = False, samples: in
 
     with ThreadPoolExecutor(max_workers=8) as pool:
         rows = [r for part in pool.map(one, enumerate(tables.items())) for r in part]
-    return classify_columns(spark.createDataFrame(rows, COLUMNS_SCHEMA))
+    # One small row per column: a single partition needs no shuffles later.
+    return classify_columns(spark.createDataFrame(rows, COLUMNS_SCHEMA).coalesce(1))
 
 
 def tables_table(columns: DataFrame) -> DataFrame:
@@ -221,52 +222,53 @@ def key_overlap(tables: dict[str, DataFrame], candidates: list) -> dict:
     return out
 
 
-def sampled_overlap(tables: dict[str, DataFrame], candidates: list, k: int = 500) -> dict:
+def sampled_overlap(tables: dict[str, DataFrame], candidates: list, k: int = 500) -> tuple[dict, dict]:
     """Overlap from the k md5-smallest distinct values of one side, looked up in the whole other side.
 
-    Sampling both sides would miss most matches.  Result: candidate -> {side a | b: (sample size, found)}.
+    Sampling both sides would miss most matches.  Results: candidate -> {side a | b: (sample size, found)}, and
+    (table, column) -> exact distinct count, since uniqueness cannot be read off a sample.
     """
     sides, place = _sides(tables, candidates)
     integral = _integral_groups(tables, sides)
-    picked = reduce(
+    spark = tables[sides[0].table].sparkSession
+    families = [c for c in ([s for s in sides if s.group in integral], [s for s in sides if s.group not in integral]) if c]
+    # The k smallest per column are kept inside each task before they are brought together.
+    least = Window.partitionBy("g", "i").orderBy(F.md5("v"), "v")
+    picks, sizes = [], []
+    for chosen in families:
+        distinct = _values(tables, chosen, integral).distinct()
+        sizes.append(distinct.groupBy("g", "i").agg(F.count("*").alias("n")))
+        text = distinct.select("g", "i", F.col("v").cast("string").alias("v"))
+        picks.append(text.withColumn("r", F.row_number().over(least)).where(F.col("r") <= k).select("g", "i", "v"))
+    counts = {(r["g"], r["i"]): r["n"] for r in reduce(DataFrame.unionAll, sizes).collect()}
+    # At most k values per column, whatever the tables' size.
+    drawn = [tuple(r) for r in reduce(DataFrame.unionAll, picks).collect()]
+    small = F.broadcast(spark.createDataFrame(drawn, "g int, sample int, v string"))
+    probed = reduce(
         DataFrame.unionAll,
-        [
-            _values(tables, [s], integral)
-            .select("g", "i", F.col("v").cast("string").alias("v"))
-            .distinct()
-            .orderBy(F.md5("v"), "v")
-            .limit(k)
-            for s in sides
-        ],
-    ).cache()
-    try:
-        sizes = {(r["g"], r["i"]): r["n"] for r in picked.groupBy("g", "i").agg(F.count("*").alias("n")).collect()}
-        # At most k values per column, whatever the tables' size.
-        small = F.broadcast(picked.select("g", F.col("i").alias("sample"), "v"))
-        probed = reduce(
-            DataFrame.unionAll,
-            [_values(tables, [s], integral).select("g", "i", F.col("v").cast("string").alias("v")) for s in sides],
-        )
-        hits = (
-            probed.join(small, ["g", "v"])
-            .where(F.col("i") != F.col("sample"))
-            .select("g", "sample", "i", "v")
-            .distinct()
-            .groupBy("g", "sample", "i")
-            .agg(F.count("*").alias("n"))
-            .collect()
-        )
-    finally:
-        picked.unpersist()
+        [_values(tables, chosen, integral).select("g", "i", F.col("v").cast("string").alias("v")) for chosen in families],
+    )
+    hits = (
+        probed.join(small, ["g", "v"])
+        .where(F.col("i") != F.col("sample"))
+        .select("g", "sample", "i", "v")
+        .distinct()
+        .groupBy("g", "sample", "i")
+        .agg(F.count("*").alias("n"))
+        .collect()
+    )
     found = {(r["g"], r["sample"], r["i"]): r["n"] for r in hits}
+    taken: dict = {}
+    for g, i, _ in drawn:
+        taken[(g, i)] = taken.get((g, i), 0) + 1
     out = {}
     for c in candidates:
         (g, ia), (_, ib) = place[(c["table_a"], c["column_a"])], place[(c["table_b"], c["column_b"])]
         out[c] = {
-            "a": (sizes.get((g, ia), 0), found.get((g, ia, ib), 0)),
-            "b": (sizes.get((g, ib), 0), found.get((g, ib, ia), 0)),
+            "a": (taken.get((g, ia), 0), found.get((g, ia, ib), 0)),
+            "b": (taken.get((g, ib), 0), found.get((g, ib, ia), 0)),
         }
-    return out
+    return out, {node: counts.get(at, 0) for node, at in place.items()}
 
 
 MEASURED_SCHEMA = (
@@ -276,12 +278,17 @@ MEASURED_SCHEMA = (
 
 
 def verify_overlap(
-    tables: dict[str, DataFrame], candidates: DataFrame, method: str = "exact", k: int = 500
+    tables: dict[str, DataFrame],
+    candidates: DataFrame,
+    method: str = "exact",
+    k: int = 500,
+    filled: dict[tuple[str, str], int] | None = None,
 ) -> DataFrame:
     """Check candidates on their values and grade them (the relationships table).
 
     A candidate whose table is absent passes unchanged; one whose column is absent or empty, or whose
-    overlap is below 0.15, is dropped.  ``method`` is ``exact`` or ``sampled``.
+    overlap is below 0.15, is dropped.  ``method`` is ``exact`` or ``sampled``; ``filled`` gives the non-missing cells
+    per (table, column) if they are known already.
     """
     spark = candidates.sparkSession
     rows = candidates.collect()  # bounded by the schema
@@ -293,10 +300,9 @@ def verify_overlap(
     passed = [c for c in rows if c["table_a"] not in tables or c["table_b"] not in tables]
     measured = []
     if known:
-        filled = _filled(tables, known)
+        filled = filled or _filled(tables, known)
         exact = key_overlap(tables, known) if method == "exact" else None
-        drawn = sampled_overlap(tables, known, k) if method == "sampled" else None
-        distinct = None if exact else _distinct_of(tables, known)
+        drawn, distinct = sampled_overlap(tables, known, k) if method == "sampled" else (None, None)
         for c in known:
             na, nb = filled[(c["table_a"], c["column_a"])], filled[(c["table_b"], c["column_b"])]
             if not na or not nb:
@@ -319,7 +325,7 @@ def verify_overlap(
          None, None, None, None)
         for c in passed
     ]
-    return grade(spark.createDataFrame(measured, MEASURED_SCHEMA))
+    return grade(spark.createDataFrame(measured, MEASURED_SCHEMA).coalesce(1))
 
 
 def _nodes(candidates) -> list[tuple[str, str]]:
@@ -346,19 +352,6 @@ def _filled(tables, candidates) -> dict:
     return {(r["t"], r["c"]): r["n"] for r in reduce(DataFrame.unionAll, parts).collect()}
 
 
-def _distinct_of(tables, candidates) -> dict:
-    """Exact distinct counts; uniqueness cannot be read off a sample."""
-    sides, _ = _sides(tables, candidates)
-    integral = _integral_groups(tables, sides)
-    parts = [
-        _values(tables, chosen, integral).distinct().groupBy("g", "i").agg(F.count("*").alias("n"))
-        for chosen in ([s for s in sides if s.group in integral], [s for s in sides if s.group not in integral])
-        if chosen
-    ]
-    counts = {(r["g"], r["i"]): r["n"] for r in reduce(DataFrame.unionAll, parts).collect()}
-    return {(s.table, s.column): counts.get((s.group, s.index), 0) for s in sides}
-
-
 def grade(measured: DataFrame) -> DataFrame:
     """Confidence, cardinality, join hint and suggestion text from measured overlaps."""
     ua, ub = F.col("unique_a"), F.col("unique_b")
@@ -422,7 +415,8 @@ def discover(
 ) -> Discovery:
     """Classify all columns, propose joins by name and check them on values."""
     columns = columns_table(tables, exact_stats, samples)
-    relationships = verify_overlap(tables, name_candidates(columns), method, k)
+    filled = {(r["table"], r["column"]): r["n_rows"] - r["n_missing"] for r in columns.collect()}
+    relationships = verify_overlap(tables, name_candidates(columns), method, k, filled)
     return Discovery(tables_table(columns), columns, relationships)
 
 

@@ -82,7 +82,8 @@ def outlier_report(
     if skip_discrete and names:
         stats = stats or measure(df.select(*[col(c) for c in names]))[0]
         names = [c for c in names if c not in discrete(stats)]
-    found = quantiles(df, {c: value_of(df, c) for c in names}, [0.25, 0.75], method)
+    n = stats[0].n_rows if stats else None
+    found = quantiles(df, {c: value_of(df, c) for c in names}, [0.25, 0.75], method, n)
     fences = {}
     for c, (q1, q3) in found.items():
         if q1 is not None:
@@ -203,59 +204,88 @@ def pearson(x: Column, y: Column) -> Column:
 
 def _ratio(cov: Column, vx: Column, vy: Column, flat_x: Column, flat_y: Column) -> Column:
     r = F.try_divide(cov, F.sqrt(vx) * F.sqrt(vy))
-    return F.when(~(flat_x | flat_y), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+    return F.when(~(flat_x | flat_y) & ~F.isnan(r), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
 
 
-def _pairs_row(df: DataFrame, pairs: list[tuple[str, str]], complete: set[str]) -> DataFrame:
-    """(col_x, col_y, r, n) of some pairs from one aggregate.
+@dataclass(frozen=True)
+class Moments:
+    """What one pass over a column tells the correlation pass."""
+
+    missing: int
+    mean: float | None
+    flat: bool
+
+
+def moment_aggregates(df: DataFrame, names: list[str]) -> dict[str, Column]:
+    out = {}
+    for i, c in enumerate(names):
+        v = value_of(df, c)
+        out.update({f"cm{i}": F.count_if(v.isNull()), f"ca{i}": F.avg(v), f"cf{i}": F.min(v) == F.max(v)})
+    return out
+
+
+def moments_from(names: list[str], row) -> dict[str, Moments]:
+    return {c: Moments(row[f"cm{i}"], row[f"ca{i}"], row[f"cf{i}"] is not False) for i, c in enumerate(names)}
+
 
-    Columns without missing values share their variance and extremes over all their pairs.
+def _pairs_row(df: DataFrame, pairs: list[tuple[str, str]], known: dict[str, Moments]) -> DataFrame:
+    """(col_x, col_y, r, n) of some pairs from one aggregate of plain sums of deviations from the means.
+
+    Columns without missing values share their own sums over all their pairs.
     """
     names = sorted({c for p in pairs for c in p})
-    at = {c: f"v{i}" for i, c in enumerate(names)}
-    values = df.select(*[value_of(df, c).alias(at[c]) for c in names])
+    at = {c: F.col(f"d{i}") for i, c in enumerate(names)}
+    values = df.select(*[(value_of(df, c) - F.lit(known[c].mean)).alias(f"d{i}") for i, c in enumerate(names)])
+    whole = {c for c in names if known[c].missing == 0}
     aggs = [F.count("*").alias("n")]
-    whole = [p for p in pairs if p[0] in complete and p[1] in complete]
-    for c in {c for p in whole for c in p}:
-        aggs += [
-            F.var_pop(at[c]).alias(f"var_{at[c]}"),
-            (F.min(at[c]) == F.max(at[c])).alias(f"flat_{at[c]}"),
-        ]
+    for i, c in enumerate(names):
+        if c in whole:
+            aggs += [F.sum(at[c]).alias(f"s{i}"), F.sum(at[c] * at[c]).alias(f"q{i}")]
     cells = []
     for i, (x, y) in enumerate(pairs):
-        vx, vy = F.col(at[x]), F.col(at[y])
-        if (x, y) in whole:
-            aggs.append(F.covar_pop(vx, vy).alias(f"c{i}"))
-            r = _ratio(
-                F.col(f"c{i}"), F.col(f"var_{at[x]}"), F.col(f"var_{at[y]}"), F.col(f"flat_{at[x]}"), F.col(f"flat_{at[y]}")
-            )
-            n = F.col("n")
+        dx, dy = at[x], at[y]
+        aggs.append(F.sum(dx * dy).alias(f"p{i}"))
+        if x in whole and y in whole:
+            sx, qx, sy, qy = (F.col(f"{k}{names.index(c)}") for c in (x, y) for k in ("s", "q"))
+            n, flat = F.col("n"), F.lit(known[x].flat or known[y].flat)
         else:
-            aggs += [pearson(vx, vy).alias(f"r{i}"), F.count_if(vx.isNotNull() & vy.isNotNull()).alias(f"n{i}")]
-            r, n = F.col(f"r{i}"), F.col(f"n{i}")
-        # Fewer than two rows make a column constant, hence null.
-        cells.append(F.struct(F.lit(x).alias("col_x"), F.lit(y).alias("col_y"), r.alias("r"), n.alias("n")))
-    return values.agg(*aggs).select(F.inline(F.array(*cells)))
+            px, py = F.when(dy.isNotNull(), dx), F.when(dx.isNotNull(), dy)
+            aggs += [
+                F.count_if(dx.isNotNull() & dy.isNotNull()).alias(f"n{i}"),
+                F.sum(px).alias(f"sx{i}"), F.sum(px * px).alias(f"qx{i}"),
+                F.sum(py).alias(f"sy{i}"), F.sum(py * py).alias(f"qy{i}"),
+                F.coalesce((F.min(px) == F.max(px)) | (F.min(py) == F.max(py)), F.lit(True)).alias(f"f{i}"),
+            ]
+            sx, qx, sy, qy = (F.col(f"{k}{i}") for k in ("sx", "qx", "sy", "qy"))
+            n, flat = F.col(f"n{i}"), F.col(f"f{i}")
+        sums = {"n": n, "p": F.col(f"p{i}"), "sx": sx, "qx": qx, "sy": sy, "qy": qy, "flat": flat}
+        cells.append(F.struct(F.lit(x).alias("col_x"), F.lit(y).alias("col_y"), *[v.alias(k) for k, v in sums.items()]))
+    # One row per pair first, so that the formula is compiled once and not once per pair.
+    rows = values.agg(*aggs).select(F.inline(F.array(*cells)))
+    part = lambda q, a, b: F.try_divide(F.col(q), F.col("n")) - F.try_divide(F.col(a) * F.col(b), F.col("n") * F.col("n").cast("double"))  # noqa: E731,E501
+    r = _ratio(part("p", "sx", "sy"), part("qx", "sx", "sx"), part("qy", "sy", "sy"), F.col("flat"), F.lit(False))
+    return rows.select("col_x", "col_y", r.alias("r"), "n")
 
 
 CORRELATIONS_SCHEMA = "col_x string, col_y string, r double, n long"
 
 
-def correlations_of(df: DataFrame, pairs: list[tuple[str, str]], complete: set[str] | None = None) -> DataFrame:
-    """Correlations of the given column pairs."""
+def correlations_of(
+    df: DataFrame, pairs: list[tuple[str, str]], known: dict[str, Moments] | None = None
+) -> DataFrame:
+    """Correlations of the given column pairs: a pass for the means, unless known, and one for the sums."""
     if not pairs:
         return df.sparkSession.createDataFrame([], CORRELATIONS_SCHEMA)
-    required(df, *[c for p in pairs for c in p])
-    if complete is None:
-        names = sorted({c for p in pairs for c in p})
-        row = df.agg(*[F.count_if(is_missing(df, c)).alias(f"m{i}") for i, c in enumerate(names)]).first()
-        complete = {c for i, c in enumerate(names) if row[f"m{i}"] == 0}
+    names = sorted({c for p in pairs for c in p})
+    required(df, *names)
+    if known is None:
+        known = moments_from(names, df.agg(*[a.alias(k) for k, a in moment_aggregates(df, names).items()]).first())
     blocks = [pairs[i : i + PAIRS_PER_PASS] for i in range(0, len(pairs), PAIRS_PER_PASS)]
-    return reduce(DataFrame.unionAll, [_pairs_row(df, block, complete) for block in blocks])
+    return reduce(DataFrame.unionAll, [_pairs_row(df, block, known) for block in blocks])
 
 
 def correlations(
-    df: DataFrame, columns: list[str] | None = None, matrix: bool = False, complete: set[str] | None = None
+    df: DataFrame, columns: list[str] | None = None, matrix: bool = False, known: dict[str, Moments] | None = None
 ) -> DataFrame:
     """Pairwise-complete Pearson r of all numeric and boolean columns, and the row count of each pair.
 
@@ -265,8 +295,8 @@ def correlations(
     names = usable if columns is None else [c for c in columns if c in usable]
     pairs = list(combinations(names, 2))
     if not matrix:
-        return correlations_of(df, pairs, complete)
-    one = correlations_of(df, pairs + [(c, c) for c in names], complete)
+        return correlations_of(df, pairs, known)
+    one = correlations_of(df, pairs + [(c, c) for c in names], known)
     flipped = one.where("col_x <> col_y").select(F.col("col_y").alias("col_x"), F.col("col_x").alias("col_y"), "r", "n")
     return one.withColumn("r", F.when((F.col("col_x") == F.col("col_y")) & F.col("r").isNotNull(), 1.0).otherwise(F.col("r"))).unionAll(flipped)
 
@@ -282,14 +312,14 @@ def full_profile(
     df: DataFrame, skip_discrete: bool = True, corr_columns: list[str] | None = None, method: str = "auto"
 ) -> Profile:
     """Outliers, missing data and correlations of one table."""
-    stats, _ = measure(df)
-    complete = {s.column for s in stats if s.n_missing == 0}
+    names = correlated_columns(df)
+    stats, row = measure(df, extra=moment_aggregates(df, names))
     report = missing_report(df)
     return Profile(
         outliers=outlier_report(df, skip_discrete=skip_discrete, method=method, stats=stats),
         missing=report,
         missing_total=missing_total(report),
-        correlations=correlations(df, corr_columns, complete=complete),
+        correlations=correlations(df, corr_columns, known=moments_from(names, row)),
     )
 
 

@@ -1,10 +1,9 @@
 """Exact quantiles (linear interpolation) of many columns at any size.
 
-``percentile`` keeps every distinct value of a column in one task's memory, so it is used only
-where the distinct count is known to be small.  Beyond that a sketch gives, per target, a bracket that
-must hold the wanted ranks; one more pass counts the rows below each bracket and the values inside
-it, which are a few ten-thousandths of the rows.  The answer is exact: the counts prove that the
-ranks lie inside, and a bracket that fails the proof is widened and counted again.
+``percentile`` sends every task's distinct values to one task, so it is used only while rows x columns are few.
+Beyond that a sketch gives, per target, a bracket that must hold the wanted ranks; one more pass counts the rows
+below each bracket and the values inside it, which are a few thousandths of the rows.  The answer is exact: the
+counts prove that the ranks lie inside, and a bracket that fails the proof is widened and counted again.
 """
 
 from __future__ import annotations
@@ -15,16 +14,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .ranges import running
 
-SMALL_DISTINCT = 100_000
+SMALL_CELLS = 20_000_000
 ACCURACY = 10_000
+BRACKET_ACCURACY = 2_000  # sketches of all tasks meet in one task, so they are kept small
 
 
 def quantiles(
-    df: DataFrame,
-    columns: dict[str, Column],
-    probs: list[float],
-    method: str = "auto",
-    small_distinct: int = SMALL_DISTINCT,
+    df: DataFrame, columns: dict[str, Column], probs: list[float], method: str = "auto", n_rows: int | None = None
 ) -> dict[str, list[float | None]]:
     """Quantiles per column as driver values: len(columns) x len(probs) numbers.
 
@@ -33,56 +29,47 @@ def quantiles(
     """
     if not columns:
         return {}
+    if method == "auto":
+        n_rows = df.count() if n_rows is None else n_rows
+        method = "percentile" if n_rows * len(columns) <= SMALL_CELLS else "bracket"
     values = df.select(*[expr.cast("double").alias(f"v{i}") for i, expr in enumerate(columns.values())])
-    names = list(columns)
-    small = list(range(len(names)))
-    large: list[int] = []
     if method == "bracket":
-        small, large = [], small
-    elif method == "auto":
-        row = values.agg(*[F.hll_sketch_estimate(F.hll_sketch_agg(F.when(F.col(f"v{i}").isNotNull(), F.xxhash64(f"v{i}")))).alias(f"d{i}")
-                for i in small]).first()
-        large = [i for i in small if (row[f"d{i}"] or 0) > small_distinct]
-        small = [i for i in small if i not in large]
-    out: dict[str, list[float | None]] = {}
-    if small:
-        wanted = F.array(*[F.lit(float(p)) for p in probs])
-        make = (
-            (lambda c: F.percentile_approx(c, [float(p) for p in probs], ACCURACY))
-            if method == "approx"
-            else (lambda c: F.percentile(c, wanted))
-        )
-        row = values.agg(*[make(F.col(f"v{i}")).alias(f"q{i}") for i in small]).first()
-        for i in small:
-            out[names[i]] = list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs)
-    if large:
-        out.update({names[i]: q for i, q in _bracketed(values, large, probs).items()})
-    return {name: out[name] for name in names}
+        found = _bracketed(values, list(range(len(columns))), probs)
+        return {name: found[i] for i, name in enumerate(columns)}
+    wanted = [float(p) for p in probs]
+    make = (lambda c: F.percentile_approx(c, wanted, ACCURACY)) if method == "approx" else (lambda c: F.percentile(c, wanted))
+    row = values.agg(*[make(F.col(f"v{i}")).alias(f"q{i}") for i in range(len(columns))]).first()
+    return {
+        name: [None] * len(probs) if row[f"q{i}"] is None else list(row[f"q{i}"]) for i, name in enumerate(columns)
+    }
 
 
 def _bracketed(values: DataFrame, columns: list[int], probs: list[float]) -> dict[int, list[float | None]]:
     result: dict[int, list[float | None]] = {i: [None] * len(probs) for i in columns}
     pending = [(i, j) for i in columns for j in range(len(probs))]
-    slack = 2.0 / ACCURACY
-    counts: dict[int, int] = {}
+    slack = 2.0 / BRACKET_ACCURACY
     while pending:
-        marks = []
-        for i, j in pending:
-            edges = [max(0.0, probs[j] - slack), min(1.0, probs[j] + slack)]
-            marks.append(F.percentile_approx(f"v{i}", edges, ACCURACY).alias(f"b{i}_{j}"))
         touched = sorted({i for i, _ in pending})
+        edges = {
+            i: sorted({min(1.0, max(0.0, probs[j] + s)) for c, j in pending if c == i for s in (-slack, slack)})
+            for i in touched
+        }
         first = values.agg(
-            *[F.count(f"v{i}").alias(f"n{i}") for i in touched],
-            *[F.min(f"v{i}").alias(f"lo{i}") for i in touched],
-            *[F.max(f"v{i}").alias(f"hi{i}") for i in touched],
-            *marks,
+            *[
+                a
+                for i in touched
+                for a in (
+                    F.count(f"v{i}").alias(f"n{i}"), F.min(f"v{i}").alias(f"lo{i}"), F.max(f"v{i}").alias(f"hi{i}"),
+                    F.percentile_approx(f"v{i}", edges[i], BRACKET_ACCURACY).alias(f"b{i}"),
+                )
+            ]
         ).first()
-        counts.update({i: first[f"n{i}"] for i in touched})
+        counts = {i: first[f"n{i}"] for i in touched}
         brackets = {}
         for i, j in pending:
             if counts[i] == 0:
                 continue
-            low, high = first[f"b{i}_{j}"]
+            low, high = (first[f"b{i}"][edges[i].index(min(1.0, max(0.0, probs[j] + s)))] for s in (-slack, slack))
             # At the ends the true minimum or maximum is used, so widening always ends.
             low = first[f"lo{i}"] if probs[j] - slack <= 0 else low
             high = first[f"hi{i}"] if probs[j] + slack >= 1 else high

@@ -30,7 +30,7 @@ def hot_keys(df: DataFrame, key: Column, min_rows: int) -> list:
     """
     row = df.where(key.isNotNull()).agg(
         F.count("*").alias("n"),
-        F.call_function("approx_top_k", key, F.lit(HOT_LIMIT), F.lit(HOT_LIMIT * 50)).alias("top"),
+        F.call_function("approx_top_k", key, F.lit(HOT_LIMIT), F.lit(HOT_LIMIT * 10)).alias("top"),
     ).first()
     if row["n"] < min_rows:
         return []
