@@ -8,7 +8,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import clean, required, value_of
-from ..plans.ranges import Layout, running
+from ..plans.ranges import Layout, over_layout
 
 
 def entity_totals(df: DataFrame, entity: str, value: str | Column) -> DataFrame:
@@ -46,11 +46,11 @@ def pareto_tiers(
     df: DataFrame, entity: str, value: str | Column, high: float = 0.8, mid: float = 0.95
 ) -> DataFrame:
     """Each entity's tier: High until ``high`` of the total is reached, then Mid until ``mid``, then Tail."""
-    totals = entity_totals(df, entity, value)
-    ranked = running(totals, [F.col("value").desc(), F.col("entity")], {"upto": ("sum", F.col("value"))})
-    total = totals.agg(F.sum("value").alias("t")).scalar()
+    ranked = Layout.of(entity_totals(df, entity, value))
+    total = F.lit(ranked.total)
+    upto = over_layout(ranked.ranked, [F.col("value").desc(), F.col("entity")], {"upto": ("sum", F.col("value"))})
     # The entity that crosses a limit still belongs to the upper tier.
-    before = ranked.withColumn("before", F.col("upto") - F.col("value")).withColumn("total", total)
+    before = upto.withColumn("before", F.col("upto") - F.col("value")).withColumn("total", total)
     return before.select(
         "entity",
         "value",

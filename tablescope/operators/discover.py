@@ -442,12 +442,14 @@ def _json_escape(text: Column) -> Column:
             .when(ch == "\t", "\\t")
             .when(ch == "\b", "\\b")
             .when(ch == "\f", "\\f")
-            .when(code.between(32, 127), ch)
+            .when(code.between(32, 126), ch)
             .when(code > 0xFFFF, F.concat(unit(high), unit(low)))
             .otherwise(unit(code))
         )
 
-    return F.array_join(F.transform(F.split(text, ""), one), "")
+    # By position, since splitting would part surrogate pairs.
+    places = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
+    return F.array_join(F.transform(places, lambda i: one(F.substr(text, i, F.lit(1)))), "")
 
 
 def schema_fingerprint(columns: DataFrame, dataset: str | None = None) -> DataFrame:

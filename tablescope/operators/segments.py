@@ -20,8 +20,9 @@ def _per(df: DataFrame, key: str, **aggs: Column) -> DataFrame:
 def segment_efficiency(df: DataFrame, segment: str, output: str | Column, cost: str | Column) -> DataFrame:
     """Output per unit cost by segment; the most and least efficient and the most variable are marked."""
     out, spent = value_of(df, output), value_of(df, cost)
-    per = _per(df, segment, output=F.sum(out), cost=F.sum(spent), variance=F.var_samp(out)).withColumn(
-        "efficiency", F.try_divide(F.col("output"), F.col("cost"))
+    # Columns in this order give both uses of the sums the same plan, so the rows are read once.
+    per = _per(df, segment, output=F.sum(out), cost=F.sum(spent), variance=F.var_samp(out)).select(
+        "entity", "output", "cost", F.try_divide(F.col("output"), F.col("cost")).alias("efficiency"), "variance"
     )
     ends = per.agg(
         F.struct(

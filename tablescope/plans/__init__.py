@@ -1,5 +1 @@
-from .ranges import Layout, range_layout, running
-from .quantiles import quantiles
-from .skew import hot_keys, size_estimate
-
-__all__ = ["Layout", "hot_keys", "quantiles", "range_layout", "running", "size_estimate"]
+"""Ways of laying out work that a plain plan would bring into one task."""

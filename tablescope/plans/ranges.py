@@ -40,8 +40,18 @@ def running(
     ``values`` maps an output name to ("sum" | "max", expression).  With ``inclusive=False`` the
     current row is left out, and the first row of a group gets null.
     """
+    return over_layout(range_layout(df, *keys, *order), order, values, keys, inclusive)
+
+
+def over_layout(
+    laid: DataFrame,
+    order: list[Column],
+    values: dict[str, tuple[str, Column]],
+    keys: list[str] = (),
+    inclusive: bool = True,
+) -> DataFrame:
+    """``running`` on rows that are in ranges of (keys, order) already."""
     keys = list(keys)
-    laid = range_layout(df, *keys, *order)
     totals = laid.groupBy(*keys, PART).agg(
         *[_FOLD[how](expr).alias(f"_t_{name}") for name, (how, expr) in values.items()]
     )
@@ -57,9 +67,8 @@ def running(
     end = 0 if inclusive else -1
     local = Window.partitionBy(*keys, PART).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
     joined = laid.join(offsets, [*keys, PART])
-    out = [c for c in df.columns]
     return joined.select(
-        *out,
+        *[c for c in laid.columns if c != PART],
         *[
             _combine(how, F.col(f"_o_{name}"), _FOLD[how](expr).over(local)).alias(name)
             for name, (how, expr) in values.items()
