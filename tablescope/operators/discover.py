@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import canonical_key, classifiable, clean, col, is_boolean, is_datetime, is_integral, is_number
-from ..sources.tables import row_draws, sample_values
+from ..sources.tables import sample_rows, sample_values
 from .stats import measure
 
 # Fixed values.
@@ -72,9 +72,9 @@ def columns_table(tables: dict[str, DataFrame], exact: bool = False, samples: in
     def one(item):
         pos, (name, df) = item
         plain = [f.name for f in df.schema.fields if classifiable(f.dataType)]
-        draws = row_draws(df, plain) if samples and plain else []
-        stats, drawn = measure(df, exact, {f"row{i}": d for i, d in enumerate(draws)})
-        values = {c: [row[i] for row in drawn.values() if row and row[i] is not None][:samples] for i, c in enumerate(plain)}
+        stats, _ = measure(df, exact)
+        drawn = sample_rows(df, plain, 2 * samples) if samples and plain else []
+        values = {c: [row[i] for row in drawn if row[i] is not None][:samples] for i, c in enumerate(plain)}
         # Columns too sparse to be met in whole rows are drawn on their own.
         sparse = [s.column for s in stats if s.column in values and len(values[s.column]) < min(samples, s.n_rows - s.n_missing)]
         if sparse:

@@ -82,8 +82,7 @@ def outlier_report(
     if skip_discrete and names:
         stats = stats or measure(df.select(*[col(c) for c in names]))[0]
         names = [c for c in names if c not in discrete(stats)]
-    n = stats[0].n_rows if stats else None
-    found = quantiles(df, {c: value_of(df, c) for c in names}, [0.25, 0.75], method, n)
+    found = quantiles(df, {c: value_of(df, c) for c in names}, [0.25, 0.75], method)
     fences = {}
     for c, (q1, q3) in found.items():
         if q1 is not None:
@@ -148,8 +147,11 @@ def _outlier_rows(df: DataFrame, fences: dict, samples: int) -> DataFrame:
         return base.withColumn("sample_values", F.array().cast("array<double>")).drop("i")
     # Only outlying cells are looked at; each task keeps its few farthest per column before the shuffle.
     far = Window.partitionBy("i").orderBy(F.col("away").desc(), "v")
+    hit = reduce(lambda a, b: a | b, [outside(values[c], f[2], f[3]) for c, f in fences.items()])
     top = (
-        df.select(F.explode(F.filter(F.array(*cells), lambda c: c.isNotNull())).alias("c"))
+        df.where(hit)
+        .select(F.explode(F.array(*cells)).alias("c"))
+        .where("c IS NOT NULL")
         .select("c.*")
         .withColumn("r", F.row_number().over(far))
         .where(F.col("r") <= samples)

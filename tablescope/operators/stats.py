@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import classifiable, clean, col, is_boolean, is_floating, is_integral, is_missing, is_number
 
-# A category changes only at these points, so only near them must an estimate be made exact.
-CLOSE_COUNT = 200
+# A category changes only at 15, 20, 51 and 101 values and at a ratio of 0.6, so only near those must an
+# estimate be made exact; elsewhere it is five standard errors or more away.
+CLOSE_COUNTS = [(12, 23), (45, 57), (91, 112)]
 CLOSE_RATIO = (0.5, 0.7)
 SKETCH_BITS = 12  # 4096 registers, relative error 1.6%
 
@@ -96,10 +97,10 @@ def measure(df: DataFrame, exact: bool = False, extra: dict[str, Column] | None
     else:
         # An estimate can exceed the number of values there are.
         counts = {f.name: min(row[f"d{i}"] or 0, n - row[f"m{i}"]) for i, f in enumerate(fields) if f.name in usable}
-        few = [c for c in usable if counts[c] <= CLOSE_COUNT]
+        few = [c for c in usable if any(a <= counts[c] <= b for a, b in CLOSE_COUNTS)]
         ratio = [c for c in usable if c not in few and n and CLOSE_RATIO[0] <= counts[c] / n <= CLOSE_RATIO[1]]
         if few and n:
-            # At most about CLOSE_COUNT values each, so the sets stay small.
+            # At most about a hundred values each, so the sets stay small.
             found = df.agg(*[F.size(F.collect_set(clean(df, c))).alias(f"c{i}") for i, c in enumerate(few)]).first()
             counts.update({c: found[f"c{i}"] for i, c in enumerate(few)})
         if ratio:

@@ -1,7 +1,6 @@
 """Exact quantiles (linear interpolation) of many columns at any size.
 
-``percentile`` sends every task's distinct values to one task, so it is used only while rows x columns are few.
-Beyond that a sketch gives, per target, a bracket that must hold the wanted ranks; one more pass counts the rows
+While values are few, equal ones are counted and each column is ranked by one task.  Beyond that a sketch gives, per target, a bracket that must hold the wanted ranks; one more pass counts the rows
 below each bracket and the values inside it, which are a few thousandths of the rows.  The answer is exact: the
 counts prove that the ranks lie inside, and a bracket that fails the proof is widened and counted again.
 """
@@ -10,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .ranges import running
 
@@ -20,33 +19,45 @@ BRACKET_ACCURACY = 2_000  # sketches of all tasks meet in one task, so they are
 
 
 def quantiles(
-    df: DataFrame, columns: dict[str, Column], probs: list[float], method: str = "auto", n_rows: int | None = None
+    df: DataFrame, columns: dict[str, Column], probs: list[float], method: str = "auto"
 ) -> dict[str, list[float | None]]:
     """Quantiles per column as driver values: len(columns) x len(probs) numbers.
 
     ``columns`` maps a name to a double expression in which missing values are null.
-    Methods: ``auto`` (exact), ``percentile`` and ``bracket`` (exact), ``approx``.
+    Methods: ``auto``, ``counted`` and ``bracket`` are exact, ``approx`` is a sketch.
     """
     if not columns:
         return {}
-    if method == "auto":
-        n_rows = df.count() if n_rows is None else n_rows
-        method = "percentile" if n_rows * len(columns) <= SMALL_CELLS else "bracket"
     values = df.select(*[expr.cast("double").alias(f"v{i}") for i, expr in enumerate(columns.values())])
-    if method == "bracket":
-        found = _bracketed(values, list(range(len(columns))), probs)
-        return {name: found[i] for i, name in enumerate(columns)}
     wanted = [float(p) for p in probs]
-    make = (lambda c: F.percentile_approx(c, wanted, ACCURACY)) if method == "approx" else (lambda c: F.percentile(c, wanted))
-    row = values.agg(*[make(F.col(f"v{i}")).alias(f"q{i}") for i in range(len(columns))]).first()
-    return {
-        name: [None] * len(probs) if row[f"q{i}"] is None else list(row[f"q{i}"]) for i, name in enumerate(columns)
-    }
+    if method == "approx":
+        row = values.agg(*[F.percentile_approx(c, wanted, ACCURACY).alias(c) for c in values.columns]).first()
+        return {name: list(row[f"v{i}"] or [None] * len(probs)) for i, name in enumerate(columns)}
+    row = values.agg(*[F.count(c).alias(c) for c in values.columns]).first()
+    counts = {i: row[f"v{i}"] for i in range(len(columns))}
+    if method == "auto":
+        method = "counted" if sum(counts.values()) <= SMALL_CELLS else "bracket"
+    found = (_bracketed if method == "bracket" else _ranked)(values, counts, wanted)
+    return {name: [found.get((i, j)) for j in range(len(probs))] for i, name in enumerate(columns)}
+
+
+def _ranked(values: DataFrame, counts: dict[int, int], probs: list[float]) -> dict[tuple[int, int], float]:
+    """All distinct values of a column are ranked by one task."""
+    counted = _counted(values)
+    ranked = counted.withColumn("upto", F.sum("n").over(Window.partitionBy("t").orderBy("v")))
+    targets = {(i, j): f"v{i}" for i in counts if counts[i] for j in range(len(probs))}
+    return _locate(ranked, targets, counts, probs)
+
+
+def _counted(cells: DataFrame) -> DataFrame:
+    """(t, v, n): the cells of all columns with their counts; equal ones combine before the shuffle."""
+    long = cells.unpivot([], cells.columns, "t", "v").where(F.col("v").isNotNull())
+    return long.groupBy("t", "v").agg(F.count("*").alias("n"))
 
 
-def _bracketed(values: DataFrame, columns: list[int], probs: list[float]) -> dict[int, list[float | None]]:
-    result: dict[int, list[float | None]] = {i: [None] * len(probs) for i in columns}
-    pending = [(i, j) for i in columns for j in range(len(probs))]
+def _bracketed(values: DataFrame, counts: dict[int, int], probs: list[float]) -> dict[tuple[int, int], float]:
+    result: dict[tuple[int, int], float] = {}
+    pending = [(i, j) for i in counts if counts[i] for j in range(len(probs))]
     slack = 2.0 / BRACKET_ACCURACY
     while pending:
         touched = sorted({i for i, _ in pending})
@@ -59,26 +70,20 @@ def _bracketed(values: DataFrame, columns: list[int], probs: list[float]) -> dic
                 a
                 for i in touched
                 for a in (
-                    F.count(f"v{i}").alias(f"n{i}"), F.min(f"v{i}").alias(f"lo{i}"), F.max(f"v{i}").alias(f"hi{i}"),
+                    F.min(f"v{i}").alias(f"lo{i}"), F.max(f"v{i}").alias(f"hi{i}"),
                     F.percentile_approx(f"v{i}", edges[i], BRACKET_ACCURACY).alias(f"b{i}"),
                 )
             ]
         ).first()
-        counts = {i: first[f"n{i}"] for i in touched}
         brackets = {}
         for i, j in pending:
-            if counts[i] == 0:
-                continue
             low, high = (first[f"b{i}"][edges[i].index(min(1.0, max(0.0, probs[j] + s)))] for s in (-slack, slack))
             # At the ends the true minimum or maximum is used, so widening always ends.
             low = first[f"lo{i}"] if probs[j] - slack <= 0 else low
             high = first[f"hi{i}"] if probs[j] + slack >= 1 else high
             brackets[(i, j)] = (low, high)
-        if not brackets:
-            break
         found = _pick(values, brackets, counts, probs)
-        for (i, j), value in found.items():
-            result[i][j] = value
+        result.update(found)
         pending = [t for t in brackets if t not in found]
         slack = min(1.0, slack * 8)
     return result
@@ -86,42 +91,37 @@ def _bracketed(values: DataFrame, columns: list[int], probs: list[float]) -> dic
 
 def _pick(values, brackets, counts, probs) -> dict[tuple[int, int], float]:
     """Ranks inside each bracket; a target is absent when its bracket misses its ranks."""
-    targets = list(brackets)
+    targets = {target: f"t{t}" for t, target in enumerate(brackets)}
     cells = []
-    for t, (i, j) in enumerate(targets):
+    for (i, j), t in targets.items():
         low, high = brackets[(i, j)]
         v = F.col(f"v{i}")
-        # Rows below the bracket keep only a marker, rows above it nothing at all.
-        cells.append(
-            F.when(
-                v <= F.lit(high),
-                F.struct(F.lit(t).alias("t"), F.when(v >= F.lit(low), v).alias("v")),
-            )
-        )
-    counted = (
-        values.select(F.explode(F.filter(F.array(*cells), lambda c: c.isNotNull())).alias("c"))
-        .groupBy("c.t", "c.v")
-        .agg(F.count("*").alias("n"))
-    )
-    # The marker (null) sorts first, so the running count at a value is its rank from the bottom.
-    ranked = running(
-        counted, [F.col("v").asc_nulls_first()], {"upto": ("sum", F.col("n"))}, keys=["t"]
-    )
-    wanted = []
-    for t, (i, j) in enumerate(targets):
+        # Values below the bracket only count, so they fall together; those above it are dropped.
+        cells.append(F.when(v < F.lit(low), F.lit(float("-inf"))).when(v <= F.lit(high), v).alias(t))
+    counted = _counted(values.select(*cells))
+    ranked = running(counted, [F.col("v")], {"upto": ("sum", F.col("n"))}, keys=["t"])
+    found = _locate(ranked, targets, counts, probs)
+    return {t: v for t, v in found.items() if v >= brackets[t][0]}
+
+
+def _locate(ranked: DataFrame, targets: dict, counts, probs) -> dict[tuple[int, int], float]:
+    """Interpolate between the values at the two ranks of each target (column, prob) -> its ``t``."""
+
+    def ranks(i: int, j: int) -> tuple[int, int]:
         position = probs[j] * (counts[i] - 1)
-        wanted += [(t, math.floor(position)), (t, math.ceil(position))]
+        return math.floor(position), math.ceil(position)
+
     hit = F.lit(False)
-    for t, k in set(wanted):
+    for t, k in sorted({(t, k) for (i, j), t in targets.items() for k in ranks(i, j)}):
         hit = hit | ((F.col("t") == t) & (F.col("upto") > k) & (F.col("upto") - F.col("n") <= k))
+    # At most two rows per target.
     rows = ranked.where(hit).select("t", "v", "n", "upto").collect()
     answer = {}
-    for t, (i, j) in enumerate(targets):
-        position = probs[j] * (counts[i] - 1)
-        pair = []
-        for k in (math.floor(position), math.ceil(position)):
-            match = [r["v"] for r in rows if r["t"] == t and r["upto"] - r["n"] <= k < r["upto"]]
-            pair.append(match[0] if match else None)
+    for (i, j), t in targets.items():
+        pair = [
+            next((r["v"] for r in rows if r["t"] == t and r["upto"] - r["n"] <= k < r["upto"]), None) for k in ranks(i, j)
+        ]
         if None not in pair:
-            answer[(i, j)] = pair[0] + (position - math.floor(position)) * (pair[1] - pair[0])
+            part = probs[j] * (counts[i] - 1) - ranks(i, j)[0]
+            answer[(i, j)] = pair[0] + part * (pair[1] - pair[0]) if pair[0] != pair[1] else pair[0]
     return answer

@@ -222,15 +222,14 @@ def sample_values(df: DataFrame, name: str, k: int = 3, hashing: str = "xxhash64
     return F.array(*draws)
 
 
-def row_draws(df: DataFrame, names: list[str], k: int = 6) -> list[Column]:
-    """Aggregates giving k whole rows as text, each the row with the least of k hashes.
+def sample_rows(df: DataFrame, names: list[str], k: int = 6) -> list[list[str | None]]:
+    """k rows as text, chosen by a hash of the columns that are not text (of all, if there are no others).
 
-    Far cheaper than drawing per column: one hash per row, over the columns that are not text if there are any.
+    Each task keeps k rows; far cheaper than drawing every column on its own.
     """
     short = [n for n in names if not isinstance(df.schema[n].dataType, T.StringType)] or names
-    row = F.xxhash64(*[col(n) for n in short])
-    cells = F.array(*[as_text(df, n) for n in names])
-    return [F.min_by(cells, F.xxhash64(F.lit(i), row)) for i in range(k)]
+    rows = df.orderBy(F.xxhash64(*[col(n) for n in short]), *[col(n) for n in short]).limit(k)
+    return [r["cells"] for r in rows.select(F.array(*[as_text(df, n) for n in names]).alias("cells")).collect()]
 
 
 def column_samples(df: DataFrame, k: int = 3, hashing: str = "xxhash64") -> DataFrame:
