@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from tablescope import sources
@@ -66,7 +68,7 @@ def full_scan(spark, sf):
 def load_csv(spark, sf):
     # The events written as text with "N/A" cells, then read back.
     ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/csv/{abs(hash(sf))}/events.csv"
+    path = f"{spark.sparkContext.getCheckpointDir()}/csv/{os.path.basename(sf.rstrip('/'))}/events.csv"
     e = read(spark, sf, "events").withColumn(
         "value", F.when(F.col("user_id") % 9 != 0, F.col("value").cast("string")).otherwise("N/A")
     )

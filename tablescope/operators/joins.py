@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import clean, col, is_boolean, is_datetime, is_number, required
-from ..plans.skew import HOT_SHARE, broadcast_limit, hot_keys, size_estimate
+from ..plans.skew import broadcast_limit, hot_keys, size_estimate
 from ..sources.tables import TableSet
 
 # Below this many bytes on either side one task can take any key, so no sketch pass is run.
@@ -98,16 +98,13 @@ class _Spread:
             if any(s is not None and s < limit for s in sizes):
                 return None
         low = 0 if skew == "split" else 1_000_000
-        hot_l = hot_keys(left, col(on), low)
-        hot_r = [k for k in hot_keys(right, F.col("_rk"), low) if k not in hot_l]
-        nulls = []
-        for df, key in ((left, col(on)), (right, F.col("_rk"))):
-            row = df.agg(F.count("*").alias("n"), F.count_if(key.isNull()).alias("m")).first()
-            nulls.append(row["m"] > 0 and row["m"] >= HOT_SHARE * row["n"])
-        if not (hot_l or hot_r or any(nulls)):
+        hot_l, null_l = hot_keys(left, col(on), low)
+        hot_r, null_r = hot_keys(right, F.col("_rk"), low)
+        hot_r = [k for k in hot_r if k not in hot_l]
+        if not (hot_l or hot_r or null_l or null_r):
             return None
         parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        return cls(hot_l, hot_r, nulls[0], nulls[1] and not (match and nulls[0]), match, max(2, min(MAX_SALT, math.ceil(parts / 3))))
+        return cls(hot_l, hot_r, null_l, null_r and not (match and null_l), match, max(2, min(MAX_SALT, math.ceil(parts / 3))))
 
     def _is(self, key: Column, values: list, null: bool) -> Column:
         found = F.coalesce(key.isin(values), F.lit(False)) if values else F.lit(False)
@@ -119,22 +116,26 @@ class _Spread:
     def copied_right(self, key: Column) -> Column:
         return self._is(key, self.hot_left, self.null_left and self.match)
 
-    def _salted(self, df: DataFrame, key: Column, own: Column, copied: Column, name: str) -> DataFrame:
+    def _salted(self, df: DataFrame, name: str, *rules: tuple[str, Column]) -> DataFrame:
         # The salt comes from the row itself, so a task that runs again gives the same salts.
         plain = [col(f.name) for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-        salt = F.pmod(F.xxhash64(*plain), F.lit(self.salts)).cast("int")
-        where = (
-            F.when(own, F.array(salt))
-            .when(copied, F.sequence(F.lit(0), F.lit(self.salts - 1)))
-            .otherwise(F.array(F.lit(0)))
-        )
+        salts = {
+            "one": F.array(F.pmod(F.xxhash64(*plain), F.lit(self.salts)).cast("int")),
+            "all": F.sequence(F.lit(0), F.lit(self.salts - 1)),
+        }
+        where = F.array(F.lit(0))
+        for kind, holds in reversed(rules):
+            where = F.when(holds, salts[kind]).otherwise(where)
         return df.withColumn(name, F.explode(where))
 
+    # On both sides a key that is hot on the left is decided first, so that the sides always agree.
     def left(self, df: DataFrame, key: Column) -> DataFrame:
-        return self._salted(df, key, self._is(key, self.hot_left, self.null_left), self.copied_left(key), "_ls")
+        hot = self._is(key, self.hot_left, self.null_left)
+        return self._salted(df, "_ls", ("one", hot), ("all", self.copied_left(key)))
 
     def right(self, df: DataFrame, key: Column) -> DataFrame:
-        return self._salted(df, key, self._is(key, self.hot_right, self.null_right), self.copied_right(key), "_rs")
+        hot = self._is(key, self.hot_right, self.null_right)
+        return self._salted(df, "_rs", ("all", self.copied_right(key)), ("one", hot))
 
 
 LOG_SCHEMA = (

@@ -23,15 +23,17 @@ def broadcast_limit(spark) -> int:
     return int(digits) * units.get(text[len(digits):], 1)
 
 
-def hot_keys(df: DataFrame, key: Column, min_rows: int) -> list:
-    """Keys that look hot, from one bounded sketch (no shuffle of the keys).
+def hot_keys(df: DataFrame, key: Column, min_rows: int) -> tuple[list, bool]:
+    """Keys that look hot and whether null is one, from one pass with a bounded sketch (no shuffle of the keys).
 
     The sketch only steers how rows are spread; every row is joined whatever it says.
     """
-    row = df.where(key.isNotNull()).agg(
+    row = df.agg(
         F.count("*").alias("n"),
+        F.count_if(key.isNull()).alias("nulls"),
         F.call_function("approx_top_k", key, F.lit(HOT_LIMIT), F.lit(HOT_LIMIT * 10)).alias("top"),
     ).first()
     if row["n"] < min_rows:
-        return []
-    return [item["item"] for item in row["top"] or [] if item["count"] >= HOT_SHARE * row["n"]]
+        return [], False
+    least = max(1, HOT_SHARE * row["n"])
+    return [t["item"] for t in row["top"] or [] if t["item"] is not None and t["count"] >= least], row["nulls"] >= least

@@ -72,7 +72,8 @@ def load_csv(
             # A whole number too long for 64 bits stays text: double would change it.
             kinds = {"i": whole & fits, "n": value.rlike(_NUMBER) & (~whole | fits), "b": value.rlike(_TRUTH)}
             for kind, holds in kinds.items():
-                checks.append(F.coalesce(F.bool_and(holds), F.lit(False)).alias(f"{kind}{i}"))
+                held = F.bool_and(F.when(value.isNotNull(), holds))
+                checks.append(F.coalesce(held, F.lit(False)).alias(f"{kind}{i}"))
             checks.append(F.count(value).alias(f"c{i}"))
         seen = raw.agg(*checks).first()
         out = []

@@ -44,6 +44,14 @@ def test_merge_equals_pandas(spark, how, skew):
         assert as_rows(got) == pandas_rows(left, right, how)
 
 
+@pytest.mark.parametrize("how", HOWS)
+def test_hot_keys_of_different_types(frame, how):
+    """0.1 as double and as decimal is one key in SQL but not in Python."""
+    a = frame("k double, x int", [0.1] * 20 + [0.3], list(range(21)))
+    b = frame("k decimal(5,2), y int", [Decimal("0.10")] * 10 + [Decimal("0.20")], list(range(11)))
+    assert as_rows(j.merge(a, b, "k", how, skew="split")) == as_rows(j.merge(a, b, "k", how, skew="off"))
+
+
 @pytest.mark.parametrize("skew", ["off", "split"])
 def test_merge_drop_nulls(spark, skew):
     left, right = [(None, i) for i in range(50)] + [(1, 100)], [(None, i) for i in range(50)] + [(1, 200), (2, 300)]

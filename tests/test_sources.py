@@ -45,7 +45,7 @@ def test_table_set(spark, tmp_path):
 
 
 def test_catalog(spark):
-    spark.range(5).createOrReplaceTempView("order by")
+    spark.range(5).createOrReplaceTempView("`order by`")
     found = sources.load_catalog(spark)
     assert found["order by"].count() == 5
 
