@@ -9,15 +9,13 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import clean, col, is_boolean, is_missing, is_number, required, value_of
+from ..functions import col, is_boolean, is_missing, is_number, required, value_of
 from ..plans.quantiles import quantiles
 from .stats import ColumnStat, discrete, measure, numeric_columns
 
 FENCE = 1.5
 PAIRS_PER_PASS = 200  # aggregates of one pass stay within code generation limits
 
-OUTLIERS_SCHEMA = "column string, q1 double, q3 double, lower double, upper double"
-
 
 @dataclass(frozen=True)
 class TablePlan:

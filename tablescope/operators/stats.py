@@ -122,10 +122,8 @@ def column_stats(df: DataFrame, exact: bool = False) -> DataFrame:
 
 def distinct_count(df: DataFrame, *names: str) -> DataFrame:
     """One row with the exact distinct count of each named column and the row count."""
-    found = exact_distinct(df, list(names))
-    return df.agg(F.count("*").alias("n_rows")).join(
-        found.groupBy().pivot("column", list(names)).agg(F.first("n_distinct")).na.fill(0), how="left"
-    )
+    counts = exact_distinct(df, list(names)).groupBy().pivot("column", list(names)).agg(F.first("n_distinct"))
+    return counts.na.fill(0).withColumn("n_rows", df.agg(F.count("*").alias("n")).scalar())
 
 
 def nonfinite_scan(df: DataFrame) -> DataFrame:

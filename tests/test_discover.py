@@ -8,7 +8,7 @@ from decimal import Decimal
 import pytest
 
 from tablescope.operators import discover as d
-from tablescope.operators.stats import column_stats, nonfinite_scan
+from tablescope.operators.stats import column_stats, distinct_count, nonfinite_scan
 
 
 def category(df, exact=False):
@@ -227,3 +227,8 @@ def test_domain(spark):
 def test_nonfinite(frame):
     df = frame("x double, y int", [1.0, float("nan"), float("-inf"), None], [1, 2, 3, 4])
     assert [tuple(r) for r in nonfinite_scan(df).collect()] == [("x", 1, 1, 1, False), ("y", 0, 0, 0, True)]
+
+
+def test_distinct_count(frame):
+    df = frame("a int, b string", [1, 1, None], [None, None, None])
+    assert distinct_count(df, "a", "b").first().asDict() == {"a": 1, "b": 0, "n_rows": 3}

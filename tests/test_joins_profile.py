@@ -165,10 +165,6 @@ def test_half_missing_is_not_critical(frame):
     assert not p.missing_report(frame("x int", [1, None])).first()["critical"]
 
 
-def pandas_corr(df, **kinds):
-    return pd.DataFrame(df).astype(kinds).corr(numeric_only=True)
-
-
 def test_correlations_equal_pandas(frame):
     rng = np.random.default_rng(1)
     n = 300
