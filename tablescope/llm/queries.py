@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tablescope.llm import bpe, counts, urls
-from tablescope.llm.common import table
+from tablescope.llm import bpe, counts, urls, wavelet
+from tablescope.llm.common import new_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,13 @@ URL_RULES = [
 ]
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the ids of every document as wavelet matrices and returns what the files hold, per document."""
+    path = new_path(spark, "tokens")
+    wavelet.write_shards(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return wavelet.read_documents(spark, path)
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, deciding rule and verdict of every page's address; addresses without a rule are not listed: allow."""
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
@@ -58,6 +65,7 @@ FROM p LEFT JOIN best b ON p.host = b.host AND p.path = b.path
 """
 
 QUERIES: dict[str, Query] = {
+    "op2_token_files": op2_token_files,
     "op5_url_filter": op5_url_filter,
     "op8_token_counts": op8_token_counts,
     "op10_bpe_round_trip": op10_bpe_round_trip,
