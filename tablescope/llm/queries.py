@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tablescope.llm import bpe, counts, urls, wavelet
+from tablescope.llm import bpe, counts, quality, urls, wavelet
 from tablescope.llm.common import new_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,12 @@ URL_RULES = [
 ]
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the verdict of the boosted trees, fitted on the labelled documents, for every document."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.quality(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the ids of every document as wavelet matrices and returns what the files hold, per document."""
     path = new_path(spark, "tokens")
@@ -65,6 +71,7 @@ FROM p LEFT JOIN best b ON p.host = b.host AND p.path = b.path
 """
 
 QUERIES: dict[str, Query] = {
+    "op1_quality_rules": op1_quality_rules,
     "op2_token_files": op2_token_files,
     "op5_url_filter": op5_url_filter,
     "op8_token_counts": op8_token_counts,
