@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tablescope.llm import bpe, counts, quality, urls, wavelet
+from tablescope.llm import bpe, counts, html, langid, quality, urls, wavelet
 from tablescope.llm.common import new_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,12 +35,22 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_documents(spark, path)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every page, from its text, what it declares, its address and its host."""
+    return langid.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, deciding rule and verdict of every page's address; addresses without a rule are not listed: allow."""
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return urls.filter_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document by the compiled transducers of the byte-level tokenizer."""
     return counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -73,7 +83,9 @@ FROM p LEFT JOIN best b ON p.host = b.host AND p.path = b.path
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_files": op2_token_files,
+    "op4_language_id": op4_language_id,
     "op5_url_filter": op5_url_filter,
+    "op7_main_text": op7_main_text,
     "op8_token_counts": op8_token_counts,
     "op10_bpe_round_trip": op10_bpe_round_trip,
 }
