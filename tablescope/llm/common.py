@@ -97,3 +97,16 @@ def text_groups(column: pa.Array, limit: int = STEP_CHARS) -> Iterator[tuple[int
         size += len(value)
     if group:
         yield start, group
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Spark's own estimate of the bytes that a frame reads."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def parts_for(df: DataFrame, bytes_each: int) -> int:
+    """Partitions that take about bytes_each of the input each, and no fewer than the session's shuffle partitions."""
+    set_to = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # frames that are not files have no known size (the estimate is then huge)
+    wanted = -(-input_bytes(df) // bytes_each)
+    return max(set_to, wanted) if wanted < 1 << 20 else set_to

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tablescope.llm import bpe, counts, html, langid, quality, urls, wavelet
+from tablescope.llm import bpe, counts, html, jaccard, langid, quality, urls, wavelet
 from tablescope.llm.common import new_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +46,11 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under similarity of five-word shingles of 0.8 or more."""
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html.extract(table(spark, sf_dir, "pages"))
@@ -85,6 +90,7 @@ QUERIES: dict[str, Query] = {
     "op2_token_files": op2_token_files,
     "op4_language_id": op4_language_id,
     "op5_url_filter": op5_url_filter,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_main_text": op7_main_text,
     "op8_token_counts": op8_token_counts,
     "op10_bpe_round_trip": op10_bpe_round_trip,
