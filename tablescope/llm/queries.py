@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tablescope.llm import bpe, counts, html, jaccard, langid, quality, urls, wavelet
+from tablescope.llm import bpe, counts, html, jaccard, langid, quality, suffix, urls, wavelet
 from tablescope.llm.common import new_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,11 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without byte strings that start earlier."""
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids of every document and of the text they decode to."""
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -93,6 +98,7 @@ QUERIES: dict[str, Query] = {
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_main_text": op7_main_text,
     "op8_token_counts": op8_token_counts,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_bpe_round_trip": op10_bpe_round_trip,
 }
 ORACLES: dict[str, str] = {"op5_url_filter": OP5_SQL}
