@@ -36,9 +36,11 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _OWN[context.applicationId]
 
 
-def new_path(spark: SparkSession, name: str) -> str:
+def new_path(spark: SparkSession, name: str, lasting: bool = False) -> str:
+    """A path of its own in the shared folder; release() deletes it unless it is lasting."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
+    if not lasting:
+        _WRITTEN.append(path)
     return path
 
 

@@ -36,6 +36,8 @@ BYTES_EACH = 8 << 20
 BLOCK_CLASSES = 65_536
 #: Occurrences in short lists that a pair must reach beyond the first.
 EXTRA = 2
+#: Stands for a null key, which comes after all others.
+NO_KEY = (1 << 63) - 1
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _WEIGHTS = [0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB]
@@ -164,14 +166,14 @@ def _place(values: np.ndarray, parts: int) -> np.ndarray:
 
 # kinds of rows between the stages
 DOC, ENTRIES, HOT_LIST, HOT_DF, OF_CLASS = range(5)
-ROWS = "kind int, part int, id long, cls long, n int, blob binary"
+ROWS = "kind int, part int, id long, mark long, cls long, n int, blob binary"
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-    columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
     return pa.RecordBatch.from_arrays(
-        [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["kind", "part", "id", "cls", "n", "blob"]
+        [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["kind", "part", "id", "mark", "cls", "n", "blob"]
     )
 
 
@@ -198,25 +200,25 @@ def _read_shingles(docs: DataFrame, key: str, text: str, words: int, parts: int)
             is_hot = np.repeat(size >= HOT, size)
             for a, n in zip(first[size >= HOT].tolist(), size[size >= HOT].tolist(), strict=True):
                 h = int(shingles[a])
-                out.append((HOT_LIST, (a + h) % parts, _signed(h), None, n, classes[a : a + n].tobytes()))
+                out.append((HOT_LIST, (a + h) % parts, _signed(h), None, None, n, classes[a : a + n].tobytes()))
             shingles, classes = shingles[~is_hot], classes[~is_hot]
             ends = np.searchsorted(_place(shingles, parts), np.arange(parts + 1, dtype=U))
             for p in range(parts):
                 a, b = int(ends[p]), int(ends[p + 1])
                 if a < b:
-                    out.append((ENTRIES, p, None, None, b - a, pack(classes[a:b], shingles[a:b])))
+                    out.append((ENTRIES, p, None, None, None, b - a, pack(classes[a:b], shingles[a:b])))
             held.clear()
             owners.clear()
             return _rows(out)
 
         size = 0
         for batch in batches:
-            keys = batch.column(0)
-            for at, texts in text_groups(batch.column(1)):
+            keys, marks = batch.column(0), batch.column(1)
+            for at, texts in text_groups(batch.column(2)):
                 sets, classes = shingle_sets(texts, words)
                 rows = []
                 for i, (s, c) in enumerate(zip(sets, classes, strict=True)):
-                    rows.append((DOC, c % parts, keys[at + i].as_py(), _signed(c) if c else None, len(s), None))
+                    rows.append((DOC, c % parts, keys[at + i].as_py(), marks[at + i].as_py(), _signed(c) if c else None, len(s), None))
                     if c and c not in seen:
                         seen.add(c)
                         held.append(s)
@@ -229,7 +231,8 @@ def _read_shingles(docs: DataFrame, key: str, text: str, words: int, parts: int)
         if held:
             yield flush()
 
-    slim = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    slim = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("id"), F.xxhash64(whole).alias("mark"), whole.alias("text"))
     return slim.mapInArrow(run, ROWS)
 
 
@@ -242,10 +245,10 @@ def _count(rows: DataFrame, parts: int) -> DataFrame:
         for batch in batches:
             kind = batch.column(0).to_numpy()
             for i in np.flatnonzero(kind == ENTRIES).tolist():
-                blobs.append(batch.column(5)[i].as_py())
+                blobs.append(batch.column(6)[i].as_py())
             for i in np.flatnonzero(kind == HOT_DF).tolist():
                 h = batch.column(2)[i].as_py() % (1 << 64)
-                hot[h] = hot.get(h, 0) + batch.column(4)[i].as_py()
+                hot[h] = hot.get(h, 0) + batch.column(5)[i].as_py()
             rest = batch.filter(pa.array((kind != ENTRIES) & (kind != HOT_DF)))
             if rest.num_rows:
                 yield rest
@@ -282,7 +285,7 @@ def _count(rows: DataFrame, parts: int) -> DataFrame:
         own = np.zeros(len(hot_names), np.int64)
         own[met] = df[where[met]]
         codes = code_of(hot_counts + own)
-        out = [(HOT_DF, 0, _signed(int(h)), None, int(c), None) for h, c in zip(hot_names, codes, strict=True)]
+        out = [(HOT_DF, 0, _signed(int(h)), None, None, int(c), None) for h, c in zip(hot_names, codes, strict=True)]
         yield _rows(out)
         keep = total[place] >= 2
         shingles, classes, codes = shingles[keep], classes[keep], code_of(total[place[keep]])
@@ -298,7 +301,7 @@ def _by_class(classes: np.ndarray, shingles: np.ndarray, codes: np.ndarray, part
     for p in range(parts):
         at = order[ends[p] : ends[p + 1]]
         if len(at):
-            yield (OF_CLASS, p, None, None, len(at), pack(classes[at], shingles[at], codes[at]))
+            yield (OF_CLASS, p, None, None, None, len(at), pack(classes[at], shingles[at], codes[at]))
 
 
 def _hot_entries(counted: DataFrame, parts: int) -> DataFrame:
@@ -323,7 +326,7 @@ def _survivors(counted: DataFrame, classes: DataFrame, parts: int, percent: int)
     """(cls, n, shared) of the classes with enough shared shingles; shared: their hashes from rare to common."""
     parted = classes.select(
         F.lit(DOC).alias("kind"), F.expr(f"cast(pmod(pmod(cls, {parts}) + if(cls < 0, {(1 << 64) % parts}, 0), {parts}) as int)").alias("part"),
-        F.lit(None).cast("long").alias("id"), "cls", "n", F.lit(None).cast("binary").alias("blob"),
+        F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("mark"), "cls", "n", F.lit(None).cast("binary").alias("blob"),
     )
     entries = counted.where(F.col("kind") == OF_CLASS).unionByName(_hot_entries(counted, parts)).unionByName(parted)
 
@@ -333,10 +336,10 @@ def _survivors(counted: DataFrame, classes: DataFrame, parts: int, percent: int)
         for batch in batches:
             kind = batch.column(0).to_numpy()
             for i in np.flatnonzero(kind == OF_CLASS).tolist():
-                parts_of.append(unpack(batch.column(5)[i].as_py()))
+                parts_of.append(unpack(batch.column(6)[i].as_py()))
             docs = batch.filter(pa.array(kind == DOC))
-            names.append(docs.column(3).to_numpy().astype(U))
-            sizes.append(docs.column(4).to_numpy())
+            names.append(docs.column(4).to_numpy().astype(U))
+            sizes.append(docs.column(5).to_numpy())
         if not parts_of:
             return
         cls, shingle, code = (np.concatenate(x) for x in zip(*parts_of, strict=True))
@@ -498,22 +501,14 @@ def _merged(met: DataFrame, parts: int) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """Key, n_shingles and component_id (smallest key reachable by links, itself included) of every document.
-
-    Two documents link when their sets of distinct word shingles have 100 * intersection >= percent * union.  Null,
-    empty and wordless texts have no shingles and link with nothing.  Equal texts, also rows repeated whole, link; a null
-    key counts as larger than any other and stays null only if no linked document has one.  Columns other than the two
-    named are not read.  Texts and shingles are told apart by 64-bit hashes.
-
-    Texts are read once; their shingles are shuffled once.
-    """
+def _classes_and_roots(docs: DataFrame, key: str, text: str, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(key, mark, cls, n) of every row, and (cls, first, root) of every class; first is its least (key, mark)."""
     parts = parts_for(docs, BYTES_EACH)
     read = _read_shingles(docs, key, text, words, parts)
     # what a task knows of a hot shingle goes to the shingle's partition as a count, the list itself stays spread
     spread = read.withColumn(
         "both", F.when(F.col("kind") == HOT_LIST, F.array(F.lit(HOT_LIST), F.lit(HOT_DF))).otherwise(F.array("kind"))
-    ).select(F.explode("both").alias("kind"), "part", "id", "cls", "n", "blob")
+    ).select(F.explode("both").alias("kind"), "part", "id", "mark", "cls", "n", "blob")
     high = F.shiftrightunsigned("id", 32)
     home = F.shiftrightunsigned(high * parts, 32).cast("int")
     is_df = F.col("kind") == HOT_DF
@@ -521,8 +516,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
         "blob", F.when(is_df, F.lit(None)).otherwise(F.col("blob"))
     )
     counted = written(_count(spread, parts), "shingles")
-    base = counted.where(F.col("kind") == DOC).select(F.col("id").alias("_key"), "cls", "n")
-    classes = base.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("_key").alias("first"), F.min("n").alias("n"))
+    base = counted.where(F.col("kind") == DOC).select(F.col("id").alias("_key"), F.col("mark").alias("_mark"), "cls", "n")
+    classes = base.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.min(F.struct("_key", "_mark")).alias("first"), F.min("n").alias("n"))
     survivors = written(_survivors(counted, classes, parts, percent), "survivors")
     short = written(_short_lists(survivors, percent, EXTRA), "short-lists")
 
@@ -550,8 +545,39 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     of_class = classes.join(whole.select(F.col("node").alias("cls"), "root"), "cls", "left").select(
         "cls", "first", F.coalesce("root", "cls").alias("root")
     )
-    least = of_class.groupBy("root").agg(F.min("first").alias("component_id"))
+    return base, of_class
+
+
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """Key, n_shingles and component_id (smallest key reachable by links, itself included) of every document.
+
+    Two documents link when their sets of distinct word shingles have 100 * intersection >= percent * union.  Null,
+    empty and wordless texts have no shingles and link with nothing.  Equal texts, also rows repeated whole, link; a null
+    key counts as larger than any other, so component_id is null only where no linked document has a key.  Columns other
+    than the two named are not read.  Texts and shingles are told apart by 64-bit hashes.
+
+    Texts are read once; their shingles are shuffled once.
+    """
+    base, of_class = _classes_and_roots(docs, key, text, words, percent)
+    least = of_class.groupBy("root").agg(F.min("first._key").alias("component_id"))
     of_class = of_class.join(least, "root").select("cls", "component_id")
+    known = lambda c: F.when(c != NO_KEY, c)
     return base.join(of_class, "cls", "left").select(
-        F.col("_key").alias(key), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "_key").alias("component_id")
+        known(F.col("_key")).alias(key), F.col("n").cast("long").alias("n_shingles"),
+        known(F.coalesce("component_id", "_key")).alias("component_id"),
     )
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, with all their columns, that come first in their component, one row for each.
+
+    First is the smallest key, for equal keys the smallest hash of the text; of rows repeated whole one stays.  Texts
+    without words link with nothing and stay.
+    """
+    _, of_class = _classes_and_roots(docs, key, text, words, percent)
+    first = of_class.groupBy("root").agg(F.min("first").alias("f")).select("f._key", "f._mark")
+    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    has_words = whole.rlike("[^\\x20\\x09-\\x0D]")
+    named = docs.where(has_words).withColumns({"_key": F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)), "_mark": F.xxhash64(whole)})
+    kept = named.join(first, ["_key", "_mark"]).dropDuplicates(["_key", "_mark"]).select(*docs.columns)
+    return kept.unionByName(docs.where(~has_words))

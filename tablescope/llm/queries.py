@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tablescope.llm import bpe, counts, html, jaccard, langid, quality, suffix, urls, wavelet
+from tablescope.llm import bpe, counts, decontam, html, jaccard, langid, quality, suffix, urls, wavelet
 from tablescope.llm.common import new_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,11 +30,16 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the ids of every document as wavelet matrices and returns what the files hold, per document."""
-    path = new_path(spark, "tokens")
+    path = new_path(spark, "tokens", lasting=True)
     wavelet.write_shards(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return wavelet.read_documents(spark, path)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and test item that it holds a copy of, exact or edited."""
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every page, from its text, what it declares, its address and its host."""
     return langid.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
@@ -93,6 +98,7 @@ FROM p LEFT JOIN best b ON p.host = b.host AND p.path = b.path
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_files": op2_token_files,
+    "op3_decontamination": op3_decontamination,
     "op4_language_id": op4_language_id,
     "op5_url_filter": op5_url_filter,
     "op6_ngram_jaccard": op6_ngram_jaccard,

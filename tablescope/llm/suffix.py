@@ -476,8 +476,11 @@ def _later_spans(runs: DataFrame, length: int, parts: int) -> DataFrame:
     return dealt.mapInArrow(run, "key long, mark long, blob binary")
 
 
-def _cut(texts: DataFrame, found: DataFrame) -> DataFrame:
-    """(key, mark, n_removed, n_spans, kept): what is left of the texts that lose something."""
+def _cut(texts: DataFrame, found: DataFrame, as_text: bool) -> DataFrame:
+    """(key, mark, n_removed, n_spans, kept) of the texts that lose something; kept is the digest or text of what is left.
+
+    As text, characters that lost some of their bytes are left out.
+    """
     of_doc = found.groupBy("key", "mark").agg(F.collect_list("blob").alias("blobs"))
     both = texts.select("key", "mark", F.col("blob").alias("raw")).join(of_doc, ["key", "mark"])
 
@@ -493,10 +496,11 @@ def _cut(texts: DataFrame, found: DataFrame) -> DataFrame:
                     at = e
                 kept.append(raw[at:])
                 left = b"".join(kept)
+                left = left.decode("utf-8", "ignore") if as_text else hashlib.sha256(left).hexdigest()
                 rows.append((batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), int((gone[:, 1] - gone[:, 0]).sum()), len(gone), left))
-            yield _batch(rows, [("key", pa.int64()), ("mark", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
+            yield _batch(rows, [("key", pa.int64()), ("mark", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.string())])
 
-    return both.mapInArrow(run, "key long, mark long, n_removed long, n_spans long, kept binary")
+    return both.mapInArrow(run, "key long, mark long, n_removed long, n_spans long, kept string")
 
 
 def _named(docs: DataFrame, key: str, text: str) -> list:
@@ -505,17 +509,16 @@ def _named(docs: DataFrame, key: str, text: str) -> list:
     return [F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("key"), F.xxhash64(whole).alias("mark"), F.md5(whole).alias("digest"), whole.alias("text")]
 
 
-def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 100) -> tuple[DataFrame, DataFrame]:
-    """(every row of docs, what is cut out of the first rows of their text).
-
-    The first has key, mark, digest, n_bytes, sha256, nth (from 1 among rows with the same key and text) and first (it is
-    the first of its text); the second has key, mark, n_removed, n_spans, kept for those that lose a part.
-    """
+def _judged(docs: DataFrame, key: str, text: str, length: int, as_text: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(facts of every key and text, the first row of each text, what is left of those that lose a part)."""
     parts = parts_for(docs, BYTES_EACH)
     named = docs.select(*_named(docs, key, text))
     facts = written(
-        named.select("key", "mark", "digest", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
-        .groupBy("key", "mark", "digest", "n_bytes", "sha256").agg(F.count("*").alias("times")),
+        named.select(
+            "key", "mark", "digest", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256")
+        )
+        .groupBy("key", "mark", "digest", "n_bytes", "sha256")
+        .agg(F.count("*").alias("times")),
         "texts",
     )
     firsts = facts.groupBy("digest").agg(F.min(F.struct("key", "mark")).alias("f")).select("digest", "f.key", "f.mark")
@@ -525,17 +528,11 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
     name = F.lower(F.concat(*[F.lpad(F.hex(c), 16, "0") for c in ("high", "low")]))
     of_text = shared.groupBy(name.alias("digest")).agg(F.collect_list("blob").alias("blobs"))
     of_doc = of_text.join(firsts, "digest").select("key", "mark", "blobs")
-    one = long.select("key", "mark", "text").join(of_doc, ["key", "mark"]).select("key", "mark", "text", "blobs")
+    one = long.select("key", "mark", "text").join(of_doc, ["key", "mark"]).dropDuplicates(["key", "mark"]).select("key", "mark", "text", "blobs")
     runs = written(_runs(one, length), "runs")
     local = runs.where(F.col("kind") == SPANS).select("key", "mark", "blob")
     found = local.unionByName(_later_spans(runs, length, parts))
-    cut = _cut(runs.where(F.col("kind") == TEXT), found)
-    first = firsts.select("key", "mark", F.lit(True).alias("first"))
-    rows = facts.join(first, ["key", "mark"], "left").select(
-        "key", "mark", "digest", "n_bytes", "sha256", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("nth"),
-        F.coalesce("first", F.lit(False)).alias("first"),
-    )
-    return rows, cut
+    return facts, firsts, _cut(runs.where(F.col("kind") == TEXT), found, as_text)
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 100) -> DataFrame:
@@ -546,14 +543,36 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     one key, texts are ordered by a hash, and of rows repeated whole the first stays.  Texts shorter than ``length`` are
     left alone, other columns are not read, an empty table gives an empty result.
     """
-    rows, cut = repeats(docs, key, text, length)
-    cut = cut.select("key", "mark", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
-    lone = F.col("first") & (F.col("nth") == 1)
+    facts, firsts, cut = _judged(docs, key, text, length, as_text=False)
+    rows = facts.join(firsts.select("key", "mark", F.lit(True).alias("first")), ["key", "mark"], "left").join(cut, ["key", "mark"], "left")
+    # rows repeated whole: the first of them is the one that may stay
+    rows = rows.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    lone = F.coalesce("first", F.lit(False)) & (F.col("nth") == 1)
     gone = ~lone & (F.col("n_bytes") >= length)
-    return rows.join(cut, ["key", "mark"], "left").select(
+    none = F.lit(0).cast("long")
+    return rows.select(
         F.when(F.col("key") != NO_KEY, F.col("key")).alias(key),
         "n_bytes",
-        F.when(gone, F.col("n_bytes")).when(lone, F.coalesce("n_removed", F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long")).alias("n_removed"),
-        F.when(gone, F.lit(1).cast("long")).when(lone, F.coalesce("n_spans", F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long")).alias("n_spans"),
-        F.when(gone, F.lit(hashlib.sha256().hexdigest())).when(lone, F.coalesce("kept_sha256", "sha256")).otherwise(F.col("sha256")).alias("kept_sha256"),
+        F.when(gone, F.col("n_bytes")).when(lone, F.coalesce("n_removed", none)).otherwise(none).alias("n_removed"),
+        F.when(gone, F.lit(1).cast("long")).when(lone, F.coalesce("n_spans", none)).otherwise(none).alias("n_spans"),
+        F.when(gone, F.lit(hashlib.sha256().hexdigest())).when(lone, F.coalesce("kept", "sha256")).otherwise(F.col("sha256")).alias("kept_sha256"),
     )
+
+
+def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size: str = "n_chars", length: int = 100) -> DataFrame:
+    """The rows of docs, with all their columns, after removal; rows of which nothing but white space is left go.
+
+    ``size`` (if there is such a column) gets the new number of characters of texts that lose a part.
+    """
+    _, firsts, cut = _judged(docs, key, text, length, as_text=True)
+    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    is_long = F.octet_length(whole) >= length
+    named = docs.where(is_long).withColumns({"_key": F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)), "_mark": F.xxhash64(whole)})
+    first = firsts.select(F.col("key").alias("_key"), F.col("mark").alias("_mark"))
+    kept = cut.select(F.col("key").alias("_key"), F.col("mark").alias("_mark"), F.col("kept").alias("_kept"))
+    both = named.join(first, ["_key", "_mark"]).join(kept, ["_key", "_mark"], "left").dropDuplicates(["_key", "_mark"])
+    both = both.where(F.col("_kept").isNull() | F.col("_kept").rlike(r"\S"))
+    new = {text: F.coalesce("_kept", text)}
+    if size in docs.columns:
+        new[size] = F.when(F.col("_kept").isNull(), F.col(size)).otherwise(F.length("_kept")).cast(docs.schema[size].dataType)
+    return both.withColumns(new).select(*docs.columns).unionByName(docs.where(~is_long))
