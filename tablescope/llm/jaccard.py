@@ -7,8 +7,8 @@ reduced count is probed in the long ones by binary search (DivideSkip).  Lists f
 common, so only the short parts of both sides meet.
 
 Hot groups: copies are one class from the start; a group of near copies is first linked to one central member per list,
-so that only members that are still apart are searched; shingles that many documents of a task have travel in blobs by
-task and are not gathered anywhere; posting lists are cut into blocks.
+so that only members that are still apart are searched, each in blocks of bounded size that answer all their queries and
+give out links alone; shingles that many documents of a task have travel in blobs by task and are not gathered anywhere.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablescope.llm.common import parts_for, text_groups, written
@@ -31,9 +31,9 @@ U = np.uint64
 FLUSH = 1_500_000
 #: Documents of one flush from which a shingle is hot.
 HOT = 64
-#: Input bytes per index partition, survivors per block of a posting list.
+#: Input bytes per index partition (more with larger executors), and entries of the inverted index of one block.
 BYTES_EACH = 8 << 20
-BLOCK_CLASSES = 65_536
+BLOCK_ENTRIES = 2_000_000
 #: Occurrences in short lists that a pair must reach beyond the first.
 EXTRA = 2
 #: Stands for a null key, which comes after all others.
@@ -451,54 +451,97 @@ def divide_skip(lists: Iterable[np.ndarray], least: int) -> list[int]:
     return found
 
 
-def _candidates(short: DataFrame, blocks: int, percent: int) -> DataFrame:
-    """Pairs of classes in different components that meet often enough in short lists.
+def t_occurrence(query: np.ndarray, keys: np.ndarray, owners: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, overlap) of the sets that share at least t of the query's elements.
 
-    ``short`` has h, cls, n, least and comp.  In each list the members of the largest component need not search: every
-    pair across components has a member outside it.
+    The inverted lists are slices of ``owners``, which is ordered by (keys, owners).  The longest lists, fewer than t, are
+    set aside; ids that occur often enough in the short ones are probed in the long ones.
+    """
+    low, high = np.searchsorted(keys, query, "left"), np.searchsorted(keys, query, "right")
+    met = np.flatnonzero(high > low)
+    if len(met) < t:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    met = met[np.argsort((high - low)[met], kind="stable")]
+    longest = int((high - low)[met[-1]])
+    aside = min(t - 1, int(t / (0.0085 * np.log2(longest + 1) + 1)))
+    lists = [owners[low[i] : high[i]] for i in met]
+    short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
+    found = np.array(divide_skip(short, t - aside), np.int64)
+    if not len(found):
+        return found, found
+    overlap = np.zeros(len(found), np.int64)
+    for ids in (*short, *long):
+        at = np.minimum(np.searchsorted(ids, found), len(ids) - 1)
+        overlap += ids[at] == found
+    return found[overlap >= t], overlap[overlap >= t]
+
+
+def _routes(short: DataFrame) -> DataFrame:
+    """(cls, hub, sub): the blocks that may hold a partner of a class in another component.
+
+    ``short`` has h, cls, least, comp, hub and sub.  In each list the members of the largest component need not ask: of
+    two members in different components one is outside it.  A block must meet the class in as many of its short lists as
+    a partner would.
     """
     in_list = short.groupBy("h", "comp").agg(F.count("*").alias("k"))
     largest = in_list.groupBy("h").agg(F.count("*").alias("comps"), F.max(F.struct("k", "comp")).alias("top"))
     mixed = largest.where("comps > 1").select("h", F.col("top.comp").alias("top"))
-    open_lists = short.join(mixed, "h")
-    asking = open_lists.where("comp <> top").select("cls", "least", "comp", "n").distinct()
-    posts = (
-        open_lists.withColumn("block", F.pmod("cls", F.lit(blocks)).cast("int"))
-        .groupBy("h", "block", "comp", F.floor(F.log2("n") * 3).alias("size"))
-        .agg(F.sort_array(F.collect_list("cls")).alias("ids"), F.min("n").alias("lo"), F.max("n").alias("hi"))
-    )
-    # all lists of who asks, also those where it belongs to the largest component
-    wants = short.join(asking.select("cls").distinct(), "cls").select("h", "cls", "least", "n", "comp")
-    met = wants.join(posts.withColumnRenamed("comp", "other"), "h").where(
-        f"comp <> other and hi * 100 >= n * {percent} and lo * {percent} <= n * 100"
-    )
-    return met.select("cls", "block", "least", "ids")
+    open_lists = written(short.join(mixed, "h"), "open-lists")
+    asking = open_lists.where("comp <> top").select("cls").distinct()
+    wants = open_lists.join(asking, "cls").select("h", "cls", "least")
+    posts = open_lists.select("h", "hub", "sub").distinct()
+    met = wants.join(posts, "h").groupBy("cls", "hub", "sub").agg(F.count("*").alias("k"), F.min("least").alias("least"))
+    return met.where("k >= least").select("cls", "hub", "sub")
 
 
-def _merged(met: DataFrame, parts: int) -> DataFrame:
-    """Heap merge of the posting blocks of each (class, block); pairs come once."""
+def _searched(routes: DataFrame, homes: DataFrame, survivors: DataFrame, parts: int, percent: int) -> DataFrame:
+    """Pairs (a, b) in different components that link: each block's index answers the queries sent to it.
+
+    ``homes`` has cls, comp, hub and sub of every survivor.  A query is linked once with each component of a block.
+    """
+    used = routes.select("hub", "sub").distinct()
+    indexed = homes.join(used, ["hub", "sub"]).withColumn("asks", F.lit(0))
+    asked = routes.join(homes.select("cls", "comp"), "cls").withColumn("asks", F.lit(1))
+    names = ["hub", "sub", "asks", "cls", "comp"]
+    rows = indexed.select(*names).unionByName(asked.select(*names)).join(survivors, "cls").select(*names, "n", "shared")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def each() -> Iterator[tuple[int, int, int, np.ndarray]]:
+        def each() -> Iterator[tuple]:
             for batch in batches:
-                cls, block, least = (batch.column(i).to_numpy().tolist() for i in range(3))
-                for i in range(batch.num_rows):
-                    yield cls[i], block[i], least[i], batch.column(3)[i].values.to_numpy()
+                yield from zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True)
 
         a: list[int] = []
         b: list[int] = []
-        for (cls, _, least), rows in itertools.groupby(each(), key=lambda r: r[:3]):
-            found = divide_skip((r[3] for r in rows), least)
-            a += [cls] * len(found)
-            b += found
-            if len(a) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["x", "y"])
+        for _, block in itertools.groupby(each(), key=lambda r: r[:2]):
+            ids, comps, sizes, sets = [], [], [], []
+            keys = owners = None
+            for _, _, asks, cls, comp, n, shared in block:
+                shingles = np.frombuffer(shared, U)
+                if not asks:
+                    ids.append(cls)
+                    comps.append(comp)
+                    sizes.append(n)
+                    sets.append(shingles)
+                    continue
+                if keys is None:
+                    owners = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+                    keys = np.concatenate([np.zeros(0, U), *sets])
+                    order = np.lexsort((owners, keys))
+                    keys, owners = keys[order], owners[order]
+                    sets.clear()
+                linked = {comp}
+                for x, overlap in zip(*t_occurrence(shingles, keys, owners, int(needed(n, percent))), strict=True):
+                    if comps[x] not in linked and 100 * overlap >= percent * (n + sizes[x] - overlap):
+                        linked.add(comps[x])
+                        a.append(cls)
+                        b.append(ids[x])
+            if len(a) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
                 a, b = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["x", "y"])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    dealt = met.repartition(parts, "cls", "block").sortWithinPartitions("cls", "block", "least")
-    pairs = dealt.mapInArrow(run, "x long, y long")
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    dealt = rows.repartition(parts, "hub", "sub").sortWithinPartitions("hub", "sub", "asks")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def _classes_and_roots(docs: DataFrame, key: str, text: str, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -522,24 +565,25 @@ def _classes_and_roots(docs: DataFrame, key: str, text: str, words: int, percent
     short = written(_short_lists(survivors, percent, EXTRA), "short-lists")
 
     # one central member of each list first
-    central = short.groupBy("h").agg(F.max(F.struct("share", "cls", "n")).alias("c")).select("h", "c.cls", "c.n")
-    star = (
-        short.select("h", F.col("cls").alias("b"), F.col("n").alias("nb"))
-        .join(central.select("h", F.col("cls").alias("a"), F.col("n").alias("na")), "h")
-        .where(f"a <> b and least(na, nb) * 100 >= greatest(na, nb) * {percent}")
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
+    central = short.groupBy("h").agg(F.max(F.struct("share", "cls", "n")).alias("c")).select("h", F.col("c.cls").alias("a"), F.col("c.n").alias("na"))
+    met = short.select("h", F.col("cls").alias("b"), F.col("n").alias("nb")).join(central, "h")
+    star = written(met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k")), "stars")
+    tried = star.where(f"a <> b and least(na, nb) * 100 >= greatest(na, nb) * {percent}").select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
     )
-    sure = written(_linked(star, survivors, percent), "links")
+    sure = written(_linked(tried.distinct(), survivors, percent), "links")
     roots = components(sure).select(F.col("node").alias("cls"), F.col("root").alias("comp"))
 
-    # then all that is still apart
-    tagged = written(
-        short.join(roots, "cls", "left").select("h", "cls", "n", "least", F.coalesce("comp", "cls").alias("comp")), "short-lists"
+    # then all that is still apart: classes live in blocks around the member that is central to most of their lists
+    hubs = star.groupBy(F.col("b").alias("cls")).agg(F.max(F.struct("k", "a")).alias("h")).select("cls", F.col("h.a").alias("hub"))
+    sized = survivors.select("cls", (F.length("shared") / 8).alias("w")).join(hubs, "cls")
+    weight = sized.groupBy("hub").agg(F.ceil(F.sum("w") / BLOCK_ENTRIES).alias("subs"))
+    homes = hubs.join(weight, "hub").join(roots, "cls", "left").select(
+        "cls", F.coalesce("comp", "cls").alias("comp"), "hub", F.pmod(F.xxhash64("cls"), "subs").alias("sub")
     )
-    n_survivors = survivors.count()
-    met = _candidates(tagged, -(-n_survivors // BLOCK_CLASSES) or 1, percent)
-    rest = written(_linked(_merged(met, parts), survivors, percent), "links")
+    homes = written(homes, "homes")
+    routes = written(_routes(short.select("h", "cls", "least").join(homes, "cls")), "routes")
+    rest = written(_searched(routes, homes, survivors, parts, percent), "links")
     whole = components(sure.unionByName(rest))
 
     of_class = classes.join(whole.select(F.col("node").alias("cls"), "root"), "cls", "left").select(
@@ -578,6 +622,9 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: in
     first = of_class.groupBy("root").agg(F.min("first").alias("f")).select("f._key", "f._mark")
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     has_words = whole.rlike("[^\\x20\\x09-\\x0D]")
-    named = docs.where(has_words).withColumns({"_key": F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)), "_mark": F.xxhash64(whole)})
-    kept = named.join(first, ["_key", "_mark"]).dropDuplicates(["_key", "_mark"]).select(*docs.columns)
+    # the row travels as one value, so that its columns may have any names
+    named = docs.where(has_words).select(
+        F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("_key"), F.xxhash64(whole).alias("_mark"), F.struct(*docs.columns).alias("row")
+    )
+    kept = named.join(first, ["_key", "_mark"]).dropDuplicates(["_key", "_mark"]).select("row.*")
     return kept.unionByName(docs.where(~has_words))
