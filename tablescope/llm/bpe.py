@@ -16,6 +16,7 @@ import unicodedata
 from collections.abc import Iterable, Iterator
 from itertools import batched, chain, pairwise
 
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
@@ -194,7 +195,7 @@ def encode_texts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
 
     def work():
         encoder = Encoder(path)
-        return lambda texts: {"ids": [list(encoder.encode(t)) for t in texts]}
+        return lambda texts: {"ids": pa.array([list(encoder.encode(t)) for t in texts], pa.list_(pa.int32()))}
 
     return by_text(docs, key, text, work, "ids array<int>")
 

@@ -26,12 +26,14 @@ U = np.uint64
 GRAM = 32
 #: Bytes of a step of vectorised work, and bits of a position in it.
 STEP, POSITION_BITS = 900_000, 20
-FLUSH = 500_000
+FLUSH = 300_000
 BYTES_EACH = 8 << 20
 #: Bytes that the multikey quicksort looks at before blind tries take over.
 SHALLOW = 24
 #: Bytes of runs that a task remembers to draw equal ones together.
-HELD_BYTES = 32 << 20
+HELD_BYTES = 16 << 20
+#: Bytes of differing runs that are sorted at once.
+SORTED_BYTES = 500_000
 #: Stands for a null key, which comes after all others.
 NO_KEY = (1 << 63) - 1
 
@@ -457,7 +459,7 @@ def _later_spans(runs: DataFrame, length: int, parts: int) -> DataFrame:
                         ready.append(carried)
                         size += sum(len(c) for _, c in carried)
                     carried, anchor_now = {}, anchor
-                    if size > 2_000_000:
+                    if size > SORTED_BYTES:
                         yield settle()
                         size = 0
                 order, name = (key, mark, at), (back, content)
@@ -567,12 +569,18 @@ def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     _, firsts, cut = _judged(docs, key, text, length, as_text=True)
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     is_long = F.octet_length(whole) >= length
-    named = docs.where(is_long).withColumns({"_key": F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)), "_mark": F.xxhash64(whole)})
-    first = firsts.select(F.col("key").alias("_key"), F.col("mark").alias("_mark"))
-    kept = cut.select(F.col("key").alias("_key"), F.col("mark").alias("_mark"), F.col("kept").alias("_kept"))
-    both = named.join(first, ["_key", "_mark"]).join(kept, ["_key", "_mark"], "left").dropDuplicates(["_key", "_mark"])
-    both = both.where(F.col("_kept").isNull() | F.col("_kept").rlike(r"\S"))
-    new = {text: F.coalesce("_kept", text)}
-    if size in docs.columns:
-        new[size] = F.when(F.col("_kept").isNull(), F.col(size)).otherwise(F.length("_kept")).cast(docs.schema[size].dataType)
-    return both.withColumns(new).select(*docs.columns).unionByName(docs.where(~is_long))
+    # the row travels as one value, so that its columns may have any names
+    named = docs.where(is_long).select(
+        F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("key"), F.xxhash64(whole).alias("mark"), F.struct(*docs.columns).alias("row")
+    )
+    both = named.join(firsts.select("key", "mark"), ["key", "mark"]).join(cut.select("key", "mark", "kept"), ["key", "mark"], "left")
+    both = both.dropDuplicates(["key", "mark"]).where(F.col("kept").isNull() | F.col("kept").rlike(r"\S"))
+    out = []
+    for field in docs.schema.fields:
+        value = F.col("row")[field.name]
+        if field.name == text:
+            value = F.coalesce("kept", value)
+        elif field.name == size:
+            value = F.when(F.col("kept").isNull(), value).otherwise(F.length("kept")).cast(field.dataType)
+        out.append(value.alias(field.name))
+    return both.select(*out).unionByName(docs.where(~is_long))
