@@ -25,7 +25,7 @@ from tablescope.llm.common import parts_for, text_groups, written
 U = np.uint64
 GRAM = 32
 #: Bytes of a step of vectorised work, and bits of a position in it.
-STEP, POSITION_BITS = 900_000, 20
+STEP, POSITION_BITS = 400_000, 20
 FLUSH = 300_000
 BYTES_EACH = 8 << 20
 #: Bytes that the multikey quicksort looks at before blind tries take over.
@@ -83,7 +83,10 @@ def anchors(raw: bytes, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.n
         good = valid[starts]
         starts, stops = starts[good], stops[good]
         x = place[starts]
-        out.append((h[x], x + at, starts + at, stops + at))
+        # least hashes are small numbers: mixed again, they are spread over all partitions
+        name = h[x] * _MULTIPLY[0]
+        name = (name ^ (name >> U(32))) * _MULTIPLY[1]
+        out.append((name ^ (name >> U(29)), x + at, starts + at, stops + at))
     if not out:
         return np.zeros(0, U), *(np.zeros(0, np.int64) for _ in range(3))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
@@ -251,7 +254,8 @@ def _of_docs(found: np.ndarray, doc: np.ndarray, names: np.ndarray) -> Iterator[
     found, doc = found[order], doc[order]
     first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
     for a, e in zip(first.tolist(), np.append(first[1:], len(doc)).tolist(), strict=True):
-        yield (OF_DOC, 0, *names[doc[a]].tolist(), found[a:e].tobytes())
+        high, low = names[doc[a]].tolist()
+        yield (OF_DOC, low & 0x7FFFFFFF, high, low, found[a:e].tobytes())  # only passes through: any partition will do
 
 
 def _find_anchors(texts: DataFrame, length: int, parts: int) -> DataFrame:
