@@ -257,19 +257,23 @@ def test_insight_value(frame):
     assert row["overall_value_score"] == pytest.approx(1.93 / 4) and row["low_value_insights"] == ["d"]
 
 
-@pytest.mark.parametrize(
-    "approved, severities, score, result",
-    [
-        (False, ["block"], 0.9, 0.0), (False, ["block"], 0.5, 0.0), (False, ["block"], 0.3, 0.3), (False, ["block"], 0.0, 0.0),
-        (False, [], 0.8, 0.4), (False, [], 0.51, 0.4), (False, [], 0.5, 0.5), (False, ["warn"], 0.35, 0.35),
-        (True, ["warn"], 0.95, 0.85), (True, ["warn"], 0.85, 0.85), (True, ["warn"], 0.8, 0.8), (True, [], 0.95, 0.95),
-        (True, ["warn", "block"], 0.95, 0.0),
-    ],
-)
-def test_clamps(spark, approved, severities, score, result):
-    reports = spark.createDataFrame([(1, approved, score)], "report int, approved boolean, score double")
-    findings = spark.createDataFrame([(1, s) for s in severities], "report int, severity string")
-    assert audit.clamp_scores(reports, findings).first()["clamped_score"] == result
+def test_clamps(spark):
+    """Every mix of verdict and findings, with scores on a grid and just beside each limit."""
+    grid = {round(limit + step, 3) for limit in (0.3, 0.5, 0.85) for step in (-0.013, 0.0, 0.013)} | {0.0, 0.117, 0.699, 1.0}
+    mixes = [(), ("warn",), ("block",), ("warn", "warn"), ("warn", "block")]
+    cases = [(ok, mix, score) for ok in (True, False) for mix in mixes for score in sorted(grid)]
+
+    def rule(ok, mix, score):
+        if "block" in mix and score > 0.3:
+            return 0.0
+        if not ok and score > 0.5:
+            return 0.4
+        return 0.85 if ok and mix and score > 0.85 else score
+
+    reports = spark.createDataFrame([(i, ok, score) for i, (ok, _, score) in enumerate(cases)], "report int, approved boolean, score double")
+    findings = spark.createDataFrame([(i, s) for i, (_, mix, _) in enumerate(cases) for s in mix], "report int, severity string")
+    found = {r["report"]: r["clamped_score"] for r in audit.clamp_scores(reports, findings).collect()}
+    assert found == {i: rule(*case) for i, case in enumerate(cases)}
 
 
 def test_claims(spark):

@@ -17,22 +17,24 @@ def category(df, exact=False):
 
 @pytest.mark.parametrize("exact", [False, True])
 def test_categories(frame, exact):
-    n = 100
-    days = [datetime(2023, 1, 1) + timedelta(days=i % 10) for i in range(n)]
-    ids = list(range(n))
-    df = frame(
-        "created_at timestamp, order_id int, customer_key int, product_code int, item_num int, ref_no int, "
-        "store_id int, region string, city string, note string, flag boolean, amount decimal(10,2), rating int, day date",
-        days, ids, ids, ids, ids, ids, [i % 3 for i in ids], ["NESW"[i % 4] for i in ids], [f"c{i % 50}" for i in ids],
-        [f"n{i}" for i in ids], [i % 2 == 0 for i in ids], [Decimal(i % 40) for i in ids], [i % 3 for i in ids],
-        [date(2023, 1, 1)] * n,
-    )
-    assert category(df, exact) == {
-        "created_at": "datetime", "order_id": "id_like", "customer_key": "id_like", "product_code": "id_like",
-        "item_num": "id_like", "ref_no": "id_like", "store_id": "id_like", "region": "categorical_low_cardinality",
-        "city": "categorical_high_cardinality", "note": "categorical_high_cardinality", "flag": "numeric_discrete",
-        "amount": "numeric_continuous", "rating": "numeric_discrete", "day": "datetime",
+    """One table of parcels; per column what the rules make of its name, type and spread."""
+    rows = range(240)
+    columns = {
+        "left_depot timestamp": ([datetime(2031, 5, 1, 6) + timedelta(hours=i // 8) for i in rows], "datetime"),
+        "promised date": ([date(2031, 6, 1 + i // 12) for i in rows], "datetime"),
+        "parcel_id long": ([7_000_000 + 13 * i for i in rows], "id_like"),
+        "courier_key int": ([i % 6 for i in rows], "id_like"),
+        "depot_code string": ([f"D{i % 9}" for i in rows], "id_like"),
+        "shelf_num int": ([i % 17 for i in rows], "id_like"),
+        "sealed boolean": ([i % 7 > 0 for i in rows], "numeric_discrete"),
+        "stops int": ([i % 5 for i in rows], "numeric_discrete"),
+        "weight decimal(8,3)": ([Decimal(i % 90) / 8 for i in rows], "numeric_continuous"),
+        "service string": ([("slow", "fast", "same day")[i % 3] for i in rows], "categorical_low_cardinality"),
+        "street string": ([f"street {i % 33}" for i in rows], "categorical_high_cardinality"),
+        "remark string": ([f"remark {i}" for i in rows], "free_text"),
     }
+    df = frame(", ".join(columns), *[values for values, _ in columns.values()])
+    assert category(df, exact) == {name.split()[0]: kind for name, (_, kind) in columns.items()}
 
 
 @pytest.mark.parametrize("exact", [False, True])
@@ -92,22 +94,22 @@ def test_name_candidates(spark):
     def found(**tables):
         return [tuple(r)[:5] for r in d.name_candidates(columns_of(spark, **tables)).collect()]
 
-    ids = [("customer_id", "id_like")]
-    assert found(orders=[*ids, ("amount", "numeric_continuous")], customers=[*ids, ("name", "free_text")]) == [
-        ("orders", "customer_id", "customers", "customer_id", 0.9)
+    key, low, high, number, text = "id_like", "categorical_low_cardinality", "categorical_high_cardinality", "numeric_continuous", "free_text"
+    parcels = [("depot_code", key), ("weight", number), ("remark", text), ("service", low)]
+    depots = [("depot_code", key), ("weight", number), ("remark", text), ("service", low), ("roof", low)]
+    assert sorted(found(parcels=parcels, depots=depots)) == [
+        ("parcels", "depot_code", "depots", "depot_code", 0.9), ("parcels", "service", "depots", "service", 0.7)
     ]
-    assert found(a=[("region", "categorical_low_cardinality")], b=[("region", "categorical_low_cardinality")])[0][4] == 0.7
-    assert found(a=[("amount", "numeric_continuous")], b=[("amount", "numeric_continuous")]) == []
-    assert found(a=[("notes", "free_text")], b=[("notes", "free_text")]) == []
-    assert found(a=[("x", "id_like")], b=[("y", "id_like")]) == []
-    assert found(a=[("x", "id_like")]) == []
-    assert found(a=[("CustomerID", "id_like")], b=[("customerid", "id_like")])[0][:4] == ("a", "CustomerID", "b", "customerid")
-    assert len(found(a=[("item_id", "id_like")], b=[("item_id", "id_like")], c=[("item_id", "id_like")])) == 3
-    # Only side a is tested.
-    name_high, name_low = ("name", "categorical_high_cardinality"), ("name", "categorical_low_cardinality")
-    assert found(a=[name_high], b=[name_low]) == [] and len(found(a=[name_low], b=[name_high])) == 1
-    # Of two equal names the last one counts.
-    assert found(a=[("Key_id", "free_text"), ("key_id", "id_like")], b=[("KEY_ID", "id_like")])[0][1] == "key_id"
+    # one table alone and names that differ give nothing, three tables give each pair
+    assert found(parcels=parcels) == found(parcels=parcels[:1], vans=[("van_code", key)]) == []
+    chain = found(parcels=parcels[:1], depots=depots[:1], lanes=[("DEPOT_CODE", key)])
+    assert [(a, b) for a, _, b, *_ in chain] == [("parcels", "depots"), ("parcels", "lanes"), ("depots", "lanes")]
+    assert chain[-1][3] == "DEPOT_CODE"
+    # only side a is tested
+    assert found(a=[("street", high)], b=[("street", low)]) == [] and len(found(a=[("street", low)], b=[("street", high)])) == 1
+    # of two names that are equal but for case the last one counts
+    twice = [("Lane_Key", text), ("lane_key", key)]
+    assert found(a=twice, b=[("LANE_KEY", key)])[0][1] == "lane_key"
 
 
 def verify(spark, tables, *pairs, method="exact", k=500):
@@ -119,23 +121,27 @@ def verify(spark, tables, *pairs, method="exact", k=500):
 
 
 @pytest.mark.parametrize("method", ["exact", "sampled"])
-def test_value_overlap(frame, spark, method):
-    def run(a, b):
-        ts = {"a": frame("k int", a), "b": frame("k int", b)}
-        return [
-            (r["cardinality"], r["cardinality_full"], r["join_hint"], round(r["overlap_ratio"], 3), r["detection_method"])
-            for r in verify(spark, ts, ("a", "k", "b", "k"), method=method)
-        ]
-
-    one = list(range(1, 51))
-    assert run(one * 3, one) == [("unknown", "many_to_one", "inner", 1.0, "combined")]
-    assert run(list(range(100)), list(range(5000, 5100))) == []
-    assert run(one, [i % 50 + 1 for i in range(200)]) == [("one_to_many", "one_to_many", "inner", 1.0, "combined")]
-    assert run([1, 2, 3] * 20, [1, 2, 3] * 20)[0][0] == "many_to_many"
-    assert run(one, one)[0][0] == "one_to_one"
-    assert run(list(range(50)), list(range(45, 145))) == []  # 5 of 50 is too little
-    assert run(list(range(50)), list(range(30, 130))) == [("one_to_one", "one_to_one", "left", 0.4, "combined")]
-    assert run([None, None], [1, 2]) == []
+@pytest.mark.parametrize("common", [0, 8, 9, 30, 47, 48, 60])
+@pytest.mark.parametrize("often", [(1, 1), (1, 3), (3, 1), (2, 2)])
+def test_value_overlap(frame, spark, method, common, often):
+    """60 keys on side a, 75 on side b; what comes out follows from the rules and the numbers."""
+    a = [10_000 + 7 * i for i in range(60)]
+    b = a[60 - common :] + [90_000 + i for i in range(75 - common)]
+    ts = {"a": frame("k int", [*a, None] * often[0]), "b": frame("k int", b * often[1])}
+    rows = verify(spark, ts, ("a", "k", "b", "k"), method=method)
+    if common / 60 < 0.15:
+        assert rows == []
+        return
+    full = {(1, 1): "one_to_one", (1, 3): "one_to_many", (3, 1): "many_to_one", (2, 2): "many_to_many"}[often]
+    (row,) = rows
+    assert row["cardinality_full"] == full and row["detection_method"] == "combined"
+    assert row["cardinality"] == ("unknown" if full == "many_to_one" else full)
+    assert row["overlap_ratio"] == pytest.approx(common / 60) and row["b_in_a_ratio"] == pytest.approx(common / 75)
+    assert row["join_hint"] == ("inner" if common / 75 > 0.8 else "left")
+
+
+def test_no_overlap_without_values(frame, spark):
+    assert verify(spark, {"a": frame("k int", [None, None]), "b": frame("k int", [4, 5])}, ("a", "k", "b", "k")) == []
 
 
 def test_overlap_across_types(frame, spark):

@@ -39,7 +39,7 @@ def test_merge_equals_pandas(spark, how, skew):
         ([(1, 1)], [(2, 2), (None, 3)]),
     ):
         a, b = spark.createDataFrame(left, "k int, v int"), spark.createDataFrame(right, "k int, v int")
-        got = j.merge(a, b, "k", how, skew=skew)
+        got = j.merge(a, b, "k", how, skew=skew, rows_per_task=5)
         assert got.columns == ["k", "v_x", "v_y"]
         assert as_rows(got) == pandas_rows(left, right, how)
 
@@ -49,15 +49,15 @@ def test_hot_keys_of_different_types(frame, how):
     """0.1 as double and as decimal is one key in SQL but not in Python."""
     a = frame("k double, x int", [0.1] * 20 + [0.3], list(range(21)))
     b = frame("k decimal(5,2), y int", [Decimal("0.10")] * 10 + [Decimal("0.20")], list(range(11)))
-    assert as_rows(j.merge(a, b, "k", how, skew="split")) == as_rows(j.merge(a, b, "k", how, skew="off"))
+    assert as_rows(j.merge(a, b, "k", how, skew="split", rows_per_task=3)) == as_rows(j.merge(a, b, "k", how, skew="off"))
 
 
 @pytest.mark.parametrize("skew", ["off", "split"])
 def test_merge_drop_nulls(spark, skew):
     left, right = [(None, i) for i in range(50)] + [(1, 100)], [(None, i) for i in range(50)] + [(1, 200), (2, 300)]
     a, b = spark.createDataFrame(left, "k int, v int"), spark.createDataFrame(right, "k int, v int")
-    assert as_rows(j.merge(a, b, "k", "inner", "drop", skew)) == [(1, 100, 200)]
-    assert j.merge(a, b, "k", "left", "drop", skew).count() == 51
+    assert as_rows(j.merge(a, b, "k", "inner", "drop", skew, 10)) == [(1, 100, 200)]
+    assert j.merge(a, b, "k", "left", "drop", skew, 10).count() == 51
     assert j.merge(a, b, "k", "outer", "drop", skew).count() == 102
 
 
@@ -109,23 +109,28 @@ def test_zero_activity(frame):
 # ------------------------------------------------------------------ profile
 
 
+DELAYS = [12, 17, 15, -400, 19, 14, 13, 16, 18, 11, 15, 17, 14, 950, 16, 13]
+
+
 @pytest.fixture
-def sample_df(frame):
+def parcels(frame):
+    n = len(DELAYS)
     return frame(
-        "numeric1 int, numeric2 int, categorical string, mostly_missing double",
-        [1, 2, 3, 100, 4, 5, 2, 3, 4, 2], list(range(10, 101, 10)), [*"ABCABCABC", None], [float("nan")] * 8 + [1.0, 2.0],
+        "delay int, weight double, service string, tip double",
+        DELAYS, [0.5 * i * i for i in range(n)], [None, "slow"] + ["fast"] * (n - 2), [2.5, None, 0.5] + [float("nan")] * (n - 3),
     )
 
 
-def test_outliers(sample_df):
-    row = p.detect_outliers(sample_df, "numeric1").first()
-    want = pd.Series([1, 2, 3, 100, 4, 5, 2, 3, 4, 2])
+def test_outliers(parcels):
+    row = p.detect_outliers(parcels, "delay").first()
+    want = pd.Series(DELAYS)
     assert (row["q1"], row["q3"]) == (want.quantile(0.25), want.quantile(0.75))
-    assert (row["outlier_count"], row["outlier_pct"], row["severity"], row["sample_values"]) == (1, 10.0, "medium", [100.0])
+    assert (row["outlier_count"], row["outlier_pct"], row["severity"]) == (2, 12.5, "high")
+    assert sorted(row["sample_values"]) == [-400.0, 950.0]
     with pytest.raises(KeyError):
-        p.detect_outliers(sample_df, "nope")
+        p.detect_outliers(parcels, "absent")
     with pytest.raises(KeyError):
-        p.quartiles(sample_df, ["nope"])
+        p.quartiles(parcels, ["absent"])
 
 
 @pytest.mark.parametrize("n_out, severity", [(5, "low"), (6, "medium"), (10, "medium"), (11, "high")])
@@ -136,9 +141,9 @@ def test_severity_at_thresholds(frame, n_out, severity):
     assert row["sample_values"][0] == 1000 + n_out - 1
 
 
-def test_discrete_columns_are_skipped(sample_df, frame):
-    assert p.outlier_report(sample_df).count() == 0
-    assert p.outlier_report(sample_df, skip_discrete=False).count() == 3
+def test_discrete_columns_are_skipped(parcels, frame):
+    assert p.outlier_report(parcels).count() == 0
+    assert p.outlier_report(parcels, skip_discrete=False).count() == 3
     df = frame("a int, b int, flag boolean", [i % 19 for i in range(60)], [i % 20 for i in range(60)], [True] * 60)
     assert [r["column"] for r in p.outlier_report(df).collect()] == ["b"]
 
@@ -152,12 +157,12 @@ def test_empty_and_all_missing(spark, frame):
     assert (row["n_rows"], row["q1"], row["outlier_count"]) == (2, None, 0)
 
 
-def test_full_profile(sample_df):
-    profile = p.full_profile(sample_df)
+def test_full_profile(parcels):
+    profile = p.full_profile(parcels)
     missing = {r["column"]: r for r in profile.missing.collect()}
-    assert (missing["mostly_missing"]["missing_pct"], missing["mostly_missing"]["critical"]) == (80.0, True)
-    assert missing["categorical"]["missing_count"] == 1
-    assert tuple(profile.missing_total.first()) == (9, ["mostly_missing"])
+    assert (missing["tip"]["missing_pct"], missing["tip"]["critical"]) == (87.5, True)
+    assert missing["service"]["missing_count"] == 1
+    assert tuple(profile.missing_total.first()) == (15, ["tip"])
     assert profile.correlations.count() == 3
 
 
@@ -204,20 +209,20 @@ def test_decimal_counts_as_number(frame):
     assert p.correlations(df).first()["r"] == pytest.approx(1.0)
 
 
-def test_plans(sample_df):
-    plan = p.TablePlan("t", id_like=["numeric2", "absent"], exclude=["categorical"], corr_columns=["numeric1", "numeric2"])
-    df = p.drop_planned(sample_df, plan)
-    assert df.columns == ["numeric1", "mostly_missing"] and p.correlation_columns(df, plan) is None
+def test_plans(parcels):
+    plan = p.TablePlan("t", id_like=["weight", "absent"], exclude=["service"], corr_columns=["delay", "weight"])
+    df = p.drop_planned(parcels, plan)
+    assert df.columns == ["delay", "tip"] and p.correlation_columns(df, plan) is None
     plans = [p.TablePlan("t"), p.TablePlan("j"), p.TablePlan("off", should_profile=False)]
     assert [x.table for x in p.active_plans(plans, {"j"}, "separate")] == ["t"]
     assert [x.table for x in p.active_plans(plans, {"j"}, "joined")] == ["j"]
     assert [x.table for x in p.active_plans(plans, {"j"}, "both")] == ["t", "j"]
 
 
-def test_a_failing_table_does_not_stop_the_others(sample_df, spark):
+def test_a_failing_table_does_not_stop_the_others(parcels, spark):
     bad = spark.range(1).select((F.lit(1) / F.col("id")).alias("x"))
-    profile, failures = p.profile_tables({"good": sample_df, "bad": bad}, [p.TablePlan("bad"), p.TablePlan("good")])
-    assert list(failures) == ["bad"] and {r["table"] for r in profile.missing.collect()} == {"good"}
+    profile, failures = p.profile_tables({"good": parcels, "bad": bad}, [p.TablePlan("bad"), p.TablePlan("good"), p.TablePlan("gone")])
+    assert sorted(failures) == ["bad", "gone"] and failures["gone"] == "no such table" and {r["table"] for r in profile.missing.collect()} == {"good"}
 
 
 def test_subgroup(frame):
@@ -237,7 +242,7 @@ VALUES = st.lists(st.one_of(st.none(), st.integers(-5, 5).map(float), st.floats(
 def test_quantiles_equal_pandas(spark, values, probs):
     df = spark.createDataFrame([(v,) for v in values], "x double")
     want = pd.Series(values, dtype=float).quantile(probs).tolist()
-    for method in ("counted", "bracket"):
+    for method in ("exact",):
         got = q.quantiles(df, {"x": F.col("x")}, probs, method)["x"]
         for g, w in zip(got, want):
             assert (g is None and math.isnan(w)) or g == pytest.approx(w, rel=1e-9, abs=1e-9)
@@ -252,7 +257,7 @@ def test_brackets_over_many_partitions(spark, spread, shape):
     }[shape]
     df = spark.range(0, 30_000, 1, 6).select(F.expr(value).cast("double").alias("x"))
     want = df.toPandas()["x"].quantile([0, 0.25, 0.5, 0.75, 1]).tolist()
-    assert q.quantiles(df, {"x": F.col("x")}, [0, 0.25, 0.5, 0.75, 1], "bracket")["x"] == pytest.approx(want)
+    assert q.quantiles(df, {"x": F.col("x")}, [0, 0.25, 0.5, 0.75, 1], "exact")["x"] == pytest.approx(want)
 
 
 def test_failed_bracket_is_widened(spark, monkeypatch):
@@ -267,5 +272,5 @@ def test_failed_bracket_is_widened(spark, monkeypatch):
         return real(values, brackets, counts, probs)
 
     monkeypatch.setattr(q, "_pick", miss_first)
-    assert q.quantiles(df, {"x": F.col("x")}, [0.25, 0.75], "bracket")["x"] == [249.75, 749.25]
+    assert q.quantiles(df, {"x": F.col("x")}, [0.25, 0.75], "exact")["x"] == [249.75, 749.25]
     assert len(calls) == 2
