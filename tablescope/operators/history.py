@@ -10,7 +10,6 @@ from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..sources.tables import _children
 
 JOIN_KEY = ["schema_hash", "left_table", "right_table", "on_column", "join_type"]
 WARNING_KEY = ["schema_hash", "finding_type", "affected"]
@@ -110,10 +109,12 @@ def join_records(log: DataFrame, schema_hash: str, now: datetime | None = None)
 
 
 class HistoryStore:
-    """The three history tables as parquet below a folder.
+    """The three history tables as parquet below a folder, one folder per family of datasets.
 
-    A write makes a new version folder and, when all of it is there, an empty mark file for it.  The data being
-    read is never overwritten, and a failed write leaves the old version in force.  One writer at a time.
+    ``families/<schema_hash>/<version>/<table>`` holds a family's rows.  A write makes a new version of one family only
+    and, when all of it is there, an empty mark file for it; creating a mark that exists fails, so of two writers one
+    gives up.  What is being read is never overwritten, and a failed write leaves the old version in force.  Versions
+    older than the one before the current are deleted.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -122,56 +123,79 @@ class HistoryStore:
         self._path = lambda p: path(p)
         self._fs = path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def version(self) -> int:
-        if not self._fs.exists(self._path(self.root)):
-            return 0
-        marks = [c.rsplit("/", 1)[-1] for c in _children(self.spark, self.root)]
-        return max([int(m.split("-")[1]) for m in marks if m.startswith("current-")], default=0)
+    def _entries(self, folder: str) -> list[str]:
+        if not self._fs.exists(self._path(folder)):
+            return []
+        return [str(s.getPath().getName()) for s in self._fs.listStatus(self._path(folder))]
+
+    def _home(self, schema_hash: str) -> str:
+        return f"{self.root}/families/schema_hash={schema_hash}"
+
+    def version(self, schema_hash: str) -> int:
+        """The version of a family in force; 0 if nothing was written yet."""
+        marks = [e for e in self._entries(self._home(schema_hash)) if e.startswith("current-")]
+        return max([int(m.split("-")[1]) for m in marks], default=0)
+
+    def families(self) -> list[str]:
+        return sorted(e.split("=", 1)[1] for e in self._entries(f"{self.root}/families") if e.startswith("schema_hash="))
+
+    def _read(self, places: list[tuple[str, int]]) -> dict[str, DataFrame]:
+        out = {}
+        for name, schema in SCHEMAS.items():
+            paths = [f"{self._home(h)}/v={v}/{name}" for h, v in places]
+            if not paths:
+                out[name] = self.spark.createDataFrame([], schema)
+                continue
+            # The schema is given: a hash of digits only must not be read as a number.
+            reader = self.spark.read.schema(schema).option("basePath", f"{self.root}/families")
+            out[name] = reader.parquet(*paths).select(*_names(schema))
+        return out
 
     def tables(self) -> dict[str, DataFrame]:
         """All families; empty tables if nothing was written yet."""
-        v = self.version()
-        if v == 0:
-            return {name: self.spark.createDataFrame([], schema) for name, schema in SCHEMAS.items()}
-        # The schema is given: a hash of digits only must not be read as a number.
-        return {
-            name: self.spark.read.schema(schema).parquet(f"{self.root}/v{v}/{name}").select(*_names(schema))
-            for name, schema in SCHEMAS.items()
-        }
+        return self._read([(h, v) for h in self.families() if (v := self.version(h))])
 
     def load(self, schema_hash: str) -> dict[str, DataFrame]:
-        return load_history(self.tables(), schema_hash)
+        """One family: only its own folder is read."""
+        v = self.version(schema_hash)
+        return load_history(self._read([(schema_hash, v)] if v else []), schema_hash)
 
     def persist(
         self, schema_hash: str, new_joins: DataFrame, new_warnings: DataFrame, now: datetime | None = None
     ) -> int:
-        """Fold a run into the history and return the new version number."""
+        """Fold a run of one family into the history and return the family's new version number."""
         now = now or datetime.now(timezone.utc).replace(tzinfo=None)
-        old = self.tables()
+        old = self.load(schema_hash)
         run = self.spark.createDataFrame([(schema_hash, now)], "schema_hash string, last_run_at timestamp_ntz")
+        mine = F.col("schema_hash") == schema_hash
         return self._write(
+            schema_hash,
             {
-                "joins": merge_joins(old["joins"], new_joins, now),
-                "warnings": merge_warnings(old["warnings"], new_warnings, now),
+                "joins": merge_joins(old["joins"], new_joins.where(mine), now),
+                "warnings": merge_warnings(old["warnings"], new_warnings.where(mine), now),
                 "runs": bump_runs(old["runs"], run),
-            }
+            },
         )
 
     def prune(self, schema_hash: str, days: int = 365, now: datetime | None = None) -> int:
-        old = self.tables()
+        """Drop a family's joins not seen for so long; returns how many."""
+        old = self.load(schema_hash)
         before = old["joins"].count()
-        self._write({**old, "joins": prune_joins(old["joins"], schema_hash, days, now)})
-        return before - self.tables()["joins"].count()
+        self._write(schema_hash, {**old, "joins": prune_joins(old["joins"], schema_hash, days, now)})
+        return before - self.load(schema_hash)["joins"].count()
 
-    def _write(self, tables: dict[str, DataFrame]) -> int:
-        v = self.version() + 1
+    def _write(self, schema_hash: str, tables: dict[str, DataFrame]) -> int:
+        home, current = self._home(schema_hash), self.version(schema_hash)
+        v = current + 1
         for name, df in tables.items():
             # Rebalancing keeps a family in few files but splits one that is very large.
-            df.hint("rebalance", "schema_hash").write.mode("overwrite").partitionBy("schema_hash").parquet(
-                f"{self.root}/v{v}/{name}"
-            )
+            df.drop("schema_hash").hint("rebalance").write.mode("overwrite").parquet(f"{home}/v={v}/{name}")
         # The version counts from the moment its mark exists, after all three tables are complete.
-        self._fs.create(self._path(f"{self.root}/current-{v}"), True).close()
+        self._fs.create(self._path(f"{home}/current-{v}"), False).close()
+        for entry in self._entries(home):
+            number = int(entry.replace("=", "-").split("-")[1])
+            if number < current:  # a reader may still be busy with the version before this one
+                self._fs.delete(self._path(f"{home}/{entry}"), True)
         return v
 
 

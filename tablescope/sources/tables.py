@@ -21,7 +21,12 @@ _TRUTH = r"^(True|TRUE|true|False|FALSE|false)$"
 
 
 class TableSet(dict):
-    """Tables by name, in the given order.  Values are lazy DataFrames."""
+    """Tables by name, in the given order.  Values are lazy DataFrames.
+
+    ``skipped`` names what a loader found in a folder and did not read.
+    """
+
+    skipped: list[str] = []
 
     def register(self) -> "TableSet":
         """Make every table a temp view, so that ``spark.sql`` can use it."""
@@ -51,18 +56,39 @@ def _number_text(item: Column) -> Column:
     return F.regexp_replace(F.trim(item), "(?i)(?:infinity|inf)$", "Infinity").cast("double")
 
 
+def _csv_rows(spark: SparkSession, path: str, schema: T.StructType | str | None, multiline: bool) -> DataFrame:
+    """The cells of a CSV file; a row with more cells than the header (or schema) is an error, a shorter one ends in nulls."""
+    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multiline)
+    reader = reader.option("nullValue", "\u0001").option("emptyValue", "")
+    if schema is None:
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in reader.csv(path).columns])
+    elif isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    if not schema.fields:
+        return reader.csv(path)
+    names = [f.name for f in schema.fields]
+    over = "_over"
+    while over in names:
+        over += "_"
+    # one cell more than there may be: it stays null unless a row is too long
+    df = reader.schema(T.StructType([*schema.fields, T.StructField(over, T.StringType())])).csv(path)
+    extra = F.concat(F.lit("a row has more cells than there are columns, the first of them: "), col(over))
+    fits = F.when(col(over).isNotNull(), F.raise_error(extra).cast("boolean")).otherwise(True)
+    return df.where(fits).select(*[col(c) for c in names])
+
+
 def load_csv(
-    spark: SparkSession, path: str, schema: T.StructType | str | None = None, multiline: bool = False
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, multiline: bool = True
 ) -> TableSet:
     """One CSV file (or folder of parts) as a table named by the file stem.
 
     Missing tokens become null before types are chosen, so a number column with "N/A" cells stays a
-    number column.  Dates stay text.  Give ``schema`` to skip the pass that chooses types.
+    number column.  Dates stay text.  Give ``schema`` to skip the pass that chooses types.  Quoted cells may hold line
+    breaks; where no cell does, ``multiline=False`` lets Spark read one file in many tasks.
     """
-    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multiline)
     if schema is not None:
-        return TableSet({_stem(path): missing_norm(reader.schema(schema).csv(path), MISSING_TOKENS)}).register()
-    raw = missing_norm(reader.csv(path), MISSING_TOKENS)
+        return TableSet({_stem(path): missing_norm(_csv_rows(spark, path, schema, multiline), MISSING_TOKENS)}).register()
+    raw = missing_norm(_csv_rows(spark, path, None, multiline), MISSING_TOKENS)
     if raw.columns:
         checks = []
         for i, name in enumerate(raw.columns):
@@ -93,19 +119,35 @@ def load_csv(
 
 
 def load_table_set(
-    spark: SparkSession, folder: str, fmt: str = "parquet", tables: list[str] | None = None
+    spark: SparkSession,
+    folder: str,
+    fmt: str = "parquet",
+    tables: list[str] | None = None,
+    schemas: dict[str, T.StructType | str] | None = None,
+    multiline: bool = True,
 ) -> TableSet:
-    """Many tables below one folder, ``<name>.<fmt>`` files or ``<name>/`` folders.
+    """Many tables below one folder, ``<name>.<fmt>`` files or folders and ``<name>/`` folders.
 
-    Tables keep the order of ``tables``, else name order.
+    Tables keep the order of ``tables``, else name order.  Two paths of one name are an error.  Hidden entries and job
+    markers are left out, files of other kinds are named in ``skipped`` of the result.  ``schemas`` (by table) and
+    ``multiline`` go to the CSV reader.
     """
-    paths = _children(spark, folder)
-    found = {}
-    for path in paths:
-        base = path.rsplit("/", 1)[-1]
-        if base.startswith(("_", ".")) or ("." in base and not base.endswith("." + fmt)):
+    found: dict[str, str] = {}
+    skipped = []
+    for path, is_folder in _children(spark, folder):
+        base = path.rstrip("/").rsplit("/", 1)[-1]
+        if base.startswith(("_", ".")):
             continue
-        found[_stem(path)] = path
+        if base.endswith("." + fmt):
+            name = base[: -len(fmt) - 1]
+        elif is_folder:
+            name = base
+        else:
+            skipped.append(base)
+            continue
+        if name in found:
+            raise ValueError(f"two paths of the table {name!r}: {found[name]} and {path}")
+        found[name] = path
     names = tables if tables is not None else sorted(found)
     absent = [n for n in names if n not in found]
     if absent:
@@ -113,30 +155,31 @@ def load_table_set(
 
     def load(name: str) -> DataFrame:
         if fmt == "csv":
-            return next(iter(load_csv(spark, found[name]).values()))
+            return next(iter(load_csv(spark, found[name], (schemas or {}).get(name), multiline).values()))
         return spark.read.format(fmt).load(found[name])
 
     # Schemas are read side by side.
     with ThreadPoolExecutor(max_workers=8) as pool:
-        return TableSet(zip(names, pool.map(load, names))).register()
+        out = TableSet(zip(names, pool.map(load, names)))
+    out.skipped = sorted(skipped)
+    return out.register()
 
 
-def _children(spark: SparkSession, folder: str) -> list[str]:
+def _children(spark: SparkSession, folder: str) -> list[tuple[str, bool]]:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return [str(s.getPath()) for s in fs.listStatus(path)]
+    return sorted((str(s.getPath()), bool(s.isDirectory())) for s in fs.listStatus(path))
 
 
-def _quoted(name: str) -> str:
-    return ".".join("`" + part.replace("`", "``") + "`" for part in name.split("."))
+def _quoted(parts: list[str]) -> str:
+    return ".".join("`" + part.replace("`", "``") + "`" for part in parts)
 
 
 def load_catalog(spark: SparkSession, database: str | None = None) -> TableSet:
     """All tables and views of a catalog database, lazily."""
     out = TableSet()
     for table in sorted(spark.catalog.listTables(database), key=lambda t: t.name):
-        where = ".".join([*(table.namespace or []), table.name])
-        out[table.name] = full_scan(spark, where)
+        out[table.name] = full_scan(spark, [*(table.namespace or []), table.name])
     return out
 
 
@@ -152,7 +195,10 @@ def load_jdbc(spark: SparkSession, url: str, tables: list[str], **options: str)
     return out.register()
 
 
-def full_scan(spark: SparkSession, table: str) -> DataFrame:
+def full_scan(spark: SparkSession, table: str | list[str]) -> DataFrame:
+    """A whole table.  Parts of a name come as a list; a text with dots is one name if there is such a table or view."""
+    if isinstance(table, str):
+        table = [table] if "." not in table or spark.catalog.tableExists(_quoted([table])) else table.split(".")
     return spark.table(_quoted(table))
 
 
