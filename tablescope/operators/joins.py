@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..functions import clean, col, is_boolean, is_datetime, is_number, required
-from ..plans.skew import broadcast_limit, hot_keys, size_estimate
+from ..functions import canonical_key, clean, col, is_boolean, is_datetime, is_floating, is_number, required
+from ..plans.skew import ROWS_PER_TASK, can_broadcast, hot_keys
+from ..session import ensure_checkpoint_dir
 from ..sources.tables import TableSet
 
-# Below this many bytes on either side one task can take any key, so no sketch pass is run.
-SPLIT_BYTES = 1 << 30
-MAX_SALT = 256
 HOW = {"inner": "inner", "left": "left", "outer": "full", "full": "full"}
 
 
@@ -41,12 +39,16 @@ def merge(
     how: str = "inner",
     null_keys: str = "match",
     skew: str = "auto",
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Join on one column of both sides; other shared names get ``_x`` and ``_y``.
 
     ``null_keys="match"`` pairs missing keys with each other, ``"drop"`` never does.  Broadcast or sort-merge is
-    Catalyst's choice.  When both sides are large, keys holding many rows are found first and spread over
-    salts (``skew="auto"``; ``"split"`` always does it, ``"off"`` never).
+    Catalyst's choice.  Unless a side can be broadcast for this join type, keys with more than ``rows_per_task`` rows on
+    a side are found first and spread, each over as many salts as its rows need; a key that is hot on both sides is
+    spread on both (``skew="auto"``; ``"split"`` looks even where a side can be broadcast, ``"off"`` never).
+
+    Keys of different number types meet as exact decimals.
     """
     if how not in HOW:
         raise ValueError(f"unknown join type {how!r}")
@@ -55,6 +57,10 @@ def merge(
     if _family(left.schema[on].dataType) != _family(right.schema[on].dataType):
         raise TypeError(f"key '{on}' has incompatible types")
     shared = {c for c in left.columns if c in right.columns and c != on}
+    names = [c + "_x" if c in shared else c for c in left.columns] + [c + "_y" if c in shared else c for c in right.columns if c != on]
+    twice = sorted({c for c in names if names.count(c) > 1} | {c for c in names if c in INNER})
+    if twice:
+        raise ValueError(f"the result would have columns that clash: {', '.join(twice)}")
     lhs = left.select(*[(clean(left, c) if c == on else col(c)).alias(c + "_x" if c in shared else c) for c in left.columns])
     rhs = right.select(
         *[clean(right, c).alias("_rk") if c == on else col(c).alias(c + "_y" if c in shared else c) for c in right.columns]
@@ -62,80 +68,82 @@ def merge(
     out = [F.coalesce(col(on), F.col("_rk")).alias(on) if how in ("outer", "full") and c == on else col(c) for c in lhs.columns]
     out += [col(c) for c in rhs.columns if c != "_rk"]
     match = null_keys == "match"
-    same = col(on).eqNullSafe(F.col("_rk")) if match else col(on) == F.col("_rk")
+    exact_l, exact_r = _comparable(lhs, on, rhs, "_rk")
+    same = exact_l.eqNullSafe(exact_r) if match else exact_l == exact_r
 
-    spread = _Spread.plan(lhs, rhs, on, match, skew)
+    spread = _Spread.plan(lhs, rhs, on, exact_l, exact_r, HOW[how], match, skew, rows_per_task)
     if spread is None:
         return lhs.join(rhs, same, HOW[how]).select(*out)
-    salted_l, salted_r = spread.left(lhs, col(on)), spread.right(rhs, F.col("_rk"))
+    salted_l, salted_r = spread.left(lhs), spread.right(rhs)
     joined = salted_l.join(salted_r, same & (F.col("_ls") == F.col("_rs")), HOW[how])
     # A copied row that met nothing at one salt is not an unmatched row: its key was seen on the other side.
     if how != "inner":
-        joined = joined.where(~(F.col("_rs").isNull() & spread.copied_left(col(on))))
+        joined = joined.where(~(F.col("_rs").isNull() & F.col("_lc")))
     if how in ("outer", "full"):
-        joined = joined.where(~(F.col("_ls").isNull() & spread.copied_right(F.col("_rk"))))
+        joined = joined.where(~(F.col("_ls").isNull() & F.col("_rc")))
     return joined.select(*out)
 
 
+#: Names that a spread join uses inside.
+INNER = {"_rk", "_ls", "_rs", "_lc", "_rc"}
+
+
+def _comparable(lhs: DataFrame, left: str, rhs: DataFrame, right: str) -> tuple[Column, Column]:
+    """Both keys in a form in which they are equal only if their values are: never a long passed through double."""
+    kinds = [lhs.schema[left].dataType, rhs.schema[right].dataType]
+    numbers = [is_number(k) or is_boolean(k) for k in kinds]
+    floats = [is_floating(k) for k in kinds]
+    if kinds[0] == kinds[1] or not all(numbers) or all(floats) or not any(floats) and not any(isinstance(k, T.DecimalType) for k in kinds):
+        return col(left), col(right)
+    return canonical_key(lhs, left), canonical_key(rhs, right)
+
+
 @dataclass
 class _Spread:
-    """Which keys to salt on the left, which on the right, and over how many salts."""
+    """Hot keys with the salts of their left rows (a) and of their right rows (b): a row of the left takes one of a
+    places and goes to all b of them, a row of the right the other way round, so each pair meets once."""
 
-    hot_left: list
-    hot_right: list  # without those in hot_left
-    null_left: bool
-    null_right: bool
+    keys: dict
+    left_key: Column
+    right_key: Column
     match: bool
-    salts: int
 
     @classmethod
-    def plan(cls, left, right, on, match, skew) -> "_Spread | None":
-        if skew == "off":
+    def plan(cls, left, right, on, left_key, right_key, how, match, skew, rows_per_task) -> "_Spread | None":
+        if skew == "off" or (skew == "auto" and can_broadcast(left, right, how)):
             return None
-        if skew == "auto":
-            limit = max(SPLIT_BYTES, broadcast_limit(left.sparkSession))
-            sizes = [size_estimate(left), size_estimate(right)]
-            if any(s is not None and s < limit for s in sizes):
-                return None
-        low = 0 if skew == "split" else 1_000_000
-        hot_l, null_l = hot_keys(left, col(on), low)
-        hot_r, null_r = hot_keys(right, F.col("_rk"), low)
-        hot_r = [k for k in hot_r if k not in hot_l]
-        if not (hot_l or hot_r or null_l or null_r):
-            return None
-        parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        return cls(hot_l, hot_r, null_l, null_r and not (match and null_l), match, max(2, min(MAX_SALT, math.ceil(parts / 3))))
-
-    def _is(self, key: Column, values: list, null: bool) -> Column:
-        found = F.coalesce(key.isin(values), F.lit(False)) if values else F.lit(False)
-        return found | key.isNull() if null else found
-
-    def copied_left(self, key: Column) -> Column:
-        return self._is(key, self.hot_right, self.null_right and self.match)
-
-    def copied_right(self, key: Column) -> Column:
-        return self._is(key, self.hot_left, self.null_left and self.match)
-
-    def _salted(self, df: DataFrame, name: str, *rules: tuple[str, Column]) -> DataFrame:
-        # The salt comes from the row itself, so a task that runs again gives the same salts.
-        plain = [col(f.name) for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-        salts = {
-            "one": F.array(F.pmod(F.xxhash64(*plain), F.lit(self.salts)).cast("int")),
-            "all": F.sequence(F.lit(0), F.lit(self.salts - 1)),
-        }
-        where = F.array(F.lit(0))
-        for kind, holds in reversed(rules):
-            where = F.when(holds, salts[kind]).otherwise(where)
-        return df.withColumn(name, F.explode(where))
-
-    # On both sides a key that is hot on the left is decided first, so that the sides always agree.
-    def left(self, df: DataFrame, key: Column) -> DataFrame:
-        hot = self._is(key, self.hot_left, self.null_left)
-        return self._salted(df, "_ls", ("one", hot), ("all", self.copied_left(key)))
-
-    def right(self, df: DataFrame, key: Column) -> DataFrame:
-        hot = self._is(key, self.hot_right, self.null_right)
-        return self._salted(df, "_rs", ("all", self.copied_right(key)), ("one", hot))
+        hot_l, hot_r = hot_keys(left, left_key, rows_per_task), hot_keys(right, right_key, rows_per_task)
+        keys = {k: (hot_l.get(k, 1), hot_r.get(k, 1)) for k in [*hot_l, *hot_r]}
+        return cls(keys, left_key, right_key, match) if keys else None
+
+    def _parts(self, key: Column, side: int, copies: bool = False) -> Column:
+        """How many salts the rows of this key have on a side.  Missing keys that meet nothing need no copies."""
+        found = F.lit(1)
+        for n in sorted({v[side] for v in self.keys.values()} - {1}):
+            same = [k for k, v in self.keys.items() if v[side] == n and not (k is None and copies and not self.match)]
+            values = [k for k in same if k is not None]
+            holds = F.coalesce(key.isin(values), F.lit(False)) if values else F.lit(False)
+            found = F.when(holds | key.isNull() if None in same else holds, F.lit(n)).otherwise(found)
+        return found
+
+    def _salted(self, df: DataFrame, key: Column, side: int, salt: str, copied: str) -> DataFrame:
+        own, other = self._parts(key, side), self._parts(key, 1 - side, copies=True)
+        # The place comes from the row itself, so a task that runs again gives the same salts, and from its short
+        # columns, so long texts need not be read for it.  Rows that are equal in these share a salt.
+        kinds = {f.name: f.dataType for f in df.schema.fields}
+        short = [c for c, t in kinds.items() if is_number(t) or is_boolean(t) or is_datetime(t)]
+        short = short or [c for c, t in kinds.items() if isinstance(t, T.StringType)]
+        place = F.pmod(F.xxhash64(F.lit(side), *map(col, short)), own.cast("long")).cast("int")
+        # the pair (place on the left, place on the right) as one number
+        wide = self._parts(key, 1)
+        salts = F.transform(F.sequence(F.lit(0), other - 1), lambda c: place * wide + c if side == 0 else c * wide + place)
+        return df.withColumn(copied, other > 1).withColumn(salt, F.explode(salts))
+
+    def left(self, df: DataFrame) -> DataFrame:
+        return self._salted(df, self.left_key, 0, "_ls", "_lc")
+
+    def right(self, df: DataFrame) -> DataFrame:
+        return self._salted(df, self.right_key, 1, "_rs", "_rc")
 
 
 LOG_SCHEMA = (
@@ -153,10 +161,20 @@ def run_joins(
 ) -> tuple[TableSet, DataFrame]:
     """Run joins in order; a result can feed a later join.
 
-    A step whose table or column is absent, or whose key types do not fit, is skipped and logged.
-    Returns all tables with the results added, and the log.
+    A step whose table or column is absent, whose key types do not fit or whose result would have two columns of one name
+    is skipped and logged.  Returns all tables with the results added, and the log.  Results that a later step reads are
+    stored in the checkpoint folder, so that no step runs twice.
     """
     out = TableSet(tables)
+    spark = next(iter(tables.values())).sparkSession
+    later = {name: max(i for i, x in enumerate(instructions) if name in (x.left, x.right)) for x in instructions for name in (x.left, x.right)}
+    missing: dict[tuple[str, str], int] = {}
+
+    def null_rows(name: str, on: str) -> int:
+        if (name, on) not in missing:
+            missing[name, on] = out[name].where(clean(out[name], on).isNull()).count()
+        return missing[name, on]
+
     log = []
     for step, ins in enumerate(instructions):
         status, rows, nulls = "done", None, None
@@ -167,30 +185,51 @@ def run_joins(
         else:
             try:
                 merged = merge(out[ins.left], out[ins.right], ins.on, ins.how, null_keys, skew)
-            except (TypeError, ValueError) as problem:
+            except (AnalysisException, TypeError, ValueError) as problem:
                 status = f"skipped: {problem}"
             else:
+                if later.get(ins.result, -1) > step:
+                    ensure_checkpoint_dir(spark)
+                    merged = merged.checkpoint()
                 if count_rows:
                     rows = merged.count()
-                    nulls = sum(
-                        out[t].where(clean(out[t], ins.on).isNull()).count() for t in (ins.left, ins.right)
-                    )
+                    nulls = null_rows(ins.left, ins.on) + null_rows(ins.right, ins.on)
                 out[ins.result] = merged
+                missing = {k: n for k, n in missing.items() if k[0] != ins.result}
         log.append((step, ins.left, ins.right, ins.on, ins.how, ins.result, status, rows, nulls))
-    spark = next(iter(tables.values())).sparkSession
     return out, spark.createDataFrame(log, LOG_SCHEMA)
 
 
-def instructions_from(relationships: DataFrame, above: float = 0.6) -> list[JoinInstruction]:
-    """A left join for each related pair whose columns share one name, most certain first."""
-    rows = relationships.where(F.col("confidence") > above).orderBy(
-        F.col("confidence").desc(), "table_a", "column_a", "table_b", "column_b"
-    ).collect()  # bounded by the schema
-    return [
-        JoinInstruction(r["table_a"], r["table_b"], r["column_a"], "left", f"{r['table_a']}_{r['table_b']}_{r['column_a']}")
-        for r in rows
-        if r["column_a"] == r["column_b"]
-    ]
+ORDER = {"one_to_one": 0, "one_to_many": 1, "many_to_one": 1, "many_to_many": 2}
+
+
+def join_plan(relationships: DataFrame, above: float = 0.6, many_to_many: bool = False) -> DataFrame:
+    """The joins that relationships suggest, in the order to run them: (seq, left_table, right_table, on_column,
+    join_type, cardinality, confidence, result_name).
+
+    Only pairs whose columns share one name; one_to_one first, then those with a unique side, each by confidence.  Many to
+    many pairs multiply rows and come only when asked for.  The hint is the join type; where it is unknown, left.
+    """
+    full = F.coalesce("cardinality_full", F.lit("unknown"))
+    rank = F.coalesce(*[F.when(full == k, F.lit(n)) for k, n in ORDER.items()], F.lit(3))
+    rows = relationships.where((F.col("confidence") > above) & (F.col("column_a") == F.col("column_b")))
+    if not many_to_many:
+        # a pair that was never checked could be anything
+        rows = rows.where(full.isin("one_to_one", "one_to_many", "many_to_one"))
+    order = [rank, F.col("confidence").desc(), F.col("table_a"), F.col("column_a"), F.col("table_b")]
+    return rows.select(
+        F.row_number().over(Window.orderBy(*order)).alias("seq"),  # as many rows as the schema has pairs
+        F.col("table_a").alias("left_table"), F.col("table_b").alias("right_table"), F.col("column_a").alias("on_column"),
+        F.when(F.col("join_hint").isin("inner", "left"), F.col("join_hint")).otherwise("left").alias("join_type"),
+        full.alias("cardinality"), "confidence",
+        F.concat_ws("_", "table_a", "table_b", "column_a").alias("result_name"),
+    )
+
+
+def instructions_from(relationships: DataFrame, above: float = 0.6, many_to_many: bool = False) -> list[JoinInstruction]:
+    """The steps of ``join_plan`` for ``run_joins``."""
+    rows = join_plan(relationships, above, many_to_many).orderBy("seq").collect()  # bounded by the schema
+    return [JoinInstruction(r["left_table"], r["right_table"], r["on_column"], r["join_type"], r["result_name"]) for r in rows]
 
 
 def zero_activity(parents: DataFrame, children: DataFrame, on: str, value: str | None = None) -> DataFrame:

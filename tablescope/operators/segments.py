@@ -39,7 +39,7 @@ def segment_efficiency(df: DataFrame, segment: str, output: str | Column, cost:
     )
 
 
-def risk_tiers(df: DataFrame, column: str, method: str = "auto") -> DataFrame:
+def risk_tiers(df: DataFrame, column: str, method: str = "exact") -> DataFrame:
     """Rows with ``risk_tier`` Low, Medium or High, cut at the terciles; missing stays null."""
     required(df, column)
     v = value_of(df, column)
@@ -115,7 +115,7 @@ def efficiency_frontier(df: DataFrame, entity: str, cost: Column, service: Colum
 
 
 def quadrants(
-    df: DataFrame, entity: str, cost: Column, service: Column, volume: Column, method: str = "auto"
+    df: DataFrame, entity: str, cost: Column, service: Column, volume: Column, method: str = "exact"
 ) -> DataFrame:
     """Entities against the medians: expensive and unreliable, or little used with high service."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -32,7 +32,7 @@ def histogram(df: DataFrame, value: str | Column, low: float, high: float, bins:
     )
 
 
-def bimodality(df: DataFrame, value: str | Column, method: str = "auto") -> DataFrame:
+def bimodality(df: DataFrame, value: str | Column, method: str = "exact") -> DataFrame:
     """Whether a column has two peaks, with moments and Sarle's coefficient for information.
 
     64 bins between the 0.5 and 99.5 percentiles, three-bin average; two local maxima of at least 10 % of

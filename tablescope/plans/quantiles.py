@@ -1,7 +1,7 @@
 """Exact quantiles (linear interpolation) of many columns at any size.
 
-While values are few, equal ones are counted and each column is ranked by one task.  Beyond that a sketch gives, per target, a bracket that must hold the wanted ranks; one more pass counts the rows
-below each bracket and the values inside it, which are a few thousandths of the rows.  The answer is exact: the
+A sketch gives, per target, a bracket that must hold the wanted ranks; one more pass counts the rows below each bracket
+and the values inside it, which are a few thousandths of the rows.  The answer is exact: the
 counts prove that the ranks lie inside, and a bracket that fails the proof is widened and counted again.
 """
 
@@ -9,23 +9,24 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .ranges import running
 
-SMALL_CELLS = 20_000_000
 ACCURACY = 10_000
 BRACKET_ACCURACY = 2_000  # sketches of all tasks meet in one task, so they are kept small
 
 
 def quantiles(
-    df: DataFrame, columns: dict[str, Column], probs: list[float], method: str = "auto"
+    df: DataFrame, columns: dict[str, Column], probs: list[float], method: str = "exact", counts: dict[str, int] | None = None
 ) -> dict[str, list[float | None]]:
     """Quantiles per column as driver values: len(columns) x len(probs) numbers.
 
     ``columns`` maps a name to a double expression in which missing values are null.
-    Methods: ``auto``, ``counted`` and ``bracket`` are exact, ``approx`` is a sketch.
+    ``method`` is ``exact`` or ``approx`` (a sketch).  ``counts`` gives the non-missing cells per column if they are known.
     """
+    if method not in ("exact", "approx"):
+        raise ValueError(f"unknown method {method!r}")
     if not columns:
         return {}
     values = df.select(*[expr.cast("double").alias(f"v{i}") for i, expr in enumerate(columns.values())])
@@ -33,22 +34,15 @@ def quantiles(
     if method == "approx":
         row = values.agg(*[F.percentile_approx(c, wanted, ACCURACY).alias(c) for c in values.columns]).first()
         return {name: list(row[f"v{i}"] or [None] * len(probs)) for i, name in enumerate(columns)}
-    row = values.agg(*[F.count(c).alias(c) for c in values.columns]).first()
-    counts = {i: row[f"v{i}"] for i in range(len(columns))}
-    if method == "auto":
-        method = "counted" if sum(counts.values()) <= SMALL_CELLS else "bracket"
-    found = (_bracketed if method == "bracket" else _ranked)(values, counts, wanted)
+    if counts is None:
+        row = values.agg(*[F.count(c).alias(c) for c in values.columns]).first()
+        filled = {i: row[f"v{i}"] for i in range(len(columns))}
+    else:
+        filled = {i: counts[name] for i, name in enumerate(columns)}
+    found = _bracketed(values, filled, wanted)
     return {name: [found.get((i, j)) for j in range(len(probs))] for i, name in enumerate(columns)}
 
 
-def _ranked(values: DataFrame, counts: dict[int, int], probs: list[float]) -> dict[tuple[int, int], float]:
-    """All distinct values of a column are ranked by one task."""
-    counted = _counted(values)
-    ranked = counted.withColumn("upto", F.sum("n").over(Window.partitionBy("t").orderBy("v")))
-    targets = {(i, j): f"v{i}" for i in counts if counts[i] for j in range(len(probs))}
-    return _locate(ranked, targets, counts, probs)
-
-
 def _counted(cells: DataFrame) -> DataFrame:
     """(t, v, n): the cells of all columns with their counts; equal ones combine before the shuffle."""
     long = cells.unpivot([], cells.columns, "t", "v").where(F.col("v").isNotNull())

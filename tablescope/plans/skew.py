@@ -1,11 +1,13 @@
-"""Finding hot join keys and the size of a side before choosing a join form."""
+"""Finding hot join keys and how far to spread each of them."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-HOT_SHARE = 0.005  # a key with at least this share of a side's rows is hot
-HOT_LIMIT = 200  # so there can be no more than this many
+HOT_LIMIT = 200  # keys that the sketch reports at most
+ROWS_PER_TASK = 2_000_000  # rows of one key that a task should take
 
 
 def size_estimate(df: DataFrame) -> int | None:
@@ -23,17 +25,23 @@ def broadcast_limit(spark) -> int:
     return int(digits) * units.get(text[len(digits):], 1)
 
 
-def hot_keys(df: DataFrame, key: Column, min_rows: int) -> tuple[list, bool]:
-    """Keys that look hot and whether null is one, from one pass with a bounded sketch (no shuffle of the keys).
+def can_broadcast(left: DataFrame, right: DataFrame, how: str) -> bool:
+    """Whether Catalyst will send a whole side to every task for this join type, so that no key is gathered anywhere."""
+    limit = broadcast_limit(left.sparkSession)
+    sides = {"inner": (left, right), "left": (right,), "full": ()}[how]
+    sizes = [size_estimate(side) for side in sides]
+    return any(size is not None and size <= limit for size in sizes)
+
+
+def hot_keys(df: DataFrame, key: Column, rows_per_task: int = ROWS_PER_TASK) -> dict:
+    """Keys with more rows than a task should take, each with the number of tasks for its rows; None stands for null.
 
-    The sketch only steers how rows are spread; every row is joined whatever it says.
+    One pass with a bounded sketch, no shuffle of the keys.  The counts only steer how rows are spread; every row is
+    joined whatever they say.
     """
     row = df.agg(
-        F.count("*").alias("n"),
         F.count_if(key.isNull()).alias("nulls"),
         F.call_function("approx_top_k", key, F.lit(HOT_LIMIT), F.lit(HOT_LIMIT * 10)).alias("top"),
     ).first()
-    if row["n"] < min_rows:
-        return [], False
-    least = max(1, HOT_SHARE * row["n"])
-    return [t["item"] for t in row["top"] or [] if t["item"] is not None and t["count"] >= least], row["nulls"] >= least
+    found = {t["item"]: t["count"] for t in row["top"] or [] if t["item"] is not None} | {None: row["nulls"]}
+    return {k: math.ceil(n / rows_per_task) for k, n in found.items() if n > rows_per_task}
