@@ -69,9 +69,9 @@ def clean(df: DataFrame, name: str) -> Column:
 
 def value_of(df: DataFrame, item: str | Column) -> Column:
     """A metric argument: a column name (NaN becomes null, boolean 0/1, number double)
-    or any Column, which is taken as it is."""
+    or any Column (NaN becomes null there too)."""
     if isinstance(item, Column):
-        return item
+        return F.when(~F.isnan(item), item) if is_floating(df.select(item).schema[0].dataType) else item
     required(df, item)
     dtype = df.schema[item].dataType
     if is_boolean(dtype):
@@ -94,8 +94,13 @@ def canonical_key(df: DataFrame, name: str) -> Column:
             return text
         return F.regexp_replace(F.regexp_replace(text, r"0+$", ""), r"\.$", "")
     if is_floating(dtype):
+        # Beyond 17 digits on either side a decimal cannot hold what the shortest form of a double says.
         whole = (value == F.floor(value)) & (F.abs(value) < F.lit(2.0**53))
-        return F.when(whole, value.cast("long").cast("string")).otherwise(value.cast("string"))
+        plain = F.abs(value).between(F.lit(1e-15), F.lit(1e15))
+        text = value.cast("string").try_cast("decimal(38,18)").cast("string")
+        tidy = F.regexp_replace(F.regexp_replace(text, r"0+$", ""), r"\.$", "")
+        exact = tidy.cast("double") == value
+        return F.when(whole, value.cast("long").cast("string")).when(plain & exact, tidy).otherwise(value.cast("string"))
     return value.cast("string")
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from .nulls import MANDATORY_WORDS
 
 NOISE = 0.10
 # Fixed values: (strength, least |r|, least n), strongest first.
@@ -75,7 +77,7 @@ def clamp_scores(reports: DataFrame, findings: DataFrame, report: str = "report"
     )
     score = F.col("score")
     step1 = F.when(F.col("has_block") & (score > 0.3), 0.0).otherwise(score)
-    step2 = F.when(~F.col("approved") & (step1 > 0.5), F.least(step1, F.lit(0.4))).otherwise(step1)
+    step2 = F.when(~F.col("approved") & (step1 > 0.5), 0.4).otherwise(step1)
     step3 = F.when(F.col("approved") & (F.col("n_findings") > 0) & (step2 > 0.85), 0.85).otherwise(step2)
     return joined.withColumn("clamped_score", step3)
 
@@ -152,6 +154,48 @@ def verify_claims(claims: DataFrame, facts: DataFrame, columns: DataFrame, toler
     )
 
 
+SMALL_SAMPLE = 30
+#: What to do about each blocking issue.
+FIXES = {
+    "id_misuse": "leave out the key column",
+    "direction_error": "state the direction that the data shows",
+    "hallucination": "use the measured value",
+}
+
+
+def warn_findings(claims: DataFrame, facts: DataFrame) -> DataFrame:
+    """Findings that warn and never block.
+
+    ``claims`` has report, claim, table, column, column2, causal (whether its wording is causal) and n (the rows it rests
+    on).  Causal wording on a correlation below 0.40, fewer than 30 rows, and a mandatory column (by its name) with gaps
+    are one finding each; a claim can have several.  Facts are of schema size.
+    """
+    pairs = _ordered_pair(facts.where("metric = 'correlation'")).select("table", "_a", "_b", F.abs("value").alias("size"))
+    gaps = facts.where("metric = 'missing_count' AND value > 0").select("table", F.col("column").alias("_c"), F.col("value").alias("gap"))
+    c = _ordered_pair(claims)
+    met = c.join(F.broadcast(pairs), ["table", "_a", "_b"], "left").join(
+        F.broadcast(gaps), (c["table"] == gaps["table"]) & (c["column"] == gaps["_c"]), "left"
+    ).select(*[c[x] for x in claims.columns], "size", "gap")
+    words = F.split(F.lower("column"), "[^a-z0-9]+")
+    mandatory = F.arrays_overlap(words, F.array(*[F.lit(w) for w in MANDATORY_WORDS]))
+    issues = F.array(
+        F.when(F.col("causal") & (F.col("size") < WARN_BELOW), F.struct(F.lit("causal_wording").alias("issue_type"), F.lit("correlation_causation_error").alias("finding_type"))),
+        F.when(F.col("n") < SMALL_SAMPLE, F.struct(F.lit("small_sample").alias("issue_type"), F.lit("weak_signal_overstatement").alias("finding_type"))),
+        F.when(mandatory & F.col("gap").isNotNull(), F.struct(F.lit("mandatory_gap").alias("issue_type"), F.lit("missing_data_inflation").alias("finding_type"))),
+    )
+    found = met.select(*claims.columns, F.explode(F.filter(issues, lambda x: x.isNotNull())).alias("f"))
+    return found.select(*claims.columns, "f.issue_type", "f.finding_type", F.lit("warn").alias("severity"))
+
+
+def rewrites_from_findings(findings: DataFrame, report: str = "report", insight: str = "claim") -> DataFrame:
+    """One rewrite per blocking finding, as rows (report, seq, insight_id, issue_type, fix_instruction)."""
+    fix = F.coalesce(*[F.when(F.col("issue_type") == k, F.lit(v)) for k, v in FIXES.items()], F.lit("correct or drop the claim"))
+    order = Window.partitionBy(report).orderBy(insight, "issue_type")
+    return findings.where(F.col("severity") == "block").select(
+        report, F.row_number().over(order).alias("seq"), F.col(insight).alias("insight_id"), "issue_type", fix.alias("fix_instruction")
+    )
+
+
 def verdicts(reports: DataFrame, findings: DataFrame, report: str = "report") -> DataFrame:
     """A report is approved unless one of its findings blocks."""
     per = findings.groupBy(report).agg(F.count_if(F.col("severity") == "block").alias("n_blocks"))
@@ -160,6 +204,16 @@ def verdicts(reports: DataFrame, findings: DataFrame, report: str = "report") ->
     )
 
 
+def rewrite_rows(reports: DataFrame, rewrites: DataFrame, report: str = "report", order: str = "seq") -> DataFrame:
+    """(report, seq, line): the rewrites of each report, one row each; a report without any has its instructions, or
+    else a fixed text, as its only line.  Nothing is gathered per report."""
+    line = F.format_string("- [%s] (%s): %s", "insight_id", "issue_type", "fix_instruction")
+    own = rewrites.select(report, F.col(order).alias("seq"), line.alias("line"))
+    given: Column = F.col("revision_instructions") if "revision_instructions" in reports.columns else F.lit(None).cast("string")
+    rest = F.coalesce(F.when(F.length(given) > 0, given), F.lit(NO_REWRITES))
+    return reports.select(report, rest.alias("_rest")).join(own, report, "left").select(report, "seq", F.coalesce("line", "_rest").alias("line"))
+
+
 def rewrite_list(reports: DataFrame, rewrites: DataFrame, report: str = "report", order: str = "seq") -> DataFrame:
     """The rewrites of each report as text, one line each; else its instructions, else a fixed text."""
     line = F.format_string("- [%s] (%s): %s", "insight_id", "issue_type", "fix_instruction")

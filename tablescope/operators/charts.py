@@ -6,19 +6,19 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import clean, col, required, value_of
 
-MAX_POINTS = 7
+#: Fixed value: points of a chart that is not told otherwise.
+DEFAULT_POINTS = 7
 _AGG = {"sum": F.sum, "avg": F.avg, "count": F.count, "min": F.min, "max": F.max}
 
 
 def chart_points(
-    df: DataFrame, label: str, value: str, agg: str = "sum", n: int = MAX_POINTS, by: str = "value", chart: str = "chart"
+    df: DataFrame, label: str, value: str, agg: str = "sum", n: int = DEFAULT_POINTS, by: str = "value", chart: str = "chart"
 ) -> DataFrame:
-    """At most seven (label, value) points, largest first or in label order (``by="label"``).
+    """At most n (label, value) points, largest first or in label order (``by="label"``).
 
     Points without a value are dropped after the cut, so they can leave fewer.
     """
     required(df, label)
-    n = min(n, MAX_POINTS)
     points = df.where(clean(df, label).isNotNull()).groupBy(col(label).cast("string").alias("label")).agg(
         _AGG[agg](value_of(df, value)).cast("double").alias("value")
     )

@@ -175,18 +175,22 @@ def _integral_groups(tables, sides) -> set[int]:
     return {g for g, ok in whole.items() if ok}
 
 
-def presence(tables: dict[str, DataFrame], sides: list[_Side]) -> DataFrame:
-    """(g, mask, n_values, rows_0..): how many distinct values occur in exactly which columns.
+def shared_values(tables: dict[str, DataFrame], sides: list[_Side], pairs: dict[int, list[tuple[int, int]]]) -> DataFrame:
+    """(g, counts): per group the distinct values of each column, then those that each asked pair of columns shares.
 
-    One shuffle on (g, value).  The state per value is a bit mask of the columns it occurs in, so a
-    value held by a third of all rows costs one row per task.
+    One shuffle on (g, value).  The state per value is a bit mask of the columns it occurs in, so a value held by a third
+    of all rows costs one row per task; the sums after it are one row per group and task, however the values mix.
     """
     integral = _integral_groups(tables, sides)
-    words = max(s.index for s in sides) // WORD + 1
+    width: dict[int, int] = {}
+    for s in sides:
+        width[s.group] = max(width.get(s.group, 0), s.index + 1)
     out = []
     for chosen in ([s for s in sides if s.group in integral], [s for s in sides if s.group not in integral]):
         if not chosen:
             continue
+        groups = sorted({s.group for s in chosen})
+        words = (max(width[g] for g in groups) - 1) // WORD + 1
         bits = [
             F.bit_or(
                 F.when(
@@ -197,7 +201,19 @@ def presence(tables: dict[str, DataFrame], sides: list[_Side]) -> DataFrame:
             for w in range(words)
         ]
         by_value = _values(tables, chosen, integral).groupBy("g", "v").agg(*bits)
-        out.append(by_value.groupBy("g", *[f"w{w}" for w in range(words)]).agg(F.count("*").alias("n_values")))
+        # per group the (bit, bit) tests, as data: the plan does not grow with the number of candidates
+        tests = {g: [(i, i) for i in range(width[g])] + pairs.get(g, []) for g in groups}
+        rows = [(g, k, x, y) for g, all_of in tests.items() for k, (x, y) in enumerate(all_of)]
+        tested = F.broadcast(by_value.sparkSession.createDataFrame(rows, "g int, k int, x int, y int"))  # one row per column and candidate
+
+        def bit(at: str) -> Column:
+            word = F.element_at(F.array(*[F.col(f"w{w}") for w in range(words)]), (F.floor(F.col(at) / WORD) + 1).cast("int"))
+            return F.call_function("shiftright", word, (F.col(at) % WORD).cast("int")).bitwiseAND(F.lit(1).cast("long"))
+
+        # values that occur in the same columns fall together first, within each task
+        mixes = by_value.groupBy("g", *[f"w{w}" for w in range(words)]).agg(F.count("*").alias("n_values"))
+        met = mixes.join(tested, "g").where((bit("x") == 1) & (bit("y") == 1))
+        out.append(met.groupBy("g", "k").agg(F.sum("n_values").alias("n")))
     return reduce(DataFrame.unionAll, out)
 
 
@@ -207,19 +223,21 @@ def key_overlap(tables: dict[str, DataFrame], candidates: list) -> dict:
     Result: candidate -> (distinct_a, distinct_b, shared).
     """
     sides, place = _sides(tables, candidates)
-    rows = presence(tables, sides).collect()  # one row per combination of columns that occurs
-    out = {}
+    pairs: dict[int, list[tuple[int, int]]] = {}
+    spots = {}
     for c in candidates:
         (g, ia), (_, ib) = place[(c["table_a"], c["column_a"])], place[(c["table_b"], c["column_b"])]
-        da = db = both = 0
-        for r in rows:
-            if r["g"] != g:
-                continue
-            in_a = r[f"w{ia // WORD}"] >> (ia % WORD) & 1
-            in_b = r[f"w{ib // WORD}"] >> (ib % WORD) & 1
-            da, db, both = da + in_a * r["n_values"], db + in_b * r["n_values"], both + (in_a & in_b) * r["n_values"]
-        out[c] = (da, db, both)
-    return out
+        members = pairs.setdefault(g, [])
+        spots[c] = (g, ia, ib, len(members))
+        members.append((ia, ib))
+    width: dict[int, int] = {}
+    for s in sides:
+        width[s.group] = max(width.get(s.group, 0), s.index + 1)
+    # one number per column and candidate
+    counts = {(r["g"], r["k"]): r["n"] for r in shared_values(tables, sides, pairs).collect()}
+    return {
+        c: (counts.get((g, ia), 0), counts.get((g, ib), 0), counts.get((g, width[g] + k), 0)) for c, (g, ia, ib, k) in spots.items()
+    }
 
 
 def sampled_overlap(tables: dict[str, DataFrame], candidates: list, k: int = 500) -> tuple[dict, dict]:

@@ -50,7 +50,7 @@ def correlation_columns(df: DataFrame, plan: TablePlan) -> list[str] | None:
 # ------------------------------------------------------------------ quartiles and outliers
 
 
-def quartiles(df: DataFrame, columns: list[str], method: str = "auto") -> DataFrame:
+def quartiles(df: DataFrame, columns: list[str], method: str = "exact") -> DataFrame:
     """q1 and q3 per column by linear interpolation, missing values left out."""
     required(df, *columns)
     found = quantiles(df, {c: value_of(df, c) for c in columns}, [0.25, 0.75], method)
@@ -58,7 +58,7 @@ def quartiles(df: DataFrame, columns: list[str], method: str = "auto") -> DataFr
     return df.sparkSession.createDataFrame(rows, "column string, q1 double, q3 double")
 
 
-def detect_outliers(df: DataFrame, column: str, method: str = "auto", samples: int = 5) -> DataFrame:
+def detect_outliers(df: DataFrame, column: str, method: str = "exact", samples: int = 5) -> DataFrame:
     required(df, column)
     return outlier_report(df, [column], method=method, samples=samples, skip_discrete=False)
 
@@ -67,7 +67,7 @@ def outlier_report(
     df: DataFrame,
     columns: list[str] | None = None,
     skip_discrete: bool = True,
-    method: str = "auto",
+    method: str = "exact",
     samples: int = 5,
     stats: list[ColumnStat] | None = None,
 ) -> DataFrame:
@@ -80,7 +80,9 @@ def outlier_report(
     if skip_discrete and names:
         stats = stats or measure(df.select(*[col(c) for c in names]))[0]
         names = [c for c in names if c not in discrete(stats)]
-    found = quantiles(df, {c: value_of(df, c) for c in names}, [0.25, 0.75], method)
+    filled = {s.column: s.n_rows - s.n_missing for s in stats or []}
+    counts = {c: filled[c] for c in names} if filled.keys() >= set(names) else None
+    found = quantiles(df, {c: value_of(df, c) for c in names}, [0.25, 0.75], method, counts)
     fences = {}
     for c, (q1, q3) in found.items():
         if q1 is not None:
@@ -165,14 +167,22 @@ def _outlier_rows(df: DataFrame, fences: dict, samples: int) -> DataFrame:
 # ------------------------------------------------------------------ missing data
 
 
-def missing_report(df: DataFrame) -> DataFrame:
-    """Missing cells per column; ``critical`` when more than half are missing (before rounding)."""
-    row = df.agg(
-        F.count("*").alias("n"), *[F.count_if(is_missing(df, c)).alias(f"m{i}") for i, c in enumerate(df.columns)]
-    )
-    cells = [F.struct(F.lit(c).alias("column"), F.col(f"m{i}").alias("missing_count")) for i, c in enumerate(df.columns)]
+def missing_report(df: DataFrame, stats: list[ColumnStat] | None = None) -> DataFrame:
+    """Missing cells per column; ``critical`` when more than half are missing (before rounding).
+
+    With ``stats`` of the table it is not read again.
+    """
+    if stats is None:
+        row = df.agg(
+            F.count("*").alias("n"), *[F.count_if(is_missing(df, c)).alias(f"m{i}") for i, c in enumerate(df.columns)]
+        )
+        cells = [F.struct(F.lit(c).alias("column"), F.col(f"m{i}").alias("missing_count")) for i, c in enumerate(df.columns)]
+        counted = row.select("n", F.inline(F.array(*cells)))
+    else:
+        rows = [(s.n_rows, s.column, s.n_missing) for s in stats]
+        counted = df.sparkSession.createDataFrame(rows, "n long, column string, missing_count long")
     pct = F.try_divide(F.col("missing_count").cast("double"), F.col("n").cast("double")) * 100
-    return row.select("n", F.inline(F.array(*cells))).select(
+    return counted.select(
         "column", "missing_count", F.round(pct, 2).alias("missing_pct"), F.coalesce(pct > 50, F.lit(False)).alias("critical")
     )
 
@@ -309,12 +319,12 @@ def pair_correlation(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def full_profile(
-    df: DataFrame, skip_discrete: bool = True, corr_columns: list[str] | None = None, method: str = "auto"
+    df: DataFrame, skip_discrete: bool = True, corr_columns: list[str] | None = None, method: str = "exact"
 ) -> Profile:
     """Outliers, missing data and correlations of one table."""
     names = correlated_columns(df)
     stats, row = measure(df, extra=moment_aggregates(df, names))
-    report = missing_report(df)
+    report = missing_report(df, stats)
     return Profile(
         outliers=outlier_report(df, skip_discrete=skip_discrete, method=method, stats=stats),
         missing=report,
@@ -323,6 +333,19 @@ def full_profile(
     )
 
 
+def plans_from(columns: DataFrame) -> list[TablePlan]:
+    """A plan per table of a columns table (table, column, category): key-like columns are not profiled, number columns
+    that are left are correlated, and a table with nothing left to profile is switched off."""
+    found: dict[str, TablePlan] = {}
+    rows = columns.orderBy("pos", "ordinal").select("table", "column", "category").collect()  # bounded by the schema
+    for name in dict.fromkeys(r["table"] for r in rows):
+        own = [(r["column"], r["category"]) for r in rows if r["table"] == name]
+        keys = [c for c, k in own if k == "id_like"]
+        numbers = [c for c, k in own if k in ("numeric_discrete", "numeric_continuous")]
+        found[name] = TablePlan(name, should_profile=len(keys) < len(own), id_like=keys, corr_columns=numbers)
+    return list(found.values())
+
+
 def active_plans(plans: list[TablePlan], results: set[str] = frozenset(), mode: str = "both") -> list[TablePlan]:
     """Plans to run: ``separate`` keeps base tables, ``joined`` join results, ``both`` all."""
     keep = {
@@ -341,21 +364,23 @@ def profile_tables(
 ) -> tuple[Profile, dict[str, str]]:
     """Profiles of all planned tables with a ``table`` column, and the failures by table.
 
-    A table that fails is left out, the others are kept.
+    A table that fails or is absent is left out, the others are kept.
     """
-    chosen = [p for p in active_plans(plans, results, mode) if p.table in tables]
+    active = active_plans(plans, results, mode)
+    chosen = [p for p in active if p.table in tables]
+    failures = {p.table: "no such table" for p in active if p.table not in tables}
 
     def one(plan: TablePlan):
         try:
             df = drop_planned(tables[plan.table], plan)
             return plan.table, full_profile(df, corr_columns=correlation_columns(df, plan)), None
         except Exception as problem:  # a bad table must not stop the others
-            return plan.table, None, f"{type(problem).__name__}: {str(problem)[:200]}"
+            return plan.table, None, f"{type(problem).__name__}: {problem}"
 
     with ThreadPoolExecutor(max_workers=8) as pool:
         done = list(pool.map(one, chosen))
     good = [(t, p) for t, p, _ in done if p is not None]
-    failures = {t: why for t, _, why in done if why}
+    failures |= {t: why for t, _, why in done if why}
     if not good:
         raise ValueError(f"no table could be profiled: {failures}")
 
@@ -366,7 +391,7 @@ def profile_tables(
     return Profile(*[stacked(p) for p in ("outliers", "missing", "missing_total", "correlations")]), failures
 
 
-def subgroup_describe(df: DataFrame, where: Column | str, columns: list[str], method: str = "auto") -> DataFrame:
+def subgroup_describe(df: DataFrame, where: Column | str, columns: list[str], method: str = "exact") -> DataFrame:
     """count, mean, std, min, quartiles and max of columns over the rows of a subgroup."""
     part = df.where(where)
     required(part, *columns)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import clean, col, required, value_of
+from ..plans.quantiles import quantiles
 from .profile import pearson
 
 
@@ -27,31 +28,48 @@ def volatility(df: DataFrame, columns: list[str], by: str | None = None) -> Data
     return rows.groupBy(*keys).agg(*aggs).select(*keys, F.inline(F.array(*cells)))
 
 
-def rate_tiers(df: DataFrame, rate: str | Column, volume: str | Column, net: str | Column) -> DataFrame:
-    """Rows, volume, net and net per row at each rate."""
-    r = value_of(df, rate)
-    return (
-        df.select(r.alias("rate"), value_of(df, volume).alias("v"), value_of(df, net).alias("w"))
-        .where(F.col("rate").isNotNull())
-        .groupBy("rate")
-        .agg(
-            F.count("*").alias("n"), F.sum("v").alias("volume"), F.sum("w").alias("net"),
-            F.try_divide(F.sum("w"), F.count("*")).alias("net_per_row"),
-        )
+def rate_tiers(
+    df: DataFrame, rate: str | Column, volume: str | Column, net: str | Column, tiers: int | None = None
+) -> DataFrame:
+    """Rows, volume, net and net per row at each rate.
+
+    A rate with many values is cut into ``tiers`` of about as many rows each, at its exact quantiles; a tier is named by
+    its mean rate, and rate_low and rate_high are its ends.
+    """
+    rows = df.select(value_of(df, rate).alias("rate"), value_of(df, volume).alias("v"), value_of(df, net).alias("w")).where(
+        F.col("rate").isNotNull()
     )
+    sums = [
+        F.count("*").alias("n"), F.sum("v").alias("volume"), F.sum("w").alias("net"),
+        F.try_divide(F.sum("w"), F.count("*")).alias("net_per_row"),
+    ]
+    if tiers is None:
+        return rows.groupBy("rate").agg(*sums)
+    if tiers < 1:
+        raise ValueError("tiers must be 1 or more")
+    cuts = quantiles(rows, {"rate": F.col("rate").cast("double")}, [i / tiers for i in range(1, tiers)])["rate"] if tiers > 1 else []
+    tier = F.lit(0)
+    for cut in cuts:
+        if cut is not None:
+            tier = tier + F.when(F.col("rate") > F.lit(cut), 1).otherwise(0)
+    ends = [F.avg("rate").alias("rate"), F.min("rate").alias("rate_low"), F.max("rate").alias("rate_high")]
+    return rows.groupBy(tier.alias("tier")).agg(*ends, *sums)
 
 
-def rate_response(df: DataFrame, rate: str | Column, volume: str | Column, net: str | Column) -> DataFrame:
-    """Correlation of a rate with volume and net, and the rate with most net per row.
+def rate_response(
+    df: DataFrame, rate: str | Column, volume: str | Column, net: str | Column, tiers: int | None = None, least_rows: int = 1
+) -> DataFrame:
+    """Correlation of a rate with volume and net, and the rate (or tier of rates) with most net per row.
 
-    ``inverted``: volume rises with the rate while net falls.
+    A tier needs ``least_rows`` rows to be the best.  ``inverted``: volume rises with the rate while net falls.
     """
     rows = df.select(value_of(df, rate).alias("r"), value_of(df, volume).alias("v"), value_of(df, net).alias("w"))
     corr = rows.agg(
         pearson(F.col("r"), F.col("v")).alias("r_volume"), pearson(F.col("r"), F.col("w")).alias("r_net")
     )
     best = (
-        rate_tiers(df, rate, volume, net)
+        rate_tiers(df, rate, volume, net, tiers)
+        .where(F.col("n") >= least_rows)
         .orderBy(F.col("net_per_row").desc(), "rate")
         .limit(1)
         .select(F.col("rate").alias("sweet_spot"), F.col("net_per_row").alias("best_net_per_row"))
