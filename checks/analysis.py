@@ -253,6 +253,19 @@ def rate_tiers(spark, sf):
     return pick(rates.rate_tiers(read(spark, sf, "lineitem"), "discount", "quantity", net()), "rate", "n", "volume", net=2, net_per_row=4)
 
 
+@query(
+    "rate_tiers_cut",
+    f"""WITH r AS (SELECT l_extendedprice / l_quantity AS rate, l_quantity AS v, {NET} AS w FROM lineitem),
+    c AS (SELECT quantile_cont(rate, [0.2, 0.4, 0.6, 0.8]) AS q FROM r)
+    SELECT (rate > q[1])::INT + (rate > q[2])::INT + (rate > q[3])::INT + (rate > q[4])::INT AS tier, count(*) AS n, round(min(rate), 6) AS rate_low,
+    round(max(rate), 6) AS rate_high, round(sum(v), 2) AS volume, round(sum(w), 2) AS net FROM r, c GROUP BY ALL""",
+)
+def rate_tiers_cut(spark, sf):
+    unit = F.col("extendedprice") / F.col("quantity")
+    found = rates.rate_tiers(read(spark, sf, "lineitem"), unit, "quantity", net(), tiers=5)
+    return pick(found, "tier", "n", rate_low=6, rate_high=6, volume=2, net=2)
+
+
 @query(
     "rate_response",
     f"""WITH t AS (SELECT l_discount AS rate, sum({NET}) / count(*) AS per FROM lineitem GROUP BY ALL)

@@ -1,11 +1,13 @@
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import functions as F
 
 from tablescope.operators import audit, history as h, profile as p
 from tablescope.operators.discover import columns_table
+from tablescope.session import ensure_checkpoint_dir
 
 from .discovery import CLASSIFIED
 from .profiling import DOC_NUMBERS, FACTS, LABELLED, LINE_ALL, _corr, profiled
@@ -92,6 +94,11 @@ def overall_value(spark, sf):
 
 # One report per order, one finding per line of it.
 REPORTS = "(SELECT o_orderkey AS report, o_orderstatus = 'F' AS approved, (o_orderkey % 101) / 100.0::DOUBLE AS score FROM orders)"
+# The types, written out: a wrong one in the library must show.
+FINDING_TYPES = [
+    "id_column_misuse", "correlation_causation_error", "unsupported_claim", "missing_data_inflation",
+    "outlier_misinterpretation", "redundancy", "weak_signal_overstatement", "missing_limitations",
+]
 FINDINGS = "(SELECT l_orderkey AS report, CASE WHEN l_returnflag = 'R' THEN 'block' ELSE 'warn' END AS severity FROM lineitem)"
 
 
@@ -186,6 +193,63 @@ def verdicts(spark, sf):
     return audit.verdicts(claims.select("report").distinct(), audit.verify_claims(claims, facts, columns))
 
 
+@query(
+    "rewrites_from_findings",
+    f"""SELECT report, row_number() OVER (PARTITION BY report ORDER BY claim, issue_type) AS seq, claim AS insight_id, issue_type,
+    CASE issue_type WHEN 'id_misuse' THEN 'leave out the key column' WHEN 'direction_error' THEN 'state the direction that the data shows'
+    ELSE 'use the measured value' END AS fix_instruction FROM {CLAIM_FINDINGS} WHERE issue_type <> 'no_fact'""",
+)
+def rewrites_from_findings(spark, sf):
+    return audit.rewrites_from_findings(audit.verify_claims(*_claims(spark, sf)))
+
+
+# Claims about quantities (which have gaps here) and discounts, with causal words in some reports.
+_WARNED = """(SELECT l_orderkey AS report, l_linenumber AS line, CASE WHEN l_linenumber % 2 = 0 THEN 'quantity' ELSE 'discount' END AS "column",
+ l_returnflag = 'R' AS causal, CAST(l_quantity AS BIGINT) AS n FROM lineitem)"""
+
+
+@query(
+    "warn_findings",
+    f"""SELECT report, line, "column", 'causal_wording' AS issue_type, 'correlation_causation_error' AS finding_type, 'warn' AS severity FROM {_WARNED} WHERE causal
+    UNION ALL SELECT report, line, "column", 'small_sample', 'weak_signal_overstatement', 'warn' FROM {_WARNED} WHERE n < 30
+    UNION ALL SELECT report, line, "column", 'mandatory_gap', 'missing_data_inflation', 'warn' FROM {_WARNED} WHERE "column" = 'quantity'""",
+)
+def warn_findings(spark, sf):
+    df = read(spark, sf, "lineitem")
+    gaps = df.select(F.when(F.col("line_num") != 3, F.col("quantity")).alias("quantity"), "discount")
+    table = F.lit("lineitem").alias("table")
+    none = F.lit(None).cast("string")
+    facts = p.pair_correlation(gaps, "quantity", "discount").select(
+        table, F.col("col_x").alias("column"), F.col("col_y").alias("column2"), F.lit("correlation").alias("metric"), F.col("r").alias("value")
+    ).unionByName(
+        p.missing_report(gaps).select(
+            table, "column", none.alias("column2"), F.lit("missing_count").alias("metric"), F.col("missing_count").cast("double").alias("value")
+        )
+    )
+    even = F.col("line_num") % 2 == 0
+    claims = df.select(
+        F.col("order_key").alias("report"), F.col("line_num").alias("line"), table,
+        F.when(even, "quantity").otherwise("discount").alias("column"), F.when(even, "discount").otherwise("quantity").alias("column2"),
+        (F.col("returnflag") == "R").alias("causal"), F.col("quantity").cast("long").alias("n"),
+    )
+    return audit.warn_findings(claims, facts).select("report", "line", "column", "issue_type", "finding_type", "severity")
+
+
+@query(
+    "rewrite_rows",
+    f"""SELECT o_orderkey AS report, CASE WHEN l_orderkey IS NOT NULL THEN l_linenumber END AS seq, CASE WHEN l_orderkey IS NOT NULL
+    THEN '- [insight_' || l_linenumber || '] (id_misuse): drop part ' || l_partkey
+    ELSE coalesce(CASE WHEN o_orderstatus = 'O' THEN 'redo ' || o_custkey END, '{audit.NO_REWRITES.replace("'", "''")}') END AS line
+    FROM orders LEFT JOIN (SELECT * FROM lineitem WHERE l_returnflag = 'R') ON l_orderkey = o_orderkey""",
+)
+def rewrite_rows(spark, sf):
+    rewrites = _findings(spark, sf).where("severity = 'block'").select(
+        "report", F.col("line_num").alias("seq"), F.concat(F.lit("insight_"), F.col("line_num").cast("string")).alias("insight_id"),
+        F.lit("id_misuse").alias("issue_type"), F.concat(F.lit("drop part "), F.col("part_key").cast("string")).alias("fix_instruction"),
+    )
+    return audit.rewrite_rows(_reports(spark, sf), rewrites)
+
+
 @query(
     "rewrite_list",
     f"""WITH w AS (SELECT l_orderkey AS report, string_agg('- [insight_' || l_linenumber || '] (' || CASE l_linestatus WHEN 'F' THEN 'math_error' ELSE 'id_misuse' END ||
@@ -284,7 +348,7 @@ def bump_runs(spark, sf):
 
 @query(
     "findings_to_warnings",
-    f"""SELECT o_orderpriority AS schema_hash, ({audit.FINDING_TYPES!r})[l_linenumber] AS finding_type, 'part_' || l_partkey % 50 AS affected,
+    f"""SELECT o_orderpriority AS schema_hash, ({FINDING_TYPES!r})[l_linenumber] AS finding_type, 'part_' || l_partkey % 50 AS affected,
     'supplier ' || l_suppkey AS reason, CASE WHEN l_returnflag = 'R' THEN 'block' ELSE 'warn' END AS severity, o_orderstatus = 'F' AS approved
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
 )
@@ -299,3 +363,41 @@ def findings_to_warnings(spark, sf):
 def stamp_scores(spark, sf):
     joins = read(spark, sf, "lineitem").select(F.col("order_key").alias("report"), F.col("line_num").alias("step"), F.lit(0.0).alias("score"))
     return h.stamp_scores(joins, _reports(spark, sf)).select("report", "step", "score")
+
+
+# The store: events before and after the middle of January are two runs of each family.
+
+
+def _store(spark, sf):
+    ensure_checkpoint_dir(spark)
+    store = h.HistoryStore(spark, f"{spark.sparkContext.getCheckpointDir()}/history-{uuid.uuid4().hex}")
+    rows = _records(spark, sf)
+    middle = F.lit(datetime(2024, 1, 15)).cast("timestamp_ntz")
+    none = spark.createDataFrame([], h.SCHEMAS["warnings"]).select(
+        "schema_hash", "finding_type", "affected", "reason", "severity", F.lit(False).alias("approved"), F.lit(0).cast("long").alias("seq")
+    )
+    for family in ("click", "view"):
+        own = rows.where(F.col("schema_hash") == family)
+        store.persist(family, own.where(F.col("created_at") < middle), none, datetime(2024, 1, 15))
+        store.persist(family, own.where(F.col("created_at") >= middle), none, datetime(2024, 1, 30, 12))
+    return store
+
+
+# A record's last sight is the time of the last run that had it.
+RAN = f"""(SELECT * REPLACE (CASE WHEN last_seen_at >= TIMESTAMP '2024-01-15' THEN TIMESTAMP '2024-01-30 12:00:00' ELSE TIMESTAMP '2024-01-15' END AS last_seen_at)
+ FROM {MERGED})"""
+
+
+@query("history_store", f"SELECT * FROM {RAN} WHERE schema_hash = 'click'")
+def history_store(spark, sf):
+    return _store(spark, sf).load("click")["joins"]
+
+
+@query(
+    "history_prune",
+    f"""SELECT * FROM {RAN} WHERE schema_hash IN ('click', 'view') AND NOT (schema_hash = 'click' AND last_seen_at < TIMESTAMP '2024-01-28 12:00:00')""",
+)
+def history_prune(spark, sf):
+    store = _store(spark, sf)
+    store.prune("click", 2, datetime(2024, 1, 30, 12))
+    return store.tables()["joins"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tablescope import sources
 from tablescope.functions import redact_credentials
 from tablescope.operators import discover as d
+from tablescope.operators import joins, profile
 from tablescope.operators.charts import chart_points
 from tablescope.operators.stats import nonfinite_scan
 from tablescope.session import ensure_checkpoint_dir
@@ -80,6 +81,19 @@ def load_csv(spark, sf):
     )
 
 
+@query("load_csv_text", "SELECT doc_id, md5(text) AS digest, length(text) AS n, n_chars FROM documents")
+def load_csv_text(spark, sf):
+    # Texts with line breaks, quotes and commas, written and read back.
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/csv/{os.path.basename(sf.rstrip('/'))}/documents.csv"
+    writer = read(spark, sf, "documents").select("doc_id", "text", "n_chars").write.mode("overwrite").option("header", True)
+    for name in ("ignoreLeadingWhiteSpace", "ignoreTrailingWhiteSpace"):
+        writer = writer.option(name, False)
+    writer.option("quoteAll", True).option("escape", '"').csv(path)
+    back = sources.load_csv(spark, path)["documents"]
+    return back.select("doc_id", F.md5("text").alias("digest"), F.length("text").cast("long").alias("n"), "n_chars")
+
+
 @query(
     "missing_norm",
     """SELECT lang, count(*) AS n, count(nullif(source, 'src1')) AS n_source,
@@ -186,7 +200,8 @@ def chart(spark, sf):
 
 STATS = _union(
     f"SELECT '{t}' AS \"table\", {i} AS ordinal, '{plain(c, t)}' AS \"column\", '{kind(c)}' AS kind, {ALL.index(t)} AS pos, "
-    f"count(*) AS n_rows, count(*) - count({c}) AS n_missing, count(DISTINCT {c}) AS n_distinct FROM {t}"
+    f"count(*) AS n_rows, count(*) - count({c}) AS n_missing, "
+    f"{'NULL::BIGINT' if kind(c) == 'array' else f'count(DISTINCT {c})'} AS n_distinct FROM {t}"
     for t in ALL
     for i, c in enumerate(COLUMNS[t])
 )
@@ -197,15 +212,18 @@ def _suffix(suffixes) -> str:
 
 
 _UNIQUE = "(kind IN ('integer', 'number') AND n_distinct / n_rows > 0.6 AND n_distinct > 50)"
-CLASSIFIED = f"""SELECT *, CASE WHEN category = 'id_like' THEN CASE WHEN {_suffix(d.ID_SUFFIXES)} THEN 'name' ELSE 'uniqueness' END END AS id_evidence
-FROM (SELECT *, CASE WHEN kind = 'datetime' THEN 'datetime' WHEN {_suffix(d.ID_SUFFIXES)} OR {_UNIQUE} THEN 'id_like'
+# The rules' values, written out: a wrong one in the library must show.
+ID_SUFFIXES = ["_id", "_key", "_code", "_num", "_no"]
+STRONG_SUFFIXES = ["_id", "_key", "_code", "pk", "fk"]
+CLASSIFIED = f"""SELECT *, CASE WHEN category = 'id_like' THEN CASE WHEN {_suffix(ID_SUFFIXES)} THEN 'name' ELSE 'uniqueness' END END AS id_evidence
+FROM (SELECT *, CASE WHEN kind = 'array' THEN NULL WHEN kind = 'datetime' THEN 'datetime' WHEN {_suffix(ID_SUFFIXES)} OR {_UNIQUE} THEN 'id_like'
  WHEN kind IN ('integer', 'number') AND n_distinct < 20 THEN 'numeric_discrete'
  WHEN kind IN ('integer', 'number') THEN 'numeric_continuous'
  WHEN n_distinct < 15 THEN 'categorical_low_cardinality' WHEN n_distinct > 100 THEN 'free_text'
  ELSE 'categorical_high_cardinality' END AS category FROM ({STATS}))"""
 
 CANDIDATES = f"""SELECT a."table" AS table_a, a."column" AS column_a, b."table" AS table_b, b."column" AS column_b,
-CASE WHEN {_suffix(d.STRONG_SUFFIXES).replace('"column"', 'a."column"')} THEN 0.9 ELSE 0.7 END AS confidence
+CASE WHEN {_suffix(STRONG_SUFFIXES).replace('"column"', 'a."column"')} THEN 0.9 ELSE 0.7 END AS confidence
 FROM ({CLASSIFIED}) a JOIN ({CLASSIFIED}) b ON lower(a."column") = lower(b."column") AND a.pos < b.pos
 WHERE a.category IN ('id_like', 'numeric_discrete', 'categorical_low_cardinality')"""
 
@@ -310,6 +328,56 @@ def suggestions(spark, sf):
     return found.select("suggestion", rnd("confidence"))
 
 
+PLAN = f"""SELECT row_number() OVER (ORDER BY CASE cardinality_full WHEN 'one_to_one' THEN 0 ELSE 1 END, confidence DESC, table_a, column_a, table_b) AS seq,
+  table_a AS left_table, table_b AS right_table, column_a AS on_column, join_hint AS join_type, cardinality_full AS cardinality, confidence,
+  table_a || '_' || table_b || '_' || column_a AS result_name FROM ({_relationships(_overlap_exact)})
+  WHERE confidence > 0.6 AND column_a = column_b AND cardinality_full <> 'many_to_many'"""
+
+
+@query("join_plan", PLAN)
+def join_plan(spark, sf):
+    found = d.discover(tables(spark, sf), samples=0).relationships
+    return joins.join_plan(found.withColumn("confidence", F.round("confidence", 6)))
+
+
+@query(
+    "auto_plans",
+    f"""SELECT "table", bool_or(category IS DISTINCT FROM 'id_like') AS should_profile,
+    coalesce(string_agg("column", ',' ORDER BY ordinal) FILTER (category = 'id_like'), '') AS id_like,
+    coalesce(string_agg("column", ',' ORDER BY ordinal) FILTER (category IN ('numeric_discrete', 'numeric_continuous')), '') AS corr_columns
+    FROM ({CLASSIFIED}) GROUP BY "table\"""",
+)
+def auto_plans(spark, sf):
+    plans = profile.plans_from(d.columns_table(tables(spark, sf), samples=0))
+    rows = [(p.table, p.should_profile, ",".join(p.id_like), ",".join(p.corr_columns)) for p in plans]
+    return spark.createDataFrame(rows, "`table` string, should_profile boolean, id_like string, corr_columns string")
+
+
+@query(
+    "auto_profile",
+    f"""SELECT "table", "column", n_missing AS missing_count FROM ({CLASSIFIED}) WHERE category IS DISTINCT FROM 'id_like'""",
+)
+def auto_profile(spark, sf):
+    ts = tables(spark, sf)
+    found, _ = profile.profile_tables(ts, profile.plans_from(d.columns_table(ts, samples=0)))
+    return found.missing.select("table", "column", "missing_count")
+
+
+@query(
+    "join_name_clash",
+    """SELECT * FROM (VALUES (0, 'clash', 'skipped: the result would have columns that clash: name_x', NULL),
+    (1, 'fine', 'done', (SELECT count(*) FROM customer))) t(step, result_name, status, row_count)""",
+)
+def join_name_clash(spark, sf):
+    customer, nation = read(spark, sf, "customer"), read(spark, sf, "nation").select("nation_key", "name")
+    ts = {"customer": customer.withColumn("name_x", F.col("mktsegment")), "plain": customer, "nation": nation}
+    steps = [
+        joins.JoinInstruction("customer", "nation", "nation_key", "left", "clash"),
+        joins.JoinInstruction("plain", "nation", "nation_key", "left", "fine"),
+    ]
+    return joins.run_joins(ts, steps)[1].select("step", "result_name", "status", "row_count")
+
+
 @query(
     "key_cardinality",
     """SELECT 'lineitem' AS table_a, 'order_key' AS column_a, 'orders' AS table_b, 'unknown' AS cardinality,
@@ -338,7 +406,19 @@ def fingerprint(spark, sf):
     return d.schema_fingerprint(d.columns_table(tables(spark, sf), samples=0))
 
 
-_WORDS = _union(f"SELECT '{k}' AS domain, '{w}' AS word" for k, ws in d.DOMAIN_WORDS.items() for w in ws.split())
+WORDS = {
+    "RETAIL": ["price", "quantity", "discount", "category", "product", "order", "customer", "revenue", "sales", "orders",
+               "products", "customers", "inventory", "categories", "discounts", "returns"],
+    "FINANCE": ["amount", "balance", "transaction", "account", "portfolio", "payment", "interest", "risk", "transactions",
+                "accounts", "portfolios", "assets", "ledger", "invoices", "payments"],
+    "SPORTS": ["player", "team", "match", "score", "goal", "season", "league", "position", "stat", "players", "matches",
+               "seasons", "stats", "teams", "leagues", "performance", "fixtures"],
+    "HEALTHCARE": ["patient", "diagnosis", "treatment", "medication", "encounter", "provider", "claim", "patients",
+                   "diagnoses", "treatments", "prescriptions", "encounters", "providers", "claims"],
+    "LOGISTICS": ["shipment", "carrier", "route", "delivery", "warehouse", "freight", "tracking", "transit", "shipments",
+                  "routes", "carriers", "warehouses", "deliveries"],
+}
+_WORDS = _union(f"SELECT '{k}' AS domain, '{w}' AS word" for k, ws in WORDS.items() for w in ws)
 
 
 @query(

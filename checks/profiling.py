@@ -35,7 +35,7 @@ def quartiles(spark, sf):
 
 @query("quartiles_bracket", _quartiles(sql("lineitem"), LINE_NUMBERS))
 def quartiles_bracket(spark, sf):
-    return pick(p.quartiles(read(spark, sf, "lineitem"), LINE_NUMBERS, "bracket"), "column", q1=4, q3=4)
+    return pick(p.quartiles(read(spark, sf, "lineitem"), LINE_NUMBERS, "exact"), "column", q1=4, q3=4)
 
 
 def _outliers(source, names, skip=True) -> str:
@@ -74,7 +74,7 @@ def detect_outliers(spark, sf):
 
 @query("outlier_report_bracket", _outliers("documents", ["n_chars"], skip=False))
 def outlier_report_bracket(spark, sf):
-    return _tidy_outliers(p.outlier_report(read(spark, sf, "documents"), ["n_chars"], False, method="bracket"))
+    return _tidy_outliers(p.outlier_report(read(spark, sf, "documents"), ["n_chars"], False, method="exact"))
 
 
 DOC_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars", "quality", "toxic"]
@@ -301,9 +301,10 @@ def _hot(how, name, flip=False):
     def run(spark, sf):
         o, c = _hot_sides(spark, sf)
         kind = {"INNER": "inner", "LEFT": "left", "FULL": "outer"}[how]
+        look = "auto" if kind == "outer" else "split"  # the sides are small enough to be broadcast, where that is possible
         if not flip:
-            return _tidy_join(j.merge(o, c, "cust_key", kind, skew="split"))
-        return j.merge(c, o, "cust_key", kind, skew="split").select(
+            return _tidy_join(j.merge(o, c, "cust_key", kind, skew=look, rows_per_task=200))
+        return j.merge(c, o, "cust_key", kind, skew=look, rows_per_task=200).select(
             "cust_key", "order_key", F.col("orderstatus_y").alias("orderstatus_x"), "name", F.col("orderstatus_x").alias("orderstatus_y")
         )
 

@@ -11,7 +11,7 @@ from tablescope.functions import col
 from tablescope.sources import TableSet
 
 STAR = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
-OTHER = ["events", "documents", "labels", "pages", "benchmark", "conversations"]
+OTHER = ["events", "documents", "labels", "pages", "benchmark", "conversations", "embeddings"]
 SPLIT = {
     "orderkey": "order_key", "custkey": "cust_key", "partkey": "part_key", "suppkey": "supp_key",
     "nationkey": "nation_key", "regionkey": "region_key", "linenumber": "line_num",
@@ -77,6 +77,8 @@ def sql(table: str, *names: str) -> str:
 
 
 def kind(column: str) -> str:
+    if column == "embedding":
+        return "array"
     for k, names in KINDS.items():
         if column in names.split():
             return {"i": "integer", "n": "number", "d": "datetime"}[k]
