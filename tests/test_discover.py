@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import random
 from datetime import date, datetime, timedelta
 from decimal import Decimal
 
@@ -238,3 +239,23 @@ def test_nonfinite(frame):
 def test_distinct_count(frame):
     df = frame("a int, b string", [1, 1, None], [None, None, None])
     assert distinct_count(df, "a", "b").first().asDict() == {"a": 1, "b": 0, "n_rows": 3}
+
+
+def test_overlap_rows_do_not_grow_with_the_mixes(frame, spark):
+    """Forty tables share a key in many mixes; one number per column and candidate comes back."""
+    rng = random.Random(8)
+    keys = [[k for k in range(200) if rng.random() < 0.6] for _ in range(40)]
+    ts = {f"t{i}": frame("k int", ks) for i, ks in enumerate(keys)}
+    cands = [
+        {"table_a": f"t{i}", "column_a": "k", "table_b": f"t{j}", "column_b": "k"} for i in range(40) for j in range(i + 1, 40) if (i + j) % 7 == 0
+    ]
+    rows = spark.createDataFrame([tuple(c.values()) for c in cands], "table_a string, column_a string, table_b string, column_b string").collect()
+    for c, found in d.key_overlap(ts, rows).items():
+        a, b = (set(keys[int(c[x][1:])]) for x in ("table_a", "table_b"))
+        assert found == (len(a), len(b), len(a & b))
+    sides, place = d._sides(ts, rows)
+    pairs = {}
+    for c in rows:
+        g, at = place[(c["table_a"], "k")]
+        pairs.setdefault(g, []).append((at, place[(c["table_b"], "k")][1]))
+    assert d.shared_values(ts, sides, pairs).count() == 40 + len(rows)

@@ -274,3 +274,55 @@ def test_failed_bracket_is_widened(spark, monkeypatch):
     monkeypatch.setattr(q, "_pick", miss_first)
     assert q.quantiles(df, {"x": F.col("x")}, [0.25, 0.75], "exact")["x"] == [249.75, 749.25]
     assert len(calls) == 2
+
+
+# ------------------------------------------------------------------ keys, plans and arguments
+
+
+def test_long_and_double_keys_meet_as_exact_numbers(frame):
+    big = 9007199254740993
+    a = frame("k long, x int", [big, 5, 7], [1, 2, 3])
+    b = frame("k double, y int", [float(big - 1), 5.0, 0.1], [4, 5, 6])
+    assert [(r["x"], r["y"]) for r in j.merge(a, b, "k").collect()] == [(2, 5)]
+    small = frame("k decimal(12,6), z int", [Decimal("0.00001"), Decimal("0.1")], [1, 2])
+    assert sorted(r["z"] for r in j.merge(frame("k double", [1e-5, 0.1, 0.3]), small, "k").collect()) == [1, 2]
+
+
+def test_clashing_names_are_logged(frame):
+    ts = {"l": frame("k int, a int, a_x int", [1], [2], [3]), "r": frame("k int, a int", [1], [4]), "s": frame("k int, b int", [1], [5])}
+    steps = [j.JoinInstruction("l", "r", "k", "inner", "no"), j.JoinInstruction("l", "s", "k", "inner", "yes")]
+    out, log = j.run_joins(ts, steps)
+    assert [r["status"][:7] for r in log.orderBy("step").collect()] == ["skipped", "done"] and "no" not in out and out["yes"].count() == 1
+
+
+def test_join_plan_follows_cardinality(spark):
+    rows = [
+        ("a", "k", "b", "k", 0.95, "many_to_many", "inner"), ("a", "k", "c", "k", 0.7, "one_to_many", "left"),
+        ("a", "k", "d", "k", 0.65, "one_to_one", "inner"), ("a", "k", "e", "k", 0.9, "many_to_one", "unknown"),
+        ("a", "k", "f", "k", 0.5, "one_to_one", "inner"), ("a", "k", "g", "q", 0.9, "one_to_one", "inner"), ("a", "k", "h", "k", 0.9, None, "unknown"),
+    ]
+    df = spark.createDataFrame(rows, "table_a string, column_a string, table_b string, column_b string, confidence double, cardinality_full string, join_hint string")
+    assert [(i.right, i.how) for i in j.instructions_from(df)] == [("d", "inner"), ("e", "left"), ("c", "left")]
+    assert [i.right for i in j.instructions_from(df, many_to_many=True)] == ["d", "e", "c", "b", "h"]
+
+
+def test_nan_in_a_column_argument_is_missing(frame):
+    from tablescope.operators.concentration import top_rows_share
+
+    df = frame("v double", [5.0, float("nan"), 3.0, 2.0])
+    by_name, by_column = (top_rows_share(df, x).collect() for x in ("v", F.col("v")))
+    assert by_name == by_column
+
+
+def test_chart_takes_as_many_points_as_asked(frame):
+    from tablescope.operators.charts import chart_points
+
+    df = frame("l string, v int", [f"x{i}" for i in range(30)], list(range(30)))
+    assert chart_points(df, "l", "v").count() == 7 and chart_points(df, "l", "v", n=20).count() == 20
+
+
+def test_quantiles_rank_no_whole_column_in_one_task(frame):
+    df = frame("x double", [float(i % 97) for i in range(2000)])
+    assert q.quantiles(df, {"x": F.col("x")}, [0.5])["x"] == [pd.Series([i % 97 for i in range(2000)]).quantile(0.5)]
+    with pytest.raises(ValueError):
+        q.quantiles(df, {"x": F.col("x")}, [0.5], "counted")

@@ -114,3 +114,55 @@ def test_history_store(spark, tmp_path):
     assert store.prune(family, 365, datetime(2025, 3, 2)) == 0
     assert store.prune(family, 10, datetime(2025, 3, 20)) == 1
     assert store.load(family)["joins"].count() == 0 and store.load("other")["runs"].first()["total_runs"] == 1
+
+
+# ------------------------------------------------------------------ folders and files
+
+
+def write(path, text):
+    path.parent.mkdir(parents=True, exist_ok=True)
+    path.write_text(text)
+    return str(path)
+
+
+def test_quoted_line_breaks_stay_in_their_cell(spark, tmp_path):
+    path = write(tmp_path / "notes.csv", 'id,note\n1,"two\nlines, ""quoted"""\n2,plain\n3\n')
+    rows = [tuple(r) for r in sources.load_csv(spark, path)["notes"].orderBy("id").collect()]
+    assert rows == [(1, 'two\nlines, "quoted"'), (2, "plain"), (3, None)]
+    given = sources.load_csv(spark, path, schema="id int, note string")["notes"]
+    assert given.count() == 3 and given.dtypes == [("id", "int"), ("note", "string")]
+
+
+@pytest.mark.parametrize("schema", [None, "id int, note string"])
+def test_a_row_with_too_many_cells_is_an_error(spark, tmp_path, schema):
+    path = write(tmp_path / "wide.csv", "id,note\n1,fine\n2,one,EXTRA\n")
+    with pytest.raises(Exception, match="more cells"):
+        sources.load_csv(spark, path, schema=schema)["wide"].collect()
+
+
+def test_names_with_dots_and_other_entries(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "sales.v1"))
+    spark.range(4).write.parquet(str(tmp_path / "orders.parquet"))
+    write(tmp_path / "readme.txt", "x")
+    write(tmp_path / "_SUCCESS", "")
+    found = sources.load_table_set(spark, str(tmp_path))
+    assert {n: df.count() for n, df in found.items()} == {"orders": 4, "sales.v1": 3} and found.skipped == ["readme.txt"]
+    assert sources.full_scan(spark, "sales.v1").count() == 3
+    assert sources.load_catalog(spark)["sales.v1"].count() == 3
+    spark.catalog.dropTempView("`sales.v1`")
+    spark.range(1).write.parquet(str(tmp_path / "orders"))
+    with pytest.raises(ValueError, match="two paths"):
+        sources.load_table_set(spark, str(tmp_path))
+
+
+def test_options_reach_the_csv_reader(spark, tmp_path):
+    write(tmp_path / "a.csv", "k,v\n1,x\n")
+    found = sources.load_table_set(spark, str(tmp_path), "csv", schemas={"a": "k string, v string"}, multiline=False)
+    assert found["a"].dtypes == [("k", "string"), ("v", "string")]
+
+
+def test_two_writers_of_a_family(spark, tmp_path):
+    store = HistoryStore(spark, str(tmp_path / "h"))
+    store._fs.create(store._path(f"{store._home('f')}/current-1"), False).close()
+    with pytest.raises(Exception, match="exists"):
+        store._fs.create(store._path(f"{store._home('f')}/current-1"), False)
