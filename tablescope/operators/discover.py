@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import canonical_key, classifiable, clean, col, is_boolean, is_datetime, is_integral, is_number
-from ..sources.tables import sample_rows, sample_values
+from ..sources.tables import sample_values, semantic_sample
 from .stats import measure
 
 # Fixed values.
@@ -24,7 +24,7 @@ SUGGEST_ABOVE = 0.6
 
 COLUMNS_SCHEMA = (
     "table string, pos int, ordinal int, column string, dtype string, kind string, n_rows long, n_missing long, "
-    "n_distinct long, sample_values array<string>"
+    "n_distinct long, exact boolean, sample_values array<string>"
 )
 
 
@@ -66,24 +66,24 @@ def classify_columns(columns: DataFrame) -> DataFrame:
 
 
 def columns_table(tables: dict[str, DataFrame], exact: bool = False, samples: int = 3) -> DataFrame:
-    """One classified row per column of every table.  Tables are measured side by side."""
+    """One classified row per column of every table.  Tables are measured side by side.
+
+    ``exact`` in a row says whether its n_distinct was counted; others are estimates that lie far from every limit of
+    the categories.  ``samples`` values come from independent draws, so one value can appear twice.
+    """
     spark = next(iter(tables.values())).sparkSession
 
     def one(item):
         pos, (name, df) = item
         plain = [f.name for f in df.schema.fields if classifiable(f.dataType)]
-        stats, _ = measure(df, exact)
-        drawn = sample_rows(df, plain, 2 * samples) if samples and plain else []
-        values = {c: [row[i] for row in drawn if row[i] is not None][:samples] for i, c in enumerate(plain)}
-        # Columns too sparse to be met in whole rows are drawn on their own.
-        sparse = [s.column for s in stats if s.column in values and len(values[s.column]) < min(samples, s.n_rows - s.n_missing)]
-        if sparse:
-            found = df.agg(*[sample_values(df, c, samples).alias(f"s{i}") for i, c in enumerate(sparse)]).first()
-            values.update({c: [v for v in found[f"s{i}"] if v is not None] for i, c in enumerate(sparse)})
+        # the samples are drawn in the pass that measures
+        draws = {f"s{i}": sample_values(df, c, samples) for i, c in enumerate(plain)} if samples else {}
+        stats, found = measure(df, exact, draws)
+        values = {c: [v for v in found[f"s{i}"] if v is not None] for i, c in enumerate(plain)} if samples else {}
         return [
             (
                 name, pos, s.ordinal, s.column, s.dtype, kind_of(df.schema[s.column].dataType), s.n_rows,
-                s.n_missing, s.n_distinct, values.get(s.column, []),
+                s.n_missing, s.n_distinct, s.exact, values.get(s.column, []),
             )
             for s in stats
         ]
@@ -415,9 +415,12 @@ def suggested_joins(relationships: DataFrame, above: float = SUGGEST_ABOVE) -> D
 
 @dataclass
 class Discovery:
+    """What ``discover`` finds; ``samples`` has a few readable rows of each table, lazily."""
+
     tables: DataFrame
     columns: DataFrame
     relationships: DataFrame
+    samples: dict[str, DataFrame]
 
     @property
     def total_rows(self) -> DataFrame:
@@ -435,7 +438,7 @@ def discover(
     columns = columns_table(tables, exact_stats, samples)
     filled = {(r["table"], r["column"]): r["n_rows"] - r["n_missing"] for r in columns.collect()}
     relationships = verify_overlap(tables, name_candidates(columns), method, k, filled)
-    return Discovery(tables_table(columns), columns, relationships)
+    return Discovery(tables_table(columns), columns, relationships, {name: semantic_sample(df) for name, df in tables.items()})
 
 
 # ---------------------------------------------------------------- fingerprint and domain

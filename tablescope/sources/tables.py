@@ -269,16 +269,6 @@ def sample_values(df: DataFrame, name: str, k: int = 3, hashing: str = "xxhash64
     return F.array(*draws)
 
 
-def sample_rows(df: DataFrame, names: list[str], k: int = 6) -> list[list[str | None]]:
-    """k rows as text, chosen by a hash of the columns that are not text (of all, if there are no others).
-
-    Each task keeps k rows; far cheaper than drawing every column on its own.
-    """
-    short = [n for n in names if not isinstance(df.schema[n].dataType, T.StringType)] or names
-    rows = df.orderBy(F.xxhash64(*[col(n) for n in short]), *[col(n) for n in short]).limit(k)
-    return [r["cells"] for r in rows.select(F.array(*[as_text(df, n) for n in names]).alias("cells")).collect()]
-
-
 def column_samples(df: DataFrame, k: int = 3, hashing: str = "xxhash64") -> DataFrame:
     """k non-missing example values per column, as strings."""
     names = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType))]

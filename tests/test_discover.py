@@ -259,3 +259,11 @@ def test_overlap_rows_do_not_grow_with_the_mixes(frame, spark):
         g, at = place[(c["table_a"], "k")]
         pairs.setdefault(g, []).append((at, place[(c["table_b"], "k")][1]))
     assert d.shared_values(ts, sides, pairs).count() == 40 + len(rows)
+
+
+def test_samples_and_flags_of_a_discovery(frame):
+    ts = {"a": frame("a_id int, v double", list(range(40)), [i / 3 for i in range(40)])}
+    found = d.discover(ts)
+    assert {n: df.count() for n, df in found.samples.items()} == {"a": 5}
+    flags = {r["column"]: r["exact"] for r in d.columns_table(ts, exact=True).collect()}
+    assert flags == {"a_id": True, "v": True} and {r["exact"] for r in found.columns.collect()} <= {True, False}
