@@ -218,7 +218,8 @@ def _read_shingles(docs: DataFrame, key: str, text: str, words: int, parts: int)
                 sets, classes = shingle_sets(texts, words)
                 rows = []
                 for i, (s, c) in enumerate(zip(sets, classes, strict=True)):
-                    rows.append((DOC, c % parts, keys[at + i].as_py(), marks[at + i].as_py(), _signed(c) if c else None, len(s), None))
+                    # rows of documents only pass through: copies are spread by their place
+                    rows.append((DOC, (c + at + i) % parts, keys[at + i].as_py(), marks[at + i].as_py(), _signed(c) if c else None, len(s), None))
                     if c and c not in seen:
                         seen.add(c)
                         held.append(s)
