@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -22,6 +23,7 @@ def spark():
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "4g",
+            "spark.checkpoint.dir": "file://" + tempfile.mkdtemp(prefix="tests-"),
         },
     )
     session.sparkContext.setLogLevel("ERROR")
