@@ -134,14 +134,15 @@ def identify(
     # the text of a page is read once: sums and fusion work on this small table
     read = written(read, "page-evidence")
     names = F.array(*[F.lit(x) for x in langs])
-    over_all = read.agg(*_sums(k)).select(_array(k).alias("all"))
+    # as many numbers as there are languages
+    over_all = [x or 0.0 for x in read.agg(*_sums(k)).first()]
     by_host = read.groupBy("host").agg(*_sums(k)).select("host", _array(k).alias("of_host"))
     by_domain = read.groupBy("domain").agg(*_sums(k)).select("domain", _array(k).alias("of_domain"))
     by_suffix = read.groupBy("suffix").agg(*_sums(k)).select("suffix", _array(k).alias("of_suffix"))
     by_said = read.groupBy("declared").agg(*_sums(k)).select("declared", _array(k).alias("of_said"))
-    # one row, and one row per declared value (at most the languages and two): sizes known
+    # one row per declared value (at most the languages and two): size known
     joined = (
-        read.join(F.broadcast(over_all)).join(F.broadcast(by_said), "declared")
+        read.withColumn("all", F.array(*[F.lit(x) for x in over_all])).join(F.broadcast(by_said), "declared")
         .join(by_suffix, "suffix").join(by_domain, "domain").join(by_host, "host")
     )
 

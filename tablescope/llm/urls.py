@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 #: Bits of the filter per listed entry, and entries of a block of 256 bits that follow from it.
 BITS_PER_ENTRY = 16
 BLOCK_BITS = 256
-#: Blocks up to which the filter is sent to all tasks (40 bytes each); a larger one is joined by block number.
-SENT_BLOCKS = 100_000
 #: Bits set per entry, each from another byte of a second hash.
 PROBES = 8
 
@@ -103,38 +101,16 @@ def filter_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: s
         F.transform(suffixes, lambda s: F.transform(cuts, lambda n: F.concat(s, F.lit(" "), F.substring(F.col("path"), F.lit(1), n))))
     )
     known = bloom_blocks(listed.select("key"), blocks)
-    if blocks <= SENT_BLOCKS:
-        # size checked above: the filter is one row with at most SENT_BLOCKS blocks
-        one = known.agg(F.map_from_entries(F.collect_list(F.struct("block", "words"))).alias("bloom"))
-        probed = own.withColumn("keys", keys).join(F.broadcast(one), how="left")
-
-        def passes(k: Column) -> Column:
-            words = F.col("bloom")[_place(k, blocks)]
-            mask = _mask(k)
-            fits = [words[w].bitwiseAND(mask[w]) == mask[w] for w in range(4)]
-            return words.isNotNull() & fits[0] & fits[1] & fits[2] & fits[3]
-
-        tested = probed.select("_id", "host", "path", F.filter("keys", passes).alias("hits"))
-        hits = tested.where(F.size("hits") > 0).select("host", "path", F.explode("hits").alias("key")).distinct()
-    else:
-        spread = own.select("host", "path", F.explode(keys).alias("key")).distinct()
-        spread = spread.select("*", _place(F.col("key"), blocks).alias("block"), _mask(F.col("key")).alias("mask"))
-        fits = [F.col("words")[w].bitwiseAND(F.col("mask")[w]) == F.col("mask")[w] for w in range(4)]
-        hits = spread.join(known, "block").where(fits[0] & fits[1] & fits[2] & fits[3]).select("host", "path", "key")
-        tested = None
+    # each different address probes its blocks; Spark sends the filter to all tasks while it is small, else both are shuffled
+    probes = own.select("host", "path", F.explode(keys).alias("key")).distinct()
+    probes = probes.select("*", _place(F.col("key"), blocks).alias("block"), _mask(F.col("key")).alias("mask"))
+    fits = [F.col("words")[w].bitwiseAND(F.col("mask")[w]) == F.col("mask")[w] for w in range(4)]
+    hits = probes.join(known, "block").where(fits[0] & fits[1] & fits[2] & fits[3]).select("host", "path", "key")
     decided = (
         hits.join(listed.hint("shuffle_hash"), "key")
         .groupBy("host", "path")
         .agg(F.max(F.struct(F.length("rule").alias("n"), F.col("v"), F.col("rule"))).alias("best"))
         .select("host", "path", "best.rule", F.col("best.v").alias("verdict"))
     )
-    if tested is None:
-        out = own.join(decided, ["host", "path"], "left")
-    else:
-        # only addresses that passed the filter are shuffled
-        maybe = tested.where(F.size("hits") > 0).select("_id", "host", "path").join(decided, ["host", "path"], "left")
-        sure = tested.where(F.size("hits") == 0).select(
-            "_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict")
-        )
-        out = maybe.select("_id", "host", "path", "rule", "verdict").unionByName(sure)
+    out = own.join(decided, ["host", "path"], "left")
     return out.select(F.col("_id").alias(key), "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))

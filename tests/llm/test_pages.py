@@ -83,9 +83,9 @@ URLS = [
 ]
 
 
-@pytest.mark.parametrize("sent", [100_000, 0])
-def test_url_filter(spark, monkeypatch, sent):
-    monkeypatch.setattr(urls, "SENT_BLOCKS", sent)
+@pytest.mark.parametrize("limit", ["10m", "-1"])
+def test_url_filter(spark, limit):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     rows = [(i, u) for i, u in enumerate(URLS)] + [(3, URLS[3]), (None, URLS[4])]
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     found = got(urls.filter_urls(frame(spark, rows, "page_id long, url string"), rules), "page_id", "host", "path", "rule", "verdict")
@@ -93,6 +93,7 @@ def test_url_filter(spark, monkeypatch, sent):
     none = urls.filter_urls(frame(spark, rows, "page_id long, url string"), rules.limit(0))
     assert {r.verdict for r in none.collect()} == {"allow"} and none.count() == len(rows)
     assert urls.filter_urls(frame(spark, [], "page_id long, url string"), rules).count() == 0
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_bloom_filter_has_no_false_negatives(spark):
