@@ -11,6 +11,7 @@ import json
 import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,12 +19,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tablescope.llm.common import text_groups
+from tablescope.llm.counts import byte_alphabet
+
 #: Ids after which a shard is closed, at the next end of a document.
 SHARD_IDS = 262_144
 #: Bits between two entries of a plane's directory.
 RANK_BITS = 512
-MOST_CHUNKS = 300_000
-GROUP = 2000
+MOST_CHUNKS = 800_000
+MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+GROUP = 20_000
 
 SHARD_SCHEMA = (
     "part int, seq long, n_ids long, doc_ids array<long>, doc_ends array<long>, width int, "
@@ -149,50 +154,95 @@ class LibraryEncoder:
         top = max(max(spec["model"]["vocab"].values()), *self.special.values(), 0)
         self.dtype = np.uint16 if top < 1 << 16 else np.uint32
         self.known: dict[str, bytes] = {}
+        # byte -> its character in the vocabulary, for texts whose bytes were read as Latin-1
+        self.wide = {b: c for c, b in byte_alphabet().items()}
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.dtype) for e in found]
 
-    def _learn(self, chunks: list[str]) -> None:
-        if len(self.known) + len(chunks) > MOST_CHUNKS:
+    def _learn(self, chunks: set[str], latin: bool) -> None:
+        """``latin``: all chunks come from lower-cased Latin-1 texts."""
+        known = self.known
+        words: set[str] = set()
+        rest: list[str] = []
+        ended: list[tuple[str, str]] = []
+        for c in chunks:
+            base = c.rstrip(MARKS)
+            if base.isalpha() and (latin or base.islower() and max(base) < "\u0100"):
+                if base not in known:
+                    words.add(base)
+                if len(base) < len(c):  # marks behind letters are always a piece of their own
+                    ended.append((c, base))
+            else:
+                rest.append(c)
+        self._keep_words(list(words))
+        rest += {c[len(base) :] for c, base in ended}.difference(known, rest)
+        for i in range(0, len(rest), GROUP):
+            self._keep(rest[i : i + GROUP])
+        for c, base in ended:
+            known[c] = known[base] + known[c[len(base) :]]
+
+    def _keep_words(self, words: list[str]) -> None:
+        """Lower-case words of letters go to the library's model as they are: nothing in front of it would change them."""
+        tokenize, wide, known = self.tokenizer.model.tokenize, self.wide, self.known
+        width = self.dtype().itemsize
+        for i in range(0, len(words), GROUP):
+            some = words[i : i + GROUP]
+            found = [tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(wide)) for w in some]
+            raw = np.array([t.id for tokens in found for t in tokens], self.dtype).tobytes()
+            a = 0
+            for w, tokens in zip(some, found, strict=True):
+                b = a + len(tokens) * width
+                known[w] = raw[a:b]
+                a = b
+
+    def _keep(self, chunks: list[str]) -> None:
+        """Encodes chunks in one text, kept apart by a special string, which is a token of its own."""
+        mark, mark_id = next(iter(self.special.items()))
+        ids = self._whole([mark.join(chunks)])[0]
+        raw, width = ids.tobytes(), ids.itemsize
+        cuts = (np.flatnonzero(ids == mark_id) * width).tolist()
+        for chunk, a, b in zip(chunks, [0, *(c + width for c in cuts)], [*cuts, len(raw)], strict=True):
+            self.known[chunk] = raw[a:b]
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
+        out: list[np.ndarray | None] = [None] * len(texts)
+        split: list[tuple[int, list[str], list[bytes | None]]] = []
+        missing: set[str] = set()
+        latin = True
+        if len(self.known) > MOST_CHUNKS:
             self.known.clear()
-        # a comma or full stop behind a letter is always a piece of its own
-        ended = {c: c[:-1] for c in chunks if c[-1:] in (",", ".") and c[-2:-1].isalpha()}
-        alone = dict.fromkeys([c for c in chunks if c not in ended] + [b for b in ended.values() if b not in self.known])
-        self._encode_chunks([*alone, *(p for p in (",", ".") if p not in self.known)])
+        get = self.known.get
+        for i, text in enumerate(texts):
+            if not self.by_chunk or any(s in text for s in self.special):
+                out[i] = self._whole([text])[0]
+                continue
+            try:
+                text.encode("latin-1")
+                text = text.lower()  # one character stays one, and no accents combine
+            except UnicodeEncodeError:
+                latin = False
+            chunks = text.replace("\n", " ").split(" ")
+            found = list(map(get, chunks))
+            if None in found:
+                missing.update([c for c, f in zip(chunks, found, strict=True) if f is None])
+            split.append((i, chunks, found))
+        if missing:
+            self._learn(missing, latin)
         known = self.known
-        for chunk, base in ended.items():
-            known[chunk] = known[base] + known[chunk[-1]]
+        for i, chunks, found in split:
+            if None in found:
+                found = [known[c] if f is None else f for c, f in zip(chunks, found, strict=True)]
+            out[i] = np.frombuffer(b"".join(found), self.dtype)
+        return out
 
-    def _encode_chunks(self, chunks: list[str]) -> None:
-        mark, mark_id = next(iter(self.special.items()))
-        for i in range(0, len(chunks), GROUP):
-            some = chunks[i : i + GROUP]
-            ids = self._whole([mark.join(some)])[0]
-            cuts = np.flatnonzero(ids == mark_id)
-            raw, width = ids.tobytes(), ids.itemsize
-            starts = [0, *((cuts + 1) * width).tolist()]
-            ends = [*(cuts * width).tolist(), len(raw)]
-            for chunk, a, b in zip(some, starts, ends, strict=True):
-                self.known[chunk] = raw[a:b]
-
-    def __call__(self, text: str) -> np.ndarray:
-        if not self.by_chunk or any(s in text for s in self.special):
-            return self._whole([text])[0]
-        try:
-            text.encode("latin-1")
-            text = text.lower()  # one character stays one, and no accents combine
-        except UnicodeEncodeError:
-            pass
-        chunks = text.split(" ")
-        try:
-            raw = b"".join([self.known[c] for c in chunks])
-        except KeyError:
-            self._learn(list(dict.fromkeys(c for c in chunks if c not in self.known)))
-            # a very long text may have more chunks than are remembered: then the missing ones are encoded again
-            raw = b"".join([self.known[c] if c in self.known else self._whole([c])[0].tobytes() for c in chunks])
-        return np.frombuffer(raw, self.dtype)
+
+@lru_cache(maxsize=1)
+def library_encoder(path: str) -> LibraryEncoder:
+    """One encoder per worker process, so that its memory serves one task after the other."""
+    return LibraryEncoder(path)
 
 
 def write_shards(
@@ -208,7 +258,7 @@ def write_shards(
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = LibraryEncoder(tokenizer)
+        encode = library_encoder(tokenizer)
         part = TaskContext.get().partitionId()
         end = np.array([] if end_id is None else [end_id], encode.dtype)
         held: list[np.ndarray] = []
@@ -227,16 +277,16 @@ def write_shards(
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names=names)
 
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            for i in range(batch.num_rows):
-                found = encode(texts[i].as_py() or "")
-                held += [found, end]
-                size += len(found) + len(end)
-                keys.append(ids[i].as_py())
-                ends.append(size)
-                if size >= SHARD_IDS:
-                    yield shard()
-                    held, keys, ends, size, seq = [], [], [], 0, seq + 1
+            ids = batch.column(0)
+            for at, texts in text_groups(batch.column(1)):
+                for i, found in enumerate(encode(texts), at):
+                    held += [found, end]
+                    size += len(found) + len(end)
+                    keys.append(ids[i].as_py())
+                    ends.append(size)
+                    if size >= SHARD_IDS:
+                        yield shard()
+                        held, keys, ends, size, seq = [], [], [], 0, seq + 1
         if keys:
             yield shard()
 
