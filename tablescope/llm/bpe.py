@@ -14,6 +14,7 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import batched, chain, pairwise
 
 import pyarrow as pa
@@ -190,6 +191,12 @@ class Decoder:
         return rest
 
 
+@lru_cache(maxsize=1)
+def machines(path: str) -> tuple[Encoder, Decoder, dict]:
+    """(encoder, decoder, pieces met so far) of a worker process; they serve one task after the other."""
+    return Encoder(path), Decoder(path), {}
+
+
 def encode_texts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Key and ids (array of int) of every text; null and empty text give an empty array.  No shuffle."""
 
@@ -209,8 +216,7 @@ def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "tex
     """
 
     def work():
-        encoder, decoder = Encoder(path), Decoder(path)
-        known: dict[str | int, tuple[str, int, bytes]] = {}
+        encoder, decoder, known = machines(path)
 
         def piece_ids(piece: str | int) -> tuple[str, int, bytes]:
             ids = [piece] if isinstance(piece, int) else list(encoder.tokens(piece.encode("utf-8", "surrogatepass")))
