@@ -61,11 +61,15 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - have)], x[width - have :]) if have < width else x
 
 
-def anchors(raw: bytes, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, position, first window, last window) of the anchors of texts laid end to end; windows stay within a text."""
+def anchors(raw: bytes, ends: np.ndarray, length: int, step: int = STEP) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, position, first window, last window) of the anchors of texts laid end to end; windows stay within a text.
+
+    Work goes in steps of that many bytes; an anchor whose windows lie in two steps is still one entry, so that a text has
+    the same entries wherever it lies.
+    """
     b = np.frombuffer(raw, np.uint8)
     out: list[tuple[np.ndarray, ...]] = []
-    step = STEP - length
+    step -= length
     for at in range(0, max(1, len(b) - length + 1), step):
         piece = b[at : at + step + length - 1]
         if len(piece) < length:
@@ -89,7 +93,12 @@ def anchors(raw: bytes, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.n
         out.append((name ^ (name >> U(29)), x + at, starts + at, stops + at))
     if not out:
         return np.zeros(0, U), *(np.zeros(0, np.int64) for _ in range(3))
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+    h, x, lo, hi = (np.concatenate(c) for c in zip(*out, strict=True))
+    if not len(x):
+        return h, x, lo, hi
+    # windows of one anchor that adjoin are of one text
+    first = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (lo[1:] != hi[:-1] + 1)]))
+    return h[first], x[first], lo[first], hi[np.append(first[1:], len(x)) - 1]
 
 
 # --- sorting ---
@@ -308,7 +317,7 @@ def _find_anchors(texts: DataFrame, length: int, parts: int) -> DataFrame:
                     raws.append(t.encode("utf-8", "surrogatepass") if fresh else b"")
                     seen.add(digests[i])
                 ends = np.cumsum([len(r) for r in raws])
-                h, x, lo, hi = anchors(b"".join(raws), ends, length)
+                h, x, lo, hi = anchors(b"".join(raws), ends, length, STEP)
                 if not len(h):
                     continue
                 doc = np.searchsorted(ends, x, "right")

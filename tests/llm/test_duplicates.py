@@ -159,6 +159,26 @@ def test_repeats_in_small_pieces(spark, spread, monkeypatch):
     assert got(suffix.remove_repeats(frame(spark, rows)), *COLUMNS) == cut(rows)
 
 
+def test_anchors_do_not_depend_on_steps():
+    texts = [t.encode() for _, t in prose(40, 3)]
+    ends = np.cumsum([len(t) for t in texts])
+    whole = suffix.anchors(b"".join(texts), ends, 100, 1 << 20)
+    for step in (150, 333, 2500):
+        for a, b in zip(suffix.anchors(b"".join(texts), ends, 100, step), whole, strict=True):
+            assert a.tolist() == b.tolist()
+
+
+def test_copies_across_a_step(spark, spread, monkeypatch):
+    """Copies of a text in several tasks, of which some lie across a step and some do not: the first keeps all bytes."""
+    monkeypatch.setattr(suffix, "STEP", 400)
+    rnd = random.Random(11)
+    texts = [" ".join(f"{rnd.randrange(10**6)}" for _ in range(rnd.choice([20, 40, 70]))) for _ in range(20)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, t) for i, t in enumerate(reversed(texts))]
+    rows += [(200 + i, t) for i, t in enumerate(texts[7:] + texts[:7])]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 3), "doc_id long, text string")
+    assert got(suffix.remove_repeats(df), *COLUMNS) == cut(rows)
+
+
 def test_repeats_odd_rows(spark):
     found = got(suffix.remove_repeats(frame(spark, odd_rows())), *COLUMNS)
     assert len(found) == len(odd_rows())
