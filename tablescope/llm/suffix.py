@@ -7,7 +7,8 @@ together by anchor, runs of windows with equal text are drawn together, and wher
 deep-shallow: multikey quicksort on eight-byte characters to a shallow depth, then blind tries for what is still tied.
 
 Hot groups: equal texts are found by digest first and only the first of them takes part; anchors that a task meets twice
-stay with the task, which tells the anchor's partition just that; equal runs of a task go on once.
+stay with the task, which tells the anchor's partition just that; equal runs of a task go on once.  An anchor that still
+has many runs is not one group: its windows are dealt out by their bytes, equal ones of a task once.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ SHALLOW = 24
 HELD_BYTES = 16 << 20
 #: Bytes of differing runs that are sorted at once.
 SORTED_BYTES = 500_000
+#: Runs of an anchor up to which they are brought together in one task; of larger anchors the windows are dealt out.
+HOT_RUNS = 10_000
 #: Stands for a null key, which comes after all others.
 NO_KEY = (1 << 63) - 1
 
@@ -201,20 +204,20 @@ def later_windows(runs: list[tuple[bytes, tuple]], length: int) -> list[np.ndarr
     A run of windows has the text from its first window's start to its last window's end; ``order`` is comparable and
     says which run starts earlier; places in a run go up.
     """
-    buf = b"".join(r[0] for r in runs)
-    sizes = np.array([len(r[0]) for r in runs])
+    ranked = sorted(range(len(runs)), key=lambda i: runs[i][1])
+    buf = b"".join(runs[i][0] for i in ranked)  # so what starts earlier stands before
+    sizes = np.array([len(runs[i][0]) for i in ranked])
     base = np.concatenate([[0], np.cumsum(sizes)])
     starts = np.concatenate([np.arange(base[i], base[i + 1] - length + 1) for i in range(len(runs))])
-    rank = np.empty(len(runs), np.int64)
-    rank[sorted(range(len(runs)), key=lambda i: runs[i][1])] = np.arange(len(runs))
-    owner = np.searchsorted(base, starts, "right") - 1
-    place = {int(s): (int(rank[o]), int(s)) for s, o in zip(starts, owner, strict=True)}
     later = np.zeros(len(buf), bool)
     for group in sorted_groups(buf, starts, length):
         if len(group) > 1:
             later[group] = True
-            later[min(group, key=place.__getitem__)] = False
-    return [later[base[i] : base[i + 1] - length + 1] for i in range(len(runs))]
+            later[min(group)] = False
+    out: list[np.ndarray] = [later[:0]] * len(runs)
+    for k, i in enumerate(ranked):
+        out[i] = later[base[k] : base[k + 1] - length + 1]
+    return out
 
 
 def spans(marks: np.ndarray, length: int) -> np.ndarray:
@@ -445,6 +448,11 @@ def _runs(texts: DataFrame, length: int) -> DataFrame:
 def _later_spans(runs: DataFrame, length: int, parts: int) -> DataFrame:
     """(key, mark, blob): spans of the windows that start earlier in another run of their anchor."""
     dealt = runs.where(F.col("kind") == RUN).select("anchor", "key", "mark", "at", "back", "blob")
+    # one number per HOT_RUNS runs at most
+    hot = [r["anchor"] for r in dealt.groupBy("anchor").count().where(F.col("count") > HOT_RUNS).select("anchor").collect()]
+    many = F.broadcast(runs.sparkSession.createDataFrame([(h,) for h in hot], "anchor long"))
+    hot_runs = dealt.join(many, "anchor", "left_semi") if hot else None
+    dealt = dealt.join(many, "anchor", "left_anti") if hot else dealt
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carried: dict[tuple, tuple] = {}
@@ -462,7 +470,7 @@ def _later_spans(runs: DataFrame, length: int, parts: int) -> DataFrame:
             ready.clear()
             rows = [(k, m, joined_spans(np.concatenate(s)).tobytes()) for (k, m), s in gone.items()]
             gone.clear()
-            return _batch(rows, [("key", pa.int64()), ("mark", pa.int64()), ("blob", pa.binary())])
+            return _batch(rows, FOUND_TYPES)
 
         for batch in batches:
             columns = [batch.column(i).to_pylist() for i in range(6)]
@@ -488,7 +496,76 @@ def _later_spans(runs: DataFrame, length: int, parts: int) -> DataFrame:
         yield settle()
 
     dealt = dealt.repartition(parts, "anchor").sortWithinPartitions("anchor")
-    return dealt.mapInArrow(run, "key long, mark long, blob binary")
+    found = dealt.mapInArrow(run, FOUND)
+    return found if hot_runs is None else found.unionByName(_later_of_hot(hot_runs, length, parts))
+
+
+FOUND = "key long, mark long, blob binary"
+FOUND_TYPES = [("key", pa.int64()), ("mark", pa.int64()), ("blob", pa.binary())]
+WINDOWS = "key long, mark long, at int, blob binary, later boolean"
+WINDOW_TYPES = [("key", pa.int64()), ("mark", pa.int64()), ("at", pa.int32()), ("blob", pa.binary()), ("later", pa.bool_())]
+
+
+def _later_of_hot(runs: DataFrame, length: int, parts: int) -> DataFrame:
+    """(key, mark, blob): spans of the windows of these runs that start earlier in another of them.
+
+    A task passes on equal windows once, with the earliest start, and spans of the others.  What it passes on meets by the
+    bytes of the window, in the order of the starts, and is looked at row by row.
+    """
+
+    def as_rows(gone: dict[tuple, list]) -> list[tuple]:
+        rows = [(k, m, joined_spans(np.array([(a, a + length) for a in s], np.int64)).tobytes()) for (k, m), s in gone.items()]
+        gone.clear()
+        return rows
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, tuple] = {}
+        gone: dict[tuple, list] = {}
+
+        def forward() -> Iterator[pa.RecordBatch]:
+            yield _batch([(k, m, None, blob, True) for k, m, blob in as_rows(gone)], WINDOW_TYPES)
+            rows = [(*order, window, False) for window, order in held.items()]
+            held.clear()
+            for a in range(0, len(rows), 10_000):
+                yield _batch(rows[a : a + 10_000], WINDOW_TYPES)
+
+        size = 0
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(4)]
+            for key, mark, at, content in zip(*columns, strict=True):
+                for j in range(len(content) - length + 1):
+                    window, order = content[j : j + length], (key, mark, at + j)
+                    known = held.setdefault(window, order)
+                    if known is not order:
+                        held[window] = min(known, order)
+                        *text, start = max(known, order)
+                        gone.setdefault(tuple(text), []).append(start)
+                        size += 100
+                    else:
+                        size += length + 200
+                if size > HELD_BYTES:
+                    yield from forward()
+                    size = 0
+        yield from forward()
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
+        for batch in batches:
+            rows: list[tuple] = []
+            gone: dict[tuple, list] = {}
+            columns = [batch.column(i).to_pylist() for i in range(5)]
+            for key, mark, at, blob, later in zip(*columns, strict=True):
+                if later:
+                    rows.append((key, mark, blob))
+                elif blob == before:
+                    gone.setdefault((key, mark), []).append(at)
+                else:
+                    before = blob
+            yield _batch(rows + as_rows(gone), FOUND_TYPES)
+
+    windows = runs.select("key", "mark", "at", "blob").mapInArrow(deal, WINDOWS)
+    place = F.when(F.col("later"), F.xxhash64("key", "mark")).otherwise(F.xxhash64("blob"))
+    return windows.repartition(parts, place).sortWithinPartitions("blob", "key", "mark", "at").mapInArrow(judge, FOUND)
 
 
 def _cut(texts: DataFrame, found: DataFrame, as_text: bool) -> DataFrame:

@@ -179,6 +179,31 @@ def test_copies_across_a_step(spark, spread, monkeypatch):
     assert got(suffix.remove_repeats(df), *COLUMNS) == cut(rows)
 
 
+@pytest.mark.parametrize("held", [16 << 20, 3000])
+def test_a_hot_anchor_is_not_one_group(spark, spread, monkeypatch, held):
+    """Lines and passages with another neighbourhood in every text: no task sorts more of their runs than allowed."""
+    limit, sort = 30, suffix.later_windows
+
+    def guarded(runs, length):
+        if len(runs) > limit:
+            raise ValueError(f"{len(runs)} runs at once")
+        return sort(runs, length)
+
+    monkeypatch.setattr(suffix, "later_windows", guarded)
+    monkeypatch.setattr(suffix, "HOT_RUNS", limit, raising=False)
+    monkeypatch.setattr(suffix, "SORTED_BYTES", 0)
+    monkeypatch.setattr(suffix, "HELD_BYTES", held)
+    rnd = random.Random(12)
+    line, passage = ("".join(rnd.choices("abcdefgh ", k=k)) for k in (70, 260))
+    rows = []
+    for i in range(200):
+        a, b = ("".join(rnd.choices("klmnop ", k=rnd.randrange(40, 130))) for _ in range(2))
+        rows.append((i, a + (line if i % 3 else passage[rnd.randrange(60) :]) + b + (line * 2 if i % 7 == 0 else "")))
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 3), "doc_id long, text string")
+    assert got(suffix.remove_repeats(df), *COLUMNS) == cut(rows)
+
+
 def test_repeats_odd_rows(spark):
     found = got(suffix.remove_repeats(frame(spark, odd_rows())), *COLUMNS)
     assert len(found) == len(odd_rows())
