@@ -206,7 +206,8 @@ def contaminated(
     slim = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"))
     matcher = matcher_for(docs, items, text, item_key, item_text)
     if matcher is None:
-        return _joined(slim, items, item_key, item_text).withColumnRenamed("_key", key)
+        numbered = written(slim.select(F.monotonically_increasing_id().alias("row"), "_key", "_text"), "passages")
+        return _joined(numbered, items, item_key, item_text).drop("row").withColumnRenamed("_key", key)
     kind = slim.schema["_key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,14 +226,16 @@ def contaminated(
     return slim.mapInArrow(run, f"_key {kind}, {PAIRS}").withColumnRenamed("_key", key)
 
 
-def _joined(slim: DataFrame, items: DataFrame, item_key: str, item_text: str) -> DataFrame:
-    """The same for any number of items: n-grams of both sides meet in a shuffle, texts follow the pairs found."""
-    kind = slim.schema["_key"].dataType.simpleString()
+def _joined(numbered: DataFrame, items: DataFrame, item_key: str, item_text: str) -> DataFrame:
+    """The same for any number of items, with the number of each row of (row, _key, _text), which are written already.
+
+    N-grams of both sides meet in a shuffle, texts follow the pairs found.
+    """
+    kind = numbered.schema["_key"].dataType.simpleString()
     test = items.where(F.col(item_text).isNotNull()).select(
         F.monotonically_increasing_id().alias("n"), F.col(item_key).cast("long").alias("id"), F.col(item_text).cast("string").alias("text")
     )
     test = written(test, "items")
-    numbered = written(slim.select(F.monotonically_increasing_id().alias("row"), "_key", "_text"), "passages")
 
     def words_with(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -271,7 +274,7 @@ def _joined(slim: DataFrame, items: DataFrame, item_key: str, item_text: str) ->
     both = (
         met.join(test.select(F.col("n").alias("item"), "id", F.col("text").alias("item_text")), "item")
         .join(numbered.withColumnRenamed("row", "n"), "n")
-        .select("_key", "_text", "id", "item_text", "offsets")
+        .select("_key", "_text", "id", "item_text", "offsets", "n")
     )
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,25 +288,25 @@ def _joined(slim: DataFrame, items: DataFrame, item_key: str, item_text: str) ->
             of, ids, score, first, end = zip(*rows, strict=True) if rows else ((),) * 5
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).take(pa.array(of, pa.int64())), pa.array(ids, pa.int64()), pa.array(score, pa.float64()),
-                    pa.array(first, pa.int32()), pa.array(end, pa.int32()),
+                    batch.column(5).take(pa.array(of, pa.int64())), batch.column(0).take(pa.array(of, pa.int64())),
+                    pa.array(ids, pa.int64()), pa.array(score, pa.float64()), pa.array(first, pa.int32()), pa.array(end, pa.int32()),
                 ],
-                names=["_key", "item_id", "score", "first_word", "end_word"],
+                names=["row", "_key", "item_id", "score", "first_word", "end_word"],
             )
 
-    return both.mapInArrow(judge, f"_key {kind}, {PAIRS}")
+    return both.mapInArrow(judge, f"row long, _key {kind}, {PAIRS}")
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that hold no copy of a test item.
-
-    Where items are too many to be sent, rows go by their key, so rows that share a key with a contaminated one go too.
-    """
+    """The rows of docs, with all their columns, that hold no copy of a test item.  Every row is judged on its own."""
     matcher = matcher_for(docs, items, text, item_key, item_text)
     if matcher is None:
-        slim = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"))
-        found = _joined(slim, items, item_key, item_text).select("_key").distinct()
-        return docs.join(found, docs[key].eqNullSafe(found["_key"]), "left_anti")
+        # the row travels as one value, so that its columns may have any names
+        whole = written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc")), "passages")
+        numbered = whole.select("row", F.col("doc")[key].alias("_key"), F.col("doc")[text].cast("string").alias("_text"))
+        found = _joined(numbered, items, item_key, item_text).select("row").distinct()
+        kept = whole.join(found, "row", "left_anti")
+        return kept.select(*[F.col("doc")[c].alias(c) for c in docs.columns])
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

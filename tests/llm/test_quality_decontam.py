@@ -119,6 +119,19 @@ def test_contamination(spark, monkeypatch, sent):
     assert decontam.contaminated(frame(spark, odd_rows()), table).count() == 0
 
 
+@pytest.mark.parametrize("sent", [decontam.SENT_WORDS, 0])
+def test_rows_that_share_a_key_are_judged_on_their_own(spark, monkeypatch, sent):
+    monkeypatch.setattr(decontam, "SENT_WORDS", sent)
+    rows, table = items(spark)
+    copy = "before it " + rows[0][1] + " behind it"
+    clean = [(None, "clean one"), (None, None), (7, "clean two"), (7, "clean two"), (8, "clean three")]
+    df = frame(spark, [(None, copy), *clean, (7, copy), (7, copy)])
+    kept = decontam.keep_clean(df, table)
+    assert kept.columns == df.columns
+    assert got(kept, "doc_id", "text", "row", "_key") == sorted([(*r, "c", "c") for r in clean], key=repr)
+    assert got(decontam.contaminated(df, table), "doc_id", "item_id") == sorted([(None, 0), (7, 0), (7, 0)], key=repr)
+
+
 def smith_waterman(a, b):
     best = 0
     h = np.zeros((len(a) + 1, len(b) + 1), int)
