@@ -15,7 +15,7 @@ from ..conftest import SF
 
 def test_each_operator_has_one_query():
     numbers = [int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES]
-    assert sorted(numbers) == list(range(1, 11))
+    assert sorted(numbers) == list(range(1, 14))
     assert {*queries.QUERIES, "pipeline"} <= set(__spark_entry__.queries())
     assert set(queries.ORACLES) <= set(queries.QUERIES)
 
