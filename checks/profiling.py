@@ -373,3 +373,30 @@ def zero_activity(spark, sf):
 )
 def zero_value(spark, sf):
     return j.zero_activity(read(spark, sf, "orders"), read(spark, sf, "lineitem"), "order_key", "discount").select("order_key")
+
+
+# Thousands of keys over the target: every order with more than four lines is spread.
+@query(
+    "join_many_hot_keys",
+    """SELECT l.l_orderkey AS order_key, l.l_linenumber AS line_num, o.o_custkey AS cust_key, o.o_orderstatus AS orderstatus
+    FROM lineitem l JOIN orders o ON l.l_orderkey IS NOT DISTINCT FROM o.o_orderkey""",
+)
+def join_many_hot_keys(spark, sf):
+    lines = read(spark, sf, "lineitem").select("order_key", "line_num")
+    orders = read(spark, sf, "orders").select("order_key", "cust_key", "orderstatus")
+    return j.merge(lines, orders, "order_key", "inner", skew="split", rows_per_task=4)
+
+
+# A side of key and text only, with a third of its rows on one key: the text tells its rows apart.
+@query(
+    "join_key_text_only",
+    """SELECT d.doc_key, length(d.text) AS n_chars, l.quality
+    FROM (SELECT CASE WHEN doc_id % 3 = 0 THEN 7 ELSE doc_id END AS doc_key, text FROM documents) d
+    LEFT JOIN (SELECT doc_id AS doc_key, quality FROM labels) l ON d.doc_key IS NOT DISTINCT FROM l.doc_key""",
+)
+def join_key_text_only(spark, sf):
+    docs = read(spark, sf, "documents")
+    docs = docs.select(F.when(F.col("doc_id") % 3 == 0, F.lit(7).cast("long")).otherwise(F.col("doc_id")).alias("doc_key"), "text")
+    labels = read(spark, sf, "labels").select(F.col("doc_id").alias("doc_key"), "quality")
+    joined = j.merge(docs, labels, "doc_key", "left", skew="split", rows_per_task=20)
+    return joined.select("doc_key", F.length("text").alias("n_chars"), "quality")

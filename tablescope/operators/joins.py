@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import canonical_key, clean, col, is_boolean, is_datetime, is_floating, is_number, required
-from ..plans.skew import ROWS_PER_TASK, can_broadcast, hot_keys
+from ..plans.skew import ROWS_PER_TASK, can_broadcast, hot_keys, spread_over
 from ..session import ensure_checkpoint_dir
 from ..sources.tables import TableSet
 
@@ -85,7 +85,7 @@ def merge(
 
 
 #: Names that a spread join uses inside.
-INNER = {"_rk", "_ls", "_rs", "_lc", "_rc"}
+INNER = {"_rk", "_ls", "_rs", "_lc", "_rc", "_hkey", "_hk", "_a", "_b"}
 
 
 def _comparable(lhs: DataFrame, left: str, rhs: DataFrame, right: str) -> tuple[Column, Column]:
@@ -98,12 +98,20 @@ def _comparable(lhs: DataFrame, left: str, rhs: DataFrame, right: str) -> tuple[
     return canonical_key(lhs, left), canonical_key(rhs, right)
 
 
+#: Hot keys of both sides together that are sent to every task; beyond that they are joined (AQE splits the hot side).
+HOT_BROADCAST = 1_000_000
+
+
 @dataclass
 class _Spread:
-    """Hot keys with the salts of their left rows (a) and of their right rows (b): a row of the left takes one of a
-    places and goes to all b of them, a row of the right the other way round, so each pair meets once."""
+    """Hot keys with the places of their left rows (a) and of their right rows (b): a row of the left takes one of a
+    places and goes to all b of them, a row of the right the other way round, so each pair meets once.
 
-    keys: dict
+    ``hot`` holds (_hk, _a, _b) for every key with more than rows_per_task rows on a side, found exactly
+    (``hot_keys``); each side learns its key's numbers by a join with it, so there is no limit on the number of keys."""
+
+    hot: DataFrame
+    small: bool
     left_key: Column
     right_key: Column
     match: bool
@@ -113,31 +121,33 @@ class _Spread:
         if skew == "off" or (skew == "auto" and can_broadcast(left, right, how)):
             return None
         hot_l, hot_r = hot_keys(left, left_key, rows_per_task), hot_keys(right, right_key, rows_per_task)
-        keys = {k: (hot_l.get(k, 1), hot_r.get(k, 1)) for k in [*hot_l, *hot_r]}
-        return cls(keys, left_key, right_key, match) if keys else None
-
-    def _parts(self, key: Column, side: int, copies: bool = False) -> Column:
-        """How many salts the rows of this key have on a side.  Missing keys that meet nothing need no copies."""
-        found = F.lit(1)
-        for n in sorted({v[side] for v in self.keys.values()} - {1}):
-            same = [k for k, v in self.keys.items() if v[side] == n and not (k is None and copies and not self.match)]
-            values = [k for k in same if k is not None]
-            holds = F.coalesce(key.isin(values), F.lit(False)) if values else F.lit(False)
-            found = F.when(holds | key.isNull() if None in same else holds, F.lit(n)).otherwise(found)
-        return found
+        ones = F.lit(1).cast("long")
+        both = hot_l.select("_hk", spread_over(F.col("n"), rows_per_task).alias("_a"), ones.alias("_b")).unionByName(
+            hot_r.select("_hk", ones.alias("_a"), spread_over(F.col("n"), rows_per_task).alias("_b"))
+        )
+        hot = both.groupBy("_hk").agg(F.max("_a").alias("_a"), F.max("_b").alias("_b"))
+        stored = hot.cache()
+        found = stored.count()  # at most rows / rows_per_task of each side
+        if not found:
+            stored.unpersist()
+            return None
+        return cls(stored, found <= HOT_BROADCAST, left_key, right_key, match)
 
     def _salted(self, df: DataFrame, key: Column, side: int, salt: str, copied: str) -> DataFrame:
-        own, other = self._parts(key, side), self._parts(key, 1 - side, copies=True)
-        # The place comes from the row itself, so a task that runs again gives the same salts, and from its short
-        # columns, so long texts need not be read for it.  Rows that are equal in these share a salt.
+        columns = df.columns
+        hot = F.broadcast(self.hot) if self.small else self.hot
+        marked = df.withColumn("_hkey", key).join(hot, F.col("_hkey").eqNullSafe(hot["_hk"]), "left")
+        a, b = F.coalesce(F.col("_a"), F.lit(1)), F.coalesce(F.col("_b"), F.lit(1))
+        own, other = (a, b) if side == 0 else (b, a)
+        if not self.match:  # missing keys meet nothing: no copies for them
+            other = F.when(F.col("_hkey").isNull(), F.lit(1)).otherwise(other)
+        # The place comes from the whole row but its key, so a task that runs again gives the same places, and rows of
+        # one key that differ anywhere (also only in a text) fall apart.  Only rows of hot keys are hashed.
         kinds = {f.name: f.dataType for f in df.schema.fields}
-        short = [c for c, t in kinds.items() if is_number(t) or is_boolean(t) or is_datetime(t)]
-        short = short or [c for c, t in kinds.items() if isinstance(t, T.StringType)]
-        place = F.pmod(F.xxhash64(F.lit(side), *map(col, short)), own.cast("long")).cast("int")
-        # the pair (place on the left, place on the right) as one number
-        wide = self._parts(key, 1)
-        salts = F.transform(F.sequence(F.lit(0), other - 1), lambda c: place * wide + c if side == 0 else c * wide + place)
-        return df.withColumn(copied, other > 1).withColumn(salt, F.explode(salts))
+        hashable = [col(c) for c, t in kinds.items() if not isinstance(t, T.MapType)]
+        place = F.when(own > 1, F.pmod(F.xxhash64(F.lit(side), *hashable), own)).otherwise(F.lit(0)).cast("long")
+        salts = F.transform(F.sequence(F.lit(0).cast("long"), other - 1), lambda c: place * b + c if side == 0 else c * b + place)
+        return marked.select(*map(col, columns), (other > 1).alias(copied), F.explode(salts).alias(salt))
 
     def left(self, df: DataFrame) -> DataFrame:
         return self._salted(df, self.left_key, 0, "_ls", "_lc")

@@ -6,8 +6,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-HOT_LIMIT = 200  # keys that the sketch reports at most
 ROWS_PER_TASK = 2_000_000  # rows of one key that a task should take
+BUCKETS = 1 << 16  # hash buckets of keys counted in the first pass; one number each comes back
 
 
 def size_estimate(df: DataFrame) -> int | None:
@@ -33,15 +33,22 @@ def can_broadcast(left: DataFrame, right: DataFrame, how: str) -> bool:
     return any(size is not None and size <= limit for size in sizes)
 
 
-def hot_keys(df: DataFrame, key: Column, rows_per_task: int = ROWS_PER_TASK) -> dict:
-    """Keys with more rows than a task should take, each with the number of tasks for its rows; None stands for null.
+def hot_keys(df: DataFrame, key: Column, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Every key with more than rows_per_task rows, as rows (_hk, n): n its rows.  Exact and without a cap.
 
-    One pass with a bounded sketch, no shuffle of the keys.  The counts only steer how rows are spread; every row is
-    joined whatever they say.
+    First the rows of each of BUCKETS hash buckets of the key are counted (partial counts per task, BUCKETS numbers
+    to the driver).  A key over the target lies in a bucket over it, so only rows of such buckets are counted by key,
+    again with partial counts before the shuffle.  The result has at most rows / rows_per_task keys, whatever the
+    table's size; null is one key.  The counts only steer how rows are spread: every row is joined whatever they say.
     """
-    row = df.agg(
-        F.count_if(key.isNull()).alias("nulls"),
-        F.call_function("approx_top_k", key, F.lit(HOT_LIMIT), F.lit(HOT_LIMIT * 10)).alias("top"),
-    ).first()
-    found = {t["item"]: t["count"] for t in row["top"] or [] if t["item"] is not None} | {None: row["nulls"]}
-    return {k: math.ceil(n / rows_per_task) for k, n in found.items() if n > rows_per_task}
+    keyed = df.select(key.alias("_hk")).withColumn("_b", F.pmod(F.xxhash64("_hk"), F.lit(BUCKETS)))
+    full = [r["_b"] for r in keyed.groupBy("_b").count().where(F.col("count") > rows_per_task).collect()]
+    if not full:
+        return keyed.select("_hk", F.lit(0).cast("long").alias("n")).limit(0)
+    counted = keyed.where(F.col("_b").isin(full)).groupBy("_hk").agg(F.count("*").alias("n"))
+    return counted.where(F.col("n") > rows_per_task)
+
+
+def spread_over(rows: Column, rows_per_task: int) -> Column:
+    """Places for a key's rows: each place aims at half the target, so that the spread of hashing stays within it."""
+    return F.greatest(F.lit(1), F.ceil(rows * 2 / F.lit(rows_per_task))).cast("long")

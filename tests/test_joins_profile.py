@@ -326,3 +326,26 @@ def test_quantiles_rank_no_whole_column_in_one_task(frame):
     assert q.quantiles(df, {"x": F.col("x")}, [0.5])["x"] == [pd.Series([i % 97 for i in range(2000)]).quantile(0.5)]
     with pytest.raises(ValueError):
         q.quantiles(df, {"x": F.col("x")}, [0.5], "counted")
+
+
+def test_hot_keys_are_exact_without_a_cap(spark):
+    from tablescope.plans import skew
+
+    rows = [(k % 700, f"t{k}") for k in range(700 * 6)] + [(5000 + k, "x") for k in range(3000)]
+    df = spark.createDataFrame(rows, "k long, text string")
+    got = {r["_hk"]: r["n"] for r in skew.hot_keys(df, F.col("k"), 4).collect()}
+    assert got == {k: 6 for k in range(700)}
+    assert skew.hot_keys(df, F.col("k"), 6).count() == 0
+
+
+def test_largest_salt_within_target_with_key_and_text_only(spark):
+    """A side whose only column besides the key is a text: the text spreads a hot key's rows, each place within target."""
+    rows = [(7, f"text {i}") for i in range(5000)] + [(i, f"other {i}") for i in range(100, 200)]
+    left = spark.createDataFrame(rows, "k long, text string")
+    right = spark.createDataFrame([(7, 1), (3, 2)], "k long, v long")
+    spread = j._Spread.plan(left, right, "k", F.col("k"), F.col("k"), "left", True, "split", 100)
+    places = spread.left(left).groupBy("k", "_ls").count()
+    assert places.where("k = 7").count() >= 50
+    assert places.agg(F.max("count")).first()[0] <= 100
+    joined = j.merge(left, right, "k", "left", skew="split", rows_per_task=100)
+    assert joined.count() == 5100 and joined.where("k = 7 AND v = 1").count() == 5000
