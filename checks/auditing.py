@@ -401,3 +401,20 @@ def history_prune(spark, sf):
     store = _store(spark, sf)
     store.prune("click", 2, datetime(2024, 1, 30, 12))
     return store.tables()["joins"]
+
+
+# Two writers of one family: the second read the store before the first committed, loses the race for the version,
+# folds its run into the first one's and commits after it.  Both runs count.
+@query("history_two_writers", f"SELECT * FROM {RAN} WHERE schema_hash = 'click'")
+def history_two_writers(spark, sf):
+    ensure_checkpoint_dir(spark)
+    store = h.HistoryStore(spark, f"{spark.sparkContext.getCheckpointDir()}/history-{uuid.uuid4().hex}")
+    own = _records(spark, sf).where(F.col("schema_hash") == "click")
+    middle = F.lit(datetime(2024, 1, 15)).cast("timestamp_ntz")
+    none = spark.createDataFrame([], h.SCHEMAS["warnings"]).select(
+        "schema_hash", "finding_type", "affected", "reason", "severity", F.lit(False).alias("approved"), F.lit(0).cast("long").alias("seq")
+    )
+    seen = store.version("click")  # both writers start from here
+    store.persist("click", own.where(F.col("created_at") < middle), none, datetime(2024, 1, 15), read_version=seen)
+    store.persist("click", own.where(F.col("created_at") >= middle), none, datetime(2024, 1, 30, 12), read_version=seen)
+    return store.load("click")["joins"]

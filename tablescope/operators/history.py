@@ -6,8 +6,11 @@ Each merge is a fold: old and new rows are put together and grouped by key, so k
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timedelta, timezone
+from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
@@ -108,13 +111,21 @@ def join_records(log: DataFrame, schema_hash: str, now: datetime | None = None)
     )
 
 
+#: Times a writer folds its run into a newer version after another writer came first.
+ATTEMPTS = 8
+
+
 class HistoryStore:
     """The three history tables as parquet below a folder, one folder per family of datasets.
 
-    ``families/<schema_hash>/<version>/<table>`` holds a family's rows.  A write makes a new version of one family only
-    and, when all of it is there, an empty mark file for it; creating a mark that exists fails, so of two writers one
-    gives up.  What is being read is never overwritten, and a failed write leaves the old version in force.  Versions
-    older than the one before the current are deleted.
+    Commit protocol.  Every write attempt puts its tables into a folder of its own, ``attempt=<uuid>``, below the
+    family's folder; nothing is ever written into a folder that a version names.  The attempt then creates the mark
+    ``current-<v+1>`` (v: the version it read) with put-if-absent semantics and writes its folder's name into it; the
+    version counts from then on.  If the mark exists, another writer came first: the loser deletes its folder, reads
+    the version now in force, folds its run into that anew and tries the next number, up to ATTEMPTS times.  So both
+    runs count and the loser's data never come into force.  A reader takes the highest mark and the folder it names.
+    Marks and folders older than the one before the current are deleted (a reader may still be busy with that one).
+    Put-if-absent is what the file system's create without overwrite gives: atomic on HDFS and local disks.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -136,67 +147,99 @@ class HistoryStore:
         marks = [e for e in self._entries(self._home(schema_hash)) if e.startswith("current-")]
         return max([int(m.split("-")[1]) for m in marks], default=0)
 
+    def folder(self, schema_hash: str, v: int) -> str:
+        """The folder that the mark of version v names."""
+        stream = self._fs.open(self._path(f"{self._home(schema_hash)}/current-{v}"))
+        try:
+            name = str(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")).strip()
+        finally:
+            stream.close()
+        return f"{self._home(schema_hash)}/{name or f'v={v}'}"
+
     def families(self) -> list[str]:
         return sorted(e.split("=", 1)[1] for e in self._entries(f"{self.root}/families") if e.startswith("schema_hash="))
 
     def _read(self, places: list[tuple[str, int]]) -> dict[str, DataFrame]:
         out = {}
+        folders = [(h, self.folder(h, v)) for h, v in places]
         for name, schema in SCHEMAS.items():
-            paths = [f"{self._home(h)}/v={v}/{name}" for h, v in places]
-            if not paths:
+            if not folders:
                 out[name] = self.spark.createDataFrame([], schema)
                 continue
-            # The schema is given: a hash of digits only must not be read as a number.
-            reader = self.spark.read.schema(schema).option("basePath", f"{self.root}/families")
-            out[name] = reader.parquet(*paths).select(*_names(schema))
+            # The schema is given: a hash of digits only must not be read as a number.  The family comes from the
+            # folder it was read from.
+            parts = [
+                self.spark.read.schema(schema).parquet(f"{f}/{name}").withColumn("schema_hash", F.lit(h)).select(*_names(schema))
+                for h, f in folders
+            ]
+            out[name] = parts[0] if len(parts) == 1 else reduce(DataFrame.unionByName, parts)
         return out
 
     def tables(self) -> dict[str, DataFrame]:
         """All families; empty tables if nothing was written yet."""
         return self._read([(h, v) for h in self.families() if (v := self.version(h))])
 
-    def load(self, schema_hash: str) -> dict[str, DataFrame]:
-        """One family: only its own folder is read."""
-        v = self.version(schema_hash)
+    def load(self, schema_hash: str, version: int | None = None) -> dict[str, DataFrame]:
+        """One family, at the version in force or at the one given: only its own folder is read."""
+        v = self.version(schema_hash) if version is None else version
         return load_history(self._read([(schema_hash, v)] if v else []), schema_hash)
 
     def persist(
-        self, schema_hash: str, new_joins: DataFrame, new_warnings: DataFrame, now: datetime | None = None
+        self, schema_hash: str, new_joins: DataFrame, new_warnings: DataFrame, now: datetime | None = None,
+        read_version: int | None = None,
     ) -> int:
-        """Fold a run of one family into the history and return the family's new version number."""
+        """Fold a run of one family into the history and return the family's new version number.
+
+        ``read_version`` is the version this writer read before it began (default: the one in force now); if another
+        writer has committed since, the run is folded into the newer version instead."""
         now = now or datetime.now(timezone.utc).replace(tzinfo=None)
-        old = self.load(schema_hash)
         run = self.spark.createDataFrame([(schema_hash, now)], "schema_hash string, last_run_at timestamp_ntz")
         mine = F.col("schema_hash") == schema_hash
-        return self._write(
-            schema_hash,
-            {
+
+        def fold(old: dict[str, DataFrame]) -> dict[str, DataFrame]:
+            return {
                 "joins": merge_joins(old["joins"], new_joins.where(mine), now),
                 "warnings": merge_warnings(old["warnings"], new_warnings.where(mine), now),
                 "runs": bump_runs(old["runs"], run),
-            },
-        )
+            }
+
+        return self._commit(schema_hash, fold, read_version)
 
     def prune(self, schema_hash: str, days: int = 365, now: datetime | None = None) -> int:
         """Drop a family's joins not seen for so long; returns how many."""
-        old = self.load(schema_hash)
-        before = old["joins"].count()
-        self._write(schema_hash, {**old, "joins": prune_joins(old["joins"], schema_hash, days, now)})
+        before = self.load(schema_hash)["joins"].count()
+        self._commit(schema_hash, lambda old: {**old, "joins": prune_joins(old["joins"], schema_hash, days, now)})
         return before - self.load(schema_hash)["joins"].count()
 
-    def _write(self, schema_hash: str, tables: dict[str, DataFrame]) -> int:
-        home, current = self._home(schema_hash), self.version(schema_hash)
-        v = current + 1
-        for name, df in tables.items():
-            # Rebalancing keeps a family in few files but splits one that is very large.
-            df.drop("schema_hash").hint("rebalance").write.mode("overwrite").parquet(f"{home}/v={v}/{name}")
-        # The version counts from the moment its mark exists, after all three tables are complete.
-        self._fs.create(self._path(f"{home}/current-{v}"), False).close()
+    def _commit(self, schema_hash: str, fold, read_version: int | None = None) -> int:
+        home = self._home(schema_hash)
+        seen = self.version(schema_hash) if read_version is None else read_version
+        for _ in range(ATTEMPTS):
+            tables = fold(self.load(schema_hash, seen))
+            name = f"attempt={uuid.uuid4().hex}"
+            for table, df in tables.items():
+                # Rebalancing keeps a family in few files but splits one that is very large.
+                df.drop("schema_hash").hint("rebalance").write.mode("errorifexists").parquet(f"{home}/{name}/{table}")
+            try:
+                mark = self._fs.create(self._path(f"{home}/current-{seen + 1}"), False)
+            except Py4JJavaError:  # another writer made this version first
+                self._fs.delete(self._path(f"{home}/{name}"), True)
+                seen = self.version(schema_hash)
+                continue
+            mark.write(bytearray(name.encode()))
+            mark.close()
+            self._clean(schema_hash, seen + 1)
+            return seen + 1
+        raise RuntimeError(f"family {schema_hash}: {ATTEMPTS} other writers came first")
+
+    def _clean(self, schema_hash: str, current: int) -> None:
+        """Delete the marks of versions before the previous one and the folders they name.  Folders that no mark
+        names are left alone: they may belong to a writer that is still at work."""
+        home = self._home(schema_hash)
         for entry in self._entries(home):
-            number = int(entry.replace("=", "-").split("-")[1])
-            if number < current:  # a reader may still be busy with the version before this one
+            if entry.startswith("current-") and (v := int(entry.split("-")[1])) < current - 1:
+                self._fs.delete(self._path(self.folder(schema_hash, v)), True)
                 self._fs.delete(self._path(f"{home}/{entry}"), True)
-        return v
 
 
 def _names(schema: str) -> list[str]:

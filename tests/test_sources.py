@@ -5,6 +5,8 @@ import pytest
 from tablescope import sources
 from tablescope.functions import redact_credentials
 from tablescope.operators.charts import chart_points
+from pyspark.sql import functions as F
+
 from tablescope.operators.history import HistoryStore
 
 
@@ -166,3 +168,33 @@ def test_two_writers_of_a_family(spark, tmp_path):
     store._fs.create(store._path(f"{store._home('f')}/current-1"), False).close()
     with pytest.raises(Exception, match="exists"):
         store._fs.create(store._path(f"{store._home('f')}/current-1"), False)
+
+
+def test_a_writer_with_a_stale_version_folds_into_the_newer_one(spark, tmp_path):
+    from datetime import datetime
+
+    from tablescope.operators import history as h
+
+    store = HistoryStore(spark, "file://" + str(tmp_path / "h"))
+    warn = spark.createDataFrame([], h.SCHEMAS["warnings"]).select(
+        "schema_hash", "finding_type", "affected", "reason", "severity", F.lit(False).alias("approved"), F.lit(0).cast("long").alias("seq")
+    )
+
+    def joins(table, at):
+        rows = [("f", table, "b", "k", "inner", "r", 1, 0.0, at, at, 1)]
+        return spark.createDataFrame(rows, h.SCHEMAS["joins"] + ", seq long")
+
+    assert store.persist("f", joins("a1", datetime(2024, 1, 1)), warn, datetime(2024, 1, 1)) == 1
+    stale = store.version("f")
+    assert store.persist("f", joins("a2", datetime(2024, 1, 2)), warn, datetime(2024, 1, 2), read_version=stale) == 2
+    # this writer read version 1 too: it loses version 2, folds into it and makes version 3
+    assert store.persist("f", joins("a3", datetime(2024, 1, 3)), warn, datetime(2024, 1, 3), read_version=stale) == 3
+    got = store.load("f")
+    assert sorted(r.left_table for r in got["joins"].collect()) == ["a1", "a2", "a3"]
+    assert [tuple(r) for r in got["runs"].select("total_runs").collect()] == [(3,)]
+    # the version before stays readable, older ones and the loser's folder are gone
+    assert sorted(r.left_table for r in store.load("f", 2)["joins"].collect()) == ["a1", "a2"]
+    home = store._home("f")
+    assert sorted(e for e in store._entries(home) if e.startswith("current-")) == ["current-2", "current-3"]
+    assert len([e for e in store._entries(home) if e.startswith("attempt=")]) == 2
+    assert store.families() == ["f"] and store.tables()["joins"].count() == 3
