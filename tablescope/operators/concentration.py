@@ -48,7 +48,7 @@ def pareto_tiers(
     """Each entity's tier: High until ``high`` of the total is reached, then Mid until ``mid``, then Tail."""
     ranked = Layout.of(entity_totals(df, entity, value))
     total = F.lit(ranked.total)
-    upto = over_layout(ranked.ranked, [F.col("value").desc(), F.col("entity")], {"upto": ("sum", F.col("value"))})
+    upto = over_layout(ranked.ranked, list(Layout.ORDER), {"upto": ("sum", F.col("value"))})
     # The entity that crosses a limit still belongs to the upper tier.
     before = upto.withColumn("before", F.col("upto") - F.col("value")).withColumn("total", total)
     return before.select(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import clean, col, required, value_of
 from ..plans.quantiles import quantiles
-from ..plans.ranges import running
+from ..plans.ranges import By, running
 from ..session import ensure_checkpoint_dir
 from .profile import correlated_columns, correlations_of
 
@@ -104,7 +104,7 @@ def efficiency_frontier(df: DataFrame, entity: str, cost: Column, service: Colum
     best = F.struct(F.col("service"), (-F.col("cost")).alias("saving"))
     ranked = running(
         per,
-        [F.col("cost"), F.col("service").desc(), F.col("entity")],
+        [By("cost"), By("service", True), By("entity")],
         {"best": ("max", best)},
         inclusive=False,
     )

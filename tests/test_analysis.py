@@ -6,10 +6,10 @@ from decimal import Decimal
 
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from tablescope.operators import audit, concentration as k, nulls, paradox, rates, segments, sequence, shape
-from tablescope.plans.ranges import Layout, running
+from tablescope.plans.ranges import PART, By, Layout, range_layout, running
 
 
 def heavy(spark, n=3000):
@@ -24,7 +24,7 @@ def heavy(spark, n=3000):
 def test_running_over_many_partitions(spark, spread):
     rows = [(rng_i % 3 if rng_i % 2 else 0, rng_i, v) for rng_i, v in heavy(spark)]
     df = spark.createDataFrame(rows, "g int, i int, v long").repartition(6)
-    out = running(df, [F.col("v").desc(), F.col("i")], {"s": ("sum", F.col("v")), "m": ("max", F.col("i"))}, keys=["g"])
+    out = running(df, [By("v", True), By("i")], {"s": ("sum", F.col("v")), "m": ("max", F.col("i"))}, keys=["g"])
     got = {(r["g"], r["i"]): (r["s"], r["m"]) for r in out.collect()}
     want = {}
     for g, part in itertools.groupby(sorted(rows, key=lambda r: (r[0], -r[2], r[1])), key=lambda r: r[0]):
@@ -33,7 +33,7 @@ def test_running_over_many_partitions(spark, spread):
             s, m = s + v, max(m, i)
             want[(g, i)] = (s, m)
     assert got == want
-    plain = running(df, [F.col("v").desc(), F.col("i")], {"s": ("sum", F.col("v"))}, inclusive=False)
+    plain = running(df, [By("v", True), By("i")], {"s": ("sum", F.col("v"))}, inclusive=False)
     acc, expect = None, {}
     for _, i, v in sorted(rows, key=lambda r: (-r[2], r[1])):
         expect[i] = acc
@@ -57,13 +57,20 @@ def test_layout_cut_offs(spark, spread, partitions):
 
 
 def test_no_single_task_exchange(spark, spread):
-    """Ranking all entities never brings them into one partition."""
+    """Ranking all entities never brings them into one partition, and deals the rows once."""
     df = spark.createDataFrame(heavy(spark), "e int, v long")
-    plan = k.pareto_tiers(df, "e", "v")._jdf.queryExecution().executedPlan().toString().splitlines()
-    windows = [line for line in plan if "+- Window" in line]
-    assert len(windows) == 2 and "windowspecdefinition(_part" in windows[0]
-    # The only unpartitioned window sums the ranges' totals, one row per range.
-    assert "sum(_t_upto" in windows[1] and sum("Exchange SinglePartition" in line for line in plan) == 1
+    laid = range_layout(df, By("v", True), By("e"))
+    inside = Window.partitionBy(PART).orderBy(F.col("v").desc(), "e")
+    plan = laid.select("*", F.sum("v").over(inside).alias("s"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "shufflepartitionidpassthrough" in plan
+    assert laid.select(PART).distinct().count() > 3
+    # The stored running values meet the ranges' offsets, at most one row per range, sent to every task.
+    tiers = k.pareto_tiers(df, "e", "v")._jdf.queryExecution().executedPlan().toString()
+    lines = tiers.splitlines()
+    assert "BroadcastHashJoin" in tiers
+    # only partial totals (one row per task and range) are exchanged by range
+    assert all("partial_" in lines[i + 1] for i, line in enumerate(lines) if "Exchange hashpartitioning" in line)
+    assert sum("Exchange SinglePartition" in line for line in tiers.splitlines()) <= 1
 
 
 # ------------------------------------------------------------------ concentration
