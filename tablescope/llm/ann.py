@@ -29,12 +29,12 @@ from pyspark.sql.window import Window
 from tablescope.llm.common import written
 
 #: Rows of the bounded sample the tree is fitted on, and the calibration queries drawn from it.
-FIT_ROWS = 20_000
+FIT_ROWS = 8_192
 CALIBRATION = 500
 BRANCH = 16
-LEAF_FIT = 64
+LEAF_FIT = 128
 KMEANS_STEPS = 10
-TARGET_RECALL = 0.98
+TARGET_RECALL = 0.95
 BLOCK_ROWS = 20_000
 QUERY_BLOCK = 2_000
 #: Stands for a null key in numpy; such rows sort after all others.
