@@ -430,3 +430,9 @@ _WORDS = _union(f"SELECT '{k}' AS domain, '{w}' AS word" for k, ws in WORDS.item
 )
 def domain(spark, sf):
     return d.domain_tag(d.columns_table(tables(spark, sf), samples=0))
+
+
+# Theta sketches per column, exact counts only where the error could change a verdict: the same relationships.
+@query("relationships_sketch", _relationships(_overlap_exact))
+def relationships_sketch(spark, sf):
+    return _tidy(d.discover(tables(spark, sf), method="sketch", samples=0).relationships)

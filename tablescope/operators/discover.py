@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
@@ -289,6 +290,82 @@ def sampled_overlap(tables: dict[str, DataFrame], candidates: list, k: int = 500
     return out, {node: counts.get(at, 0) for node, at in place.items()}
 
 
+#: Theta sketches of 2^SKETCH_LG nominal entries: exact below that many distinct values, about 1 / 2^(SKETCH_LG / 2) relative
+#: error above it.  Candidates whose verdict the error could change are counted exactly.
+SKETCH_LG = 14
+#: Error bounds of the sketches, in standard errors.
+SKETCH_SIGMAS = 3.0
+
+
+def sketch_overlap(tables: dict[str, DataFrame], candidates: list, filled: dict, lg_k: int | None = None) -> dict:
+    """Distinct and shared counts per candidate from theta sketches: candidate -> (distinct_a, distinct_b, shared).
+
+    One theta sketch per column, built by partial aggregation (each task sends one sketch per column, no values are
+    shuffled); intersections come from the sketches.  While a column has fewer distinct values than the sketch's
+    nominal entries, its sketch holds them all and the counts are exact.  Beyond that, a verdict that lies within
+    SKETCH_SIGMAS standard errors of a threshold (overlap 0.15, share of b in a 0.9, uniqueness) is settled by the exact
+    count of those candidates alone (``key_overlap``).
+    """
+    lg_k = lg_k or SKETCH_LG
+    sides, place = _sides(tables, candidates)
+    integral = _integral_groups(tables, sides)
+    spark = tables[sides[0].table].sparkSession
+    families = [c for c in ([s for s in sides if s.group in integral], [s for s in sides if s.group not in integral]) if c]
+    sketches = reduce(
+        DataFrame.unionAll,
+        [
+            _values(tables, chosen, integral)
+            .select("g", "i", (F.col("v") if chosen[0].group in integral else F.col("v").cast("string")).alias("v"))
+            .groupBy("g", "i")
+            .agg(F.theta_sketch_agg("v", lg_k).alias("s"))
+            for chosen in families
+        ],
+    )  # one row per column
+    pairs = [(c["table_a"], c["column_a"], c["table_b"], c["column_b"], *place[(c["table_a"], c["column_a"])], place[(c["table_b"], c["column_b"])][1])
+             for c in candidates]
+    asked = spark.createDataFrame(pairs, "ta string, ca string, tb string, cb string, g int, ia int, ib int")  # one row per candidate
+    a, b = sketches.alias("a"), sketches.alias("b")
+    measured = (
+        asked.join(a, (F.col("a.g") == asked.g) & (F.col("a.i") == asked.ia), "left")
+        .join(b, (F.col("b.g") == asked.g) & (F.col("b.i") == asked.ib), "left")
+        .select(
+            "ta", "ca", "tb", "cb",
+            F.theta_sketch_estimate("a.s").alias("da"),
+            F.theta_sketch_estimate("b.s").alias("db"),
+            F.theta_sketch_estimate(F.theta_intersection("a.s", "b.s")).alias("both"),
+            F.theta_sketch_estimate(F.theta_union("a.s", "b.s")).alias("union"),
+        )
+        .collect()
+    )
+    nominal = 1 << lg_k
+    error = SKETCH_SIGMAS / math.sqrt(nominal)
+    out, unsure = {}, []
+    by_key = {(c["table_a"], c["column_a"], c["table_b"], c["column_b"]): c for c in candidates}
+    for r in measured:
+        c = by_key[(r["ta"], r["ca"], r["tb"], r["cb"])]
+        da, db, both, union = (int(r[n] or 0) for n in ("da", "db", "both", "union"))
+        out[c] = (da, db, both)
+        if union < nominal:  # every sketch still holds all its values
+            continue
+        spread = error * union
+        na, nb = filled[(c["table_a"], c["column_a"])], filled[(c["table_b"], c["column_b"])]
+
+        def straddles(value: float, width: float, at: float) -> bool:
+            return value - width <= at <= value + width
+
+        least = max(min(da, db), 1)
+        if (
+            straddles(both / least, spread / least, MIN_OVERLAP)
+            or straddles(both / max(db, 1), spread / max(db, 1), INNER_SHARE)
+            or da >= na * (1 - error)
+            or db >= nb * (1 - error)
+        ):
+            unsure.append(c)
+    if unsure:
+        out |= key_overlap(tables, unsure)
+    return out
+
+
 MEASURED_SCHEMA = (
     "table_a string, column_a string, table_b string, column_b string, base double, detection_method string, "
     "overlap_ratio double, b_in_a_ratio double, unique_a boolean, unique_b boolean"
@@ -305,7 +382,7 @@ def verify_overlap(
     """Check candidates on their values and grade them (the relationships table).
 
     A candidate whose table is absent passes unchanged; one whose column is absent or empty, or whose
-    overlap is below 0.15, is dropped.  ``method`` is ``exact`` or ``sampled``; ``filled`` gives the non-missing cells
+    overlap is below 0.15, is dropped.  ``method`` is ``exact``, ``sketch`` (theta sketches, exact near thresholds) or ``sampled``; ``filled`` gives the non-missing cells
     per (table, column) if they are known already.
     """
     spark = candidates.sparkSession
@@ -319,7 +396,7 @@ def verify_overlap(
     measured = []
     if known:
         filled = filled or _filled(tables, known)
-        exact = key_overlap(tables, known) if method == "exact" else None
+        exact = key_overlap(tables, known) if method == "exact" else sketch_overlap(tables, known, filled) if method == "sketch" else None
         drawn, distinct = sampled_overlap(tables, known, k) if method == "sampled" else (None, None)
         for c in known:
             na, nb = filled[(c["table_a"], c["column_a"])], filled[(c["table_b"], c["column_b"])]

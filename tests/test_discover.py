@@ -121,7 +121,7 @@ def verify(spark, tables, *pairs, method="exact", k=500):
     return d.verify_overlap(tables, cands, method, k).collect()
 
 
-@pytest.mark.parametrize("method", ["exact", "sampled"])
+@pytest.mark.parametrize("method", ["exact", "sampled", "sketch"])
 @pytest.mark.parametrize("common", [0, 8, 9, 30, 47, 48, 60])
 @pytest.mark.parametrize("often", [(1, 1), (1, 3), (3, 1), (2, 2)])
 def test_value_overlap(frame, spark, method, common, often):
@@ -267,3 +267,19 @@ def test_samples_and_flags_of_a_discovery(frame):
     assert {n: df.count() for n, df in found.samples.items()} == {"a": 5}
     flags = {r["column"]: r["exact"] for r in d.columns_table(ts, exact=True).collect()}
     assert flags == {"a_id": True, "v": True} and {r["exact"] for r in found.columns.collect()} <= {True, False}
+
+
+@pytest.mark.parametrize("shared", [0.1, 0.149, 0.151, 0.5, 0.899, 0.901, 1.0])
+def test_sketch_verdicts_equal_exact_ones_beyond_the_nominal_entries(frame, spark, monkeypatch, shared):
+    """With sketches of 256 entries and 3,000 keys a side, estimates carry error: verdicts still equal the exact ones."""
+    monkeypatch.setattr(d, "SKETCH_LG", 8)
+    n = 3000
+    a = list(range(n))
+    b = a[: int(shared * n)] + [10**6 + i for i in range(n - int(shared * n))]
+    ts = {"a": frame("k long", a + a[:5]), "b": frame("k long", b)}
+    exact = verify(spark, ts, ("a", "k", "b", "k"), method="exact")
+    got = verify(spark, ts, ("a", "k", "b", "k"), method="sketch")
+    verdict = lambda rows: [(r["cardinality_full"], r["join_hint"]) for r in rows]
+    assert verdict(got) == verdict(exact)
+    for g, e in zip(got, exact):
+        assert abs(g["overlap_ratio"] - e["overlap_ratio"]) <= 3 * 2 / 16
