@@ -400,3 +400,28 @@ def join_key_text_only(spark, sf):
     labels = read(spark, sf, "labels").select(F.col("doc_id").alias("doc_key"), "quality")
     joined = j.merge(docs, labels, "doc_key", "left", skew="split", rows_per_task=20)
     return joined.select("doc_key", F.length("text").alias("n_chars"), "quality")
+
+
+# Two hundred columns derived from lineitem, some missing where others are not: 19,900 pairs from one scan.
+WIDE = 200
+
+
+def _wide_expr(i: int) -> str:
+    return f"CASE WHEN (l_orderkey + {i}) % 11 = 0 THEN NULL ELSE CAST((l_orderkey * {i + 3} + l_partkey * {i % 7 + 1}) % {50 + i} + l_quantity AS DOUBLE) END"
+
+
+def _wide_sql() -> str:
+    cells = ", ".join(
+        f"{{'col_x': 'w{a}', 'col_y': 'w{b}', 'r': round(corr(w{a}, w{b}), 6), 'n': count(CASE WHEN w{a} IS NOT NULL AND w{b} IS NOT NULL THEN 1 END)}}"
+        for a in range(WIDE)
+        for b in range(a + 1, WIDE)
+    )
+    source = f"(SELECT {', '.join(f'{_wide_expr(i)} AS w{i}' for i in range(WIDE))} FROM lineitem)"
+    return f"SELECT unnest(cells, recursive := true) FROM (SELECT [{cells}] AS cells FROM {source})"
+
+
+@query("correlations_wide", _wide_sql())
+def correlations_wide(spark, sf):
+    raw = spark.read.parquet(f"{sf}/lineitem.parquet")
+    df = raw.select(*[F.expr(_wide_expr(i)).alias(f"w{i}") for i in range(WIDE)])
+    return pick(p.correlations(df), "col_x", "col_y", "n", r=6)

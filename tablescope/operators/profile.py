@@ -277,6 +277,72 @@ def _pairs_row(df: DataFrame, pairs: list[tuple[str, str]], known: dict[str, Mom
     return rows.select("col_x", "col_y", r.alias("r"), "n")
 
 
+#: Rows of one step of the co-moment scan, and the most tasks that send their k x k sums on.
+COMOMENT_ROWS = 4096
+COMOMENT_BYTES = 8 << 30
+#: A column whose variance on the rows shared with its partner is below this share of its mean square counts as flat.
+FLAT_SHARE = 1e-12
+
+
+def comoments(df: DataFrame, names: list[str], known: dict[str, Moments]) -> DataFrame:
+    """Pairwise-complete Pearson r of all pairs of ``names`` (both orders and the diagonal) from one scan.
+
+    Each task multiplies its block of deviations from the means (missing as 0) with the block of presence masks:
+    per pair (a, b) the rows where both are present, the sums of a and of a squared over those rows, and the sum of
+    products: four k x k matrices, which merge by addition.  Each task sends row a of each (and the transposed sums) to
+    a grouped sum by a, so the work after the scan is k groups of (tasks x k) numbers, whatever the number of rows.
+    Tasks are merged first (without a shuffle) so that at most COMOMENT_BYTES of partial sums travel.
+    """
+    import numpy as np
+    import pandas as pd
+    import pyarrow as pa
+
+    k = len(names)
+    values = df.select(*[(value_of(df, c) - F.lit(known[c].mean)).cast("double").alias(f"d{i}") for i, c in enumerate(names)])
+    state = 6 * k * k * 8
+    tasks = max(1, min(values.rdd.getNumPartitions(), COMOMENT_BYTES // max(state, 1)))
+    values = values.coalesce(tasks)
+    flat_known = np.array([bool(known[c].flat) for c in names])
+
+    def scan(batches):
+        n = np.zeros((k, k)); s = np.zeros((k, k)); q = np.zeros((k, k)); p = np.zeros((k, k))  # noqa: E702
+        for batch in batches:
+            for at in range(0, batch.num_rows, COMOMENT_ROWS):
+                part = batch.slice(at, COMOMENT_ROWS)
+                x = np.column_stack([part.column(i).to_numpy(zero_copy_only=False).astype(np.float64) for i in range(k)])
+                m = ~np.isnan(x)
+                xz = np.where(m, x, 0.0)
+                mf = m.astype(np.float64)
+                n += mf.T @ mf
+                s += xz.T @ mf
+                q += (xz * xz).T @ mf
+                p += xz.T @ xz
+        yield pa.RecordBatch.from_pydict(
+            {"a": list(range(k)), "n": list(n), "sx": list(s), "sy": list(s.T), "qx": list(q), "qy": list(q.T), "p": list(p)},
+            schema=pa.schema([("a", pa.int32())] + [(c, pa.list_(pa.float64())) for c in ("n", "sx", "sy", "qx", "qy", "p")]),
+        )
+
+    sums = values.mapInArrow(scan, "a int, n array<double>, sx array<double>, sy array<double>, qx array<double>, qy array<double>, p array<double>")
+
+    def pairs_of(rows: pd.DataFrame) -> pd.DataFrame:
+        a = int(rows["a"].iloc[0])
+        t = {c: np.sum(np.stack(rows[c].to_numpy()), axis=0) for c in ("n", "sx", "sy", "qx", "qy", "p")}
+        n = t["n"]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            cov = t["p"] / n - t["sx"] * t["sy"] / (n * n)
+            vx = t["qx"] / n - t["sx"] * t["sx"] / (n * n)
+            vy = t["qy"] / n - t["sy"] * t["sy"] / (n * n)
+            r = cov / (np.sqrt(vx) * np.sqrt(vy))
+            flat = (vx <= FLAT_SHARE * t["qx"] / n) | (vy <= FLAT_SHARE * t["qy"] / n) | flat_known[a] | flat_known
+        ok = (n > 0) & ~flat & ~np.isnan(r)
+        r = np.where(ok, np.clip(r, -1.0, 1.0), np.nan)
+        out = pd.DataFrame({"col_x": names[a], "col_y": names, "r": r, "n": n.astype(np.int64)})
+        out["r"] = out["r"].astype("object").where(ok, None)
+        return out
+
+    return sums.groupBy("a").applyInPandas(pairs_of, CORRELATIONS_SCHEMA)
+
+
 CORRELATIONS_SCHEMA = "col_x string, col_y string, r double, n long"
 
 
@@ -290,8 +356,12 @@ def correlations_of(
     required(df, *names)
     if known is None:
         known = moments_from(names, df.agg(*[a.alias(k) for k, a in moment_aggregates(df, names).items()]).first())
-    blocks = [pairs[i : i + PAIRS_PER_PASS] for i in range(0, len(pairs), PAIRS_PER_PASS)]
-    return reduce(DataFrame.unionAll, [_pairs_row(df, block, known) for block in blocks])
+    if len(pairs) <= PAIRS_PER_PASS:
+        return _pairs_row(df, pairs, known)
+    # more pairs than one aggregate takes: all of them from one scan of co-moment blocks
+    found = comoments(df, names, known)
+    asked = df.sparkSession.createDataFrame(list(dict.fromkeys(pairs)), "col_x string, col_y string")  # the caller's list
+    return found.join(F.broadcast(asked), ["col_x", "col_y"])
 
 
 def correlations(

@@ -349,3 +349,28 @@ def test_largest_salt_within_target_with_key_and_text_only(spark):
     assert places.agg(F.max("count")).first()[0] <= 100
     joined = j.merge(left, right, "k", "left", skew="split", rows_per_task=100)
     assert joined.count() == 5100 and joined.where("k = 7 AND v = 1").count() == 5000
+
+
+def test_many_pairs_come_from_one_scan_of_comoments(spark):
+    """25 columns (300 pairs, more than one aggregate takes) with missing cells: pandas' pairwise r, one scan."""
+    rnd = np.random.RandomState(3)
+    data = rnd.normal(size=(400, 25)) * rnd.uniform(0.1, 100, size=25) + rnd.uniform(-50, 50, size=25)
+    data[rnd.uniform(size=data.shape) < 0.2] = np.nan
+    data[:, 7] = np.where(np.isnan(data[:, 7]), np.nan, 5.0)  # flat
+    data[:200, 9] = np.nan
+    data[200:, 10] = np.nan  # never beside column 9
+    frame_ = pd.DataFrame(data, columns=[f"c{i}" for i in range(25)])
+    df = spark.createDataFrame(frame_.astype(object).where(frame_.notna(), None), ", ".join(f"c{i} double" for i in range(25)))
+    got = {(r["col_x"], r["col_y"]): (r["r"], r["n"]) for r in p.correlations(df).collect()}
+    assert len(got) == 300
+    want = frame_.corr(min_periods=1)
+    for (x, y), (r, n) in got.items():
+        both = frame_[[x, y]].dropna()
+        assert n == len(both)
+        expected = want.loc[x, y]
+        if x == "c7" or y == "c7" or len(both) < 2 or np.isnan(expected):
+            assert r is None
+        else:
+            assert r == pytest.approx(expected, abs=1e-9)
+    plan = p.correlations(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("Scan ExistingRDD") <= 2
