@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import io
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
@@ -56,8 +58,63 @@ def _number_text(item: Column) -> Column:
     return F.regexp_replace(F.trim(item), "(?i)(?:infinity|inf)$", "Infinity").cast("double")
 
 
-def _csv_rows(spark: SparkSession, path: str, schema: T.StructType | str | None, multiline: bool) -> DataFrame:
-    """The cells of a CSV file; a row with more cells than the header (or schema) is an error, a shorter one ends in nulls."""
+def _part_headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """The header line of each CSV part below path (or of the file), grouped: header -> parts, parts in name order.
+
+    Only the first line of each part is read, on the driver, through the file system (compressed parts too).
+    """
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(conf)
+    if fs.getFileStatus(root).isDirectory():
+        names = sorted(str(st.getPath().toString()) for st in fs.listStatus(root) if st.isFile())
+        names = [n for n in names if not n.rsplit("/", 1)[-1].startswith(("_", "."))]
+    else:
+        names = [str(root.toString())]
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+    found: dict[tuple[str, ...], list[str]] = {}
+    for name in names:
+        part = jvm.org.apache.hadoop.fs.Path(name)
+        stream = fs.open(part)
+        codec = codecs.getCodec(part)
+        if codec is not None:
+            stream = codec.createInputStream(stream)
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
+        try:
+            line = reader.readLine()
+        finally:
+            reader.close()
+        if line is None:  # an empty part holds no rows
+            continue
+        header = tuple(next(csv.reader(io.StringIO(str(line).lstrip("\ufeff")), escapechar=None)))
+        found.setdefault(header, []).append(name)
+    return found
+
+
+def _csv_rows(spark: SparkSession, path: str | list[str], schema: T.StructType | str | None, multiline: bool) -> DataFrame:
+    """The cells of a CSV file or folder of parts; a row with more cells than the header (or schema) is an error, a
+    shorter one ends in nulls.
+
+    Parts are read by their own headers and put together by name: the first part's header (or the schema) gives the
+    columns and their order, a part without some of them gives nulls there, and a part with a column that is not among
+    them is an error.
+    """
+    if isinstance(path, str):
+        headers = _part_headers(spark, path)
+        if len(headers) > 1:
+            first = next(iter(sorted(headers.items(), key=lambda kv: kv[1][0])))[0]
+            given = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+            kinds = {f.name: f.dataType for f in given.fields} if given is not None else {c: T.StringType() for c in first}
+            unknown = sorted({c for h in headers for c in h} - set(kinds))
+            if unknown:
+                raise ValueError(f"CSV parts below {path} have columns that the others lack: {', '.join(unknown)}")
+            parts = []
+            for header, files in headers.items():
+                own = T.StructType([T.StructField(c, kinds[c]) for c in header])
+                df = _csv_rows(spark, files, own, multiline)
+                parts.append(df.select(*[col(c) if c in header else F.lit(None).cast(t).alias(c) for c, t in kinds.items()]))
+            return reduce(DataFrame.unionByName, parts)
     reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multiline)
     reader = reader.option("nullValue", "\u0001").option("emptyValue", "")
     if schema is None:

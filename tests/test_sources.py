@@ -198,3 +198,18 @@ def test_a_writer_with_a_stale_version_folds_into_the_newer_one(spark, tmp_path)
     assert sorted(e for e in store._entries(home) if e.startswith("current-")) == ["current-2", "current-3"]
     assert len([e for e in store._entries(home) if e.startswith("attempt=")]) == 2
     assert store.families() == ["f"] and store.tables()["joins"].count() == 3
+
+
+def test_csv_parts_are_read_by_their_headers(spark, tmp_path):
+    folder = tmp_path / "t.csv"
+    folder.mkdir()
+    write(folder / "part-0.csv", "a,b\n1,x\n3,z\n")
+    write(folder / "part-1.csv", "b,a\ny,2\n")
+    write(folder / "part-2.csv", "a\n4\n")
+    got = sources.load_csv(spark, str(folder))["t"]
+    assert sorted(tuple(r) for r in got.collect()) == [(1, "x"), (2, "y"), (3, "z"), (4, None)]
+    typed = sources.load_csv(spark, str(folder), schema="a long, b string")["t"]
+    assert sorted(tuple(r) for r in typed.collect()) == [(1, "x"), (2, "y"), (3, "z"), (4, None)]
+    write(folder / "part-3.csv", "a,c\n5,q\n")
+    with pytest.raises(ValueError, match="c"):
+        sources.load_csv(spark, str(folder))
