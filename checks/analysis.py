@@ -142,6 +142,14 @@ def bimodality(spark, sf):
     return pick(out, "label", "n", "bimodal", skewness=4, kurtosis=4, sarle=4, low_peak=4, high_peak=4)
 
 
+MEASURES = {"line_num": "l_linenumber", "quantity": "l_quantity", "extendedprice": "l_extendedprice", "discount": "l_discount", "tax": "l_tax"}
+
+
+@query("bimodality_all", _union([_bimodal(f"SELECT {c} AS v FROM lineitem", label) for label, c in MEASURES.items()]))
+def bimodality_all(spark, sf):
+    out = shape.bimodality_of(read(spark, sf, "lineitem"), {label: label for label in MEASURES})
+    return pick(out, "label", "n", "bimodal", skewness=4, kurtosis=4, sarle=4, low_peak=4, high_peak=4)
+
 @query(
     "two_mode_split",
     f"""WITH s AS (SELECT {SHIFTED} AS v FROM events), e AS (SELECT min(v) AS lo, max(v) AS hi FROM s),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import value_of
@@ -139,3 +141,70 @@ def two_mode_split(df: DataFrame, value: str | Column, weight: str | Column | No
         F.try_divide(F.col("high_w"), F.col("w")).alias("high_value_share"),
         (F.col("high_center") - F.col("low_center")).alias("gap"),
     )
+
+
+def bimodality_of(df: DataFrame, values: dict[str, str | Column], method: str = "exact") -> DataFrame:
+    """``bimodality`` of many columns at once: one row per label, with the same rules.
+
+    The passes do not grow with the number of columns: one aggregate for counts, distinct estimates and moments, the
+    quantile passes of all columns together, and one pass that counts the cells of all columns by (column, bin); a
+    column with at most a few hundred distinct values (by the estimate) is counted by value there instead, which gives
+    its exact distinct count and its histogram at once.
+    """
+    spark = df.sparkSession
+    labels = list(values)
+    cells = df.select(*[value_of(df, v).cast("double").alias(f"v{i}") for i, v in enumerate(values.values())])
+    row = cells.agg(
+        *[
+            a
+            for i in range(len(labels))
+            for a in (
+                F.count(f"v{i}").alias(f"n{i}"), approx_distinct(F.col(f"v{i}")).alias(f"d{i}"),
+                F.skewness(f"v{i}").alias(f"s{i}"), F.kurtosis(f"v{i}").alias(f"k{i}"),
+            )
+        ]
+    ).first()
+    n = [row[f"n{i}"] for i in range(len(labels))]
+    few = {i for i in range(len(labels)) if n[i] and (row[f"d{i}"] or 0) <= 10 * MIN_DISTINCT}
+    enough = [i for i in range(len(labels)) if n[i] >= MIN_ROWS]
+    ends = quantiles(cells, {f"v{i}": F.col(f"v{i}") for i in enough}, [TAIL, 1 - TAIL], method, {f"v{i}": n[i] for i in enough})
+    spans = {i: tuple(ends[f"v{i}"]) for i in enough}
+    # one pass: (column, bin) for most columns, (column, value) for the few-valued ones
+    keys = []
+    for i in range(len(labels)):
+        v = F.col(f"v{i}")
+        if i in few:
+            keys.append(F.when(v.isNotNull(), F.struct(F.lit(i).alias("i"), F.lit(-1).cast("long").alias("bin"), v.alias("x"))))
+        elif i in spans and spans[i][1] > spans[i][0]:
+            low, high = spans[i]
+            inside = v.between(low, high)
+            keys.append(F.when(inside, F.struct(F.lit(i).alias("i"), bin_of(v, low, high, BINS).alias("bin"), F.lit(None).cast("double").alias("x"))))
+    counted = {}
+    if keys:
+        exploded = cells.select(F.explode(F.array(*keys)).alias("c")).where(F.col("c").isNotNull()).select("c.*")
+        for r in exploded.groupBy("i", "bin", "x").agg(F.count("*").alias("c")).collect():  # <= 64 or a few hundred rows a column
+            counted.setdefault(r["i"], []).append((r["bin"], r["x"], r["c"]))
+    out = []
+    for i, label in enumerate(labels):
+        distinct = len(counted.get(i, [])) if i in few else (row[f"d{i}"] or 0)
+        skew, kurt = row[f"s{i}"], row[f"k{i}"]
+        sarle = None if kurt is None or skew is None or kurt + 3 == 0 else (skew * skew + 1) / (kurt + 3)
+        verdict = low_peak = high_peak = None
+        if n[i] >= MIN_ROWS and distinct >= MIN_DISTINCT:
+            low, high = spans[i]
+            if high > low:
+                hist = [0] * BINS
+                for b, x, c in counted.get(i, []):
+                    if i in few:
+                        if low <= x <= high:
+                            hist[min(int(math.floor((x - low) / (high - low) * BINS)), BINS - 1)] += c
+                    else:
+                        hist[b] += c
+                verdict, peaks = _two_peaks(hist)
+                if verdict:
+                    width = (high - low) / BINS
+                    low_peak, high_peak = (low + (p + 0.5) * width for p in peaks)
+        out.append((label, n[i], skew, kurt, sarle, verdict, low_peak, high_peak))
+    return spark.createDataFrame(
+        out, "label string, n long, skewness double, kurtosis double, sarle double, bimodal boolean, low_peak double, high_peak double"
+    )

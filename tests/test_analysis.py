@@ -311,3 +311,20 @@ def test_rewrites(spark):
     assert {r["report"]: r["rewrites"] for r in audit.rewrite_list(reports, rewrites).collect()} == {
         1: "- [insight_1] (math_error): redo\n- [insight_2] (id_misuse): drop it", 2: "say it again", 3: audit.NO_REWRITES
     }
+
+
+def test_bimodality_of_many_columns_equals_one_at_a_time(spark):
+    from tablescope.operators import shape
+
+    rnd = random.Random(5)
+    rows = [
+        (rnd.gauss(0, 1) + (8 if i % 2 else 0), float(rnd.randrange(25)), float(i % 5), rnd.gauss(3, 1) if i < 500 else None)
+        for i in range(2000)
+    ]
+    df = spark.createDataFrame(rows, "two double, few double, five double, short double")
+    names = ["two", "few", "five", "short"]
+    got = {r["label"]: tuple(r)[1:] for r in shape.bimodality_of(df, {c: c for c in names}).collect()}
+    for c in names:
+        one = tuple(shape.bimodality(df, c).first())
+        assert got[c] == pytest.approx(one, nan_ok=True) if None not in one else got[c] == one
+    assert got["two"][4] is True and got["five"][4] is None and got["short"][4] is None
