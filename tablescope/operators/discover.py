@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import canonical_key, classifiable, clean, col, is_boolean, is_datetime, is_integral, is_number
-from ..sources.tables import sample_values, semantic_sample
+from ..sources.tables import draw_values, sample_values, semantic_sample
 from .stats import measure
 
 # Fixed values.
@@ -78,7 +78,7 @@ def columns_table(tables: dict[str, DataFrame], exact: bool = False, samples: in
         pos, (name, df) = item
         plain = [f.name for f in df.schema.fields if classifiable(f.dataType)]
         # the samples are drawn in the pass that measures
-        draws = {f"s{i}": sample_values(df, c, samples) for i, c in enumerate(plain)} if samples else {}
+        draws = {f"s{i}": draw_values(df, c, samples) for i, c in enumerate(plain)} if samples else {}
         stats, found = measure(df, exact, draws)
         values = {c: [v for v in found[f"s{i}"] if v is not None] for i, c in enumerate(plain)} if samples else {}
         return [

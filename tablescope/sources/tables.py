@@ -337,3 +337,13 @@ def column_samples(df: DataFrame, k: int = 3, hashing: str = "xxhash64") -> Data
         for i, n in enumerate(names)
     ]
     return row.select(F.inline(F.array(*cells)))
+
+
+def draw_values(df: DataFrame, name: str, k: int = 3) -> Column:
+    """An aggregate giving k non-missing values of a column as text, each the one with the least of k hashes.
+
+    Hashes and buffers are of the column's own values, so numbers and dates stay numbers while the table is measured:
+    only the k values drawn are turned into text, after the aggregate.  A value can be drawn twice.
+    """
+    value = clean(df, name)
+    return F.array(*[F.min_by(value, F.when(value.isNotNull(), F.xxhash64(F.lit(i), value))).cast("string") for i in range(k)])
