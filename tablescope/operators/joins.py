@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -199,8 +200,7 @@ def run_joins(
                 status = f"skipped: {problem}"
             else:
                 if later.get(ins.result, -1) > step:
-                    ensure_checkpoint_dir(spark)
-                    merged = merged.checkpoint()
+                    merged = stage_table(merged)
                 if count_rows:
                     rows = merged.count()
                     nulls = null_rows(ins.left, ins.on) + null_rows(ins.right, ins.on)
@@ -210,6 +210,25 @@ def run_joins(
     return out, spark.createDataFrame(log, LOG_SCHEMA)
 
 
+#: Characters that Parquet does not take in column names; a result with such names is checkpointed instead.
+_PARQUET_ODD = set(" ,;{}()\n\t=")
+
+
+def stage_table(df: DataFrame) -> DataFrame:
+    """A join result that later steps read, stored once as Parquet in the checkpoint folder and read from there.
+
+    Unlike a checkpoint of serialised rows, later steps read only the columns they use and their filters reach the
+    files; the folder is the one all executors share, so a lost executor loses nothing.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    if any(_PARQUET_ODD & set(c) for c in df.columns):
+        return df.checkpoint()
+    path = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 ORDER = {"one_to_one": 0, "one_to_many": 1, "many_to_one": 1, "many_to_many": 2}
 
 
