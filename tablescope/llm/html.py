@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -61,6 +62,12 @@ def _aside(name: str, attributes: str, in_article: bool) -> bool:
     return bool(re.search(r"(?:^|\s)hidden(?:\s|/|$)", attributes))
 
 
+@lru_cache(maxsize=None)
+def _raw_end(name: str) -> re.Pattern:
+    """The closing tag of a raw-text element, ASCII letters in any case."""
+    return re.compile(rf"</{re.escape(name)}", re.IGNORECASE | re.ASCII)
+
+
 def lines_of(page: str) -> list[tuple[str, int, bool]]:
     """(text, characters outside links, in an article) of every line; an empty text is a blank line."""
     lines: list[tuple[str, int, bool]] = []
@@ -69,7 +76,6 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
     stack: list[tuple[str, bool]] = []  # open block elements, and whether they hold no main text
     shut = 0  # open elements without main text
     at, end = 0, len(page)
-    lowered = page.lower()
 
     def close_line() -> None:
         nonlocal linked
@@ -116,10 +122,11 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
                     lines.append(("", 0, articles > 0))
             continue
         if name in RAW:
-            stop = lowered.find(f"</{name}", at)
+            found = _raw_end(name).search(page, at)  # on the page itself: lower-casing may change its length
             close_line()
-            if stop < 0:
+            if found is None:
                 break
+            stop = found.start()
             after = page.find(">", stop)
             at = after + 1 if after >= 0 else end
             continue

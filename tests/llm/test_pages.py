@@ -170,3 +170,11 @@ def test_language_of_the_given_pages(spark):
     found = langid.identify(spark.read.parquet(f"{SF}/pages.parquet"), spark.read.parquet(f"{SF}/documents.parquet")).collect()
     agree = sum(r.lang == r.declared for r in found)
     assert agree >= 0.9 * len(found)
+
+
+def test_letters_that_grow_when_lower_cased_do_not_shift_the_end_of_a_script():
+    from tablescope.llm import html as h
+
+    page = "<html><body><article>" + "İ" * 60 + "<script>var a = 1;</SCRIPT><p>" + "first paragraph words " * 8 + "</p><p>" + "second paragraph words " * 8 + "</p></article></body></html>"
+    texts = " ".join(t for t, _, _ in h.lines_of(page))
+    assert "first paragraph" in texts and "second paragraph" in texts and "var a" not in texts
