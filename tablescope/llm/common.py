@@ -113,9 +113,24 @@ def input_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
+#: Rows of the bounded sample that measures the bytes of a row when Spark does not know a frame's size.
+SIZE_SAMPLE_ROWS = 1000
+
+
 def parts_for(df: DataFrame, bytes_each: int) -> int:
-    """Partitions that take about bytes_each of the input each, and no fewer than the session's shuffle partitions."""
-    set_to = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # frames that are not files have no known size (the estimate is then huge)
-    wanted = -(-input_bytes(df) // bytes_each)
-    return max(set_to, wanted) if wanted < 1 << 20 else set_to
+    """Partitions that take about bytes_each of the input each, and no fewer than the session's shuffle partitions.
+
+    Spark's estimate is taken where it knows the size, however large.  Where it does not, the estimate is the session's
+    default size (``spark.sql.defaultSizeInBytes``, as for frames that no file backs): then the rows are counted and
+    the bytes of a row measured on a bounded sample (text and binary columns by their bytes, others 8 each).
+    """
+    spark = df.sparkSession
+    set_to = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    unknown = int(spark.conf.get("spark.sql.defaultSizeInBytes", str((1 << 63) - 1)).rstrip("bB"))
+    size = input_bytes(df)
+    if size >= unknown:
+        kinds = [(f.name, f.dataType.simpleString()) for f in df.schema.fields]
+        widths = [F.coalesce(F.octet_length(F.col(n)), F.lit(0)) if t in ("string", "binary") else F.lit(8) for n, t in kinds]
+        row = df.limit(SIZE_SAMPLE_ROWS).select(sum(widths, F.lit(0)).alias("w")).agg(F.avg("w").alias("w")).first()
+        size = int(df.count() * (row["w"] or 0))
+    return int(max(set_to, -(-size // bytes_each)))

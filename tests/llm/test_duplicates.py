@@ -232,3 +232,17 @@ def test_deep_shallow_order(alphabet):
     assert [buf[g[0] : g[0] + 64] for g in groups] == sorted({buf[s : s + 64] for s in starts})
     assert sorted(s for g in groups for s in g) == sorted(starts)
     assert all(len({buf[s : s + 64] for s in g}) == 1 for g in groups)
+
+
+def test_partitions_follow_the_size_without_a_limit(spark, monkeypatch):
+    from tablescope.llm import common
+
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    for tb in (1, 9, 100):
+        monkeypatch.setattr(common, "input_bytes", lambda _df, tb=tb: tb << 40)
+        assert common.parts_for(df, 8 << 20) == -(-(tb << 40) // (8 << 20))
+    monkeypatch.undo()
+    # a frame that no file backs has no known size: its rows are counted and measured
+    rows = spark.createDataFrame([(i, "x" * 1000) for i in range(2000)], "doc_id long, text string")
+    assert common.parts_for(rows, 100_000) == -(-2000 * 1008 // 100_000)
+    assert common.parts_for(rows.limit(0), 100_000) == int(spark.conf.get("spark.sql.shuffle.partitions"))
