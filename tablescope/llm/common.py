@@ -58,11 +58,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes the tables that this driver wrote to the shared folder. Results that still read them must be stored first."""
+def mark() -> int:
+    """A point in the list of written tables: ``release(spark, since=mark())`` later frees only what came after it."""
+    return len(_WRITTEN)
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Deletes the tables that this driver wrote to the shared folder after the point ``since`` (all by default).
+    Results that still read them must be stored first; tables written before the point are left alone."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _WRITTEN:
+    while len(_WRITTEN) > since:
         path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
         path.getFileSystem(conf).delete(path, True)
 

@@ -246,3 +246,13 @@ def test_partitions_follow_the_size_without_a_limit(spark, monkeypatch):
     rows = spark.createDataFrame([(i, "x" * 1000) for i in range(2000)], "doc_id long, text string")
     assert common.parts_for(rows, 100_000) == -(-2000 * 1008 // 100_000)
     assert common.parts_for(rows.limit(0), 100_000) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_release_since_a_point_leaves_earlier_tables(spark):
+    from tablescope.llm import common
+
+    early = common.written(spark.createDataFrame([(1, "a")], "doc_id long, text string"), "early")
+    point = common.mark()
+    common.written(spark.createDataFrame([(2, "b")], "doc_id long, text string"), "late")
+    common.release(spark, since=point)
+    assert early.count() == 1 and common.mark() == point
