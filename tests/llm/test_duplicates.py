@@ -256,3 +256,14 @@ def test_release_since_a_point_leaves_earlier_tables(spark):
     common.written(spark.createDataFrame([(2, "b")], "doc_id long, text string"), "late")
     common.release(spark, since=point)
     assert early.count() == 1 and common.mark() == point
+
+
+def test_a_result_made_before_the_pipeline_survives_it(spark):
+    import corpus_pipeline
+    from tablescope.llm import jaccard
+
+    from ..conftest import SF
+
+    before = jaccard.join(spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, "x y")], "doc_id long, text string"))
+    corpus_pipeline.run(spark, SF).count()
+    assert sorted(tuple(r) for r in before.select("doc_id", "component_id").collect()) == [(1, 1), (2, 1), (3, 3)]
