@@ -573,16 +573,26 @@ def schema_fingerprint(columns: DataFrame, dataset: str | None = None) -> DataFr
 
 # Words that point to a domain, first those of columns, then those of tables.
 DOMAIN_WORDS = {
-    "RETAIL": "price quantity discount category product order customer revenue sales "
-    "orders products customers inventory categories discounts returns",
-    "FINANCE": "amount balance transaction account portfolio payment interest risk "
-    "transactions accounts portfolios assets ledger invoices payments",
-    "SPORTS": "player team match score goal season league position stat "
-    "players matches seasons stats teams leagues performance fixtures",
-    "HEALTHCARE": "patient diagnosis treatment medication encounter provider claim "
-    "patients diagnoses treatments prescriptions encounters providers claims",
-    "LOGISTICS": "shipment carrier route delivery warehouse freight tracking transit "
-    "shipments routes carriers warehouses deliveries",
+    "RETAIL": [
+        "price", "quantity", "discount", "category", "product", "order", "customer", "revenue", "sales", "orders",
+        "products", "customers", "inventory", "categories", "discounts", "returns",
+    ],
+    "FINANCE": [
+        "amount", "balance", "transaction", "account", "portfolio", "payment", "interest", "risk", "transactions",
+        "accounts", "portfolios", "assets", "ledger", "invoices", "payments",
+    ],
+    "SPORTS": [
+        "player", "team", "match", "score", "goal", "season", "league", "position", "stat", "players", "matches",
+        "seasons", "stats", "teams", "leagues", "performance", "fixtures",
+    ],
+    "HEALTHCARE": [
+        "patient", "diagnosis", "treatment", "medication", "encounter", "provider", "claim", "patients", "diagnoses",
+        "treatments", "prescriptions", "encounters", "providers", "claims",
+    ],
+    "LOGISTICS": [
+        "shipment", "carrier", "route", "delivery", "warehouse", "freight", "tracking", "transit", "shipments",
+        "routes", "carriers", "warehouses", "deliveries",
+    ],
 }
 
 
@@ -590,7 +600,7 @@ def domain_votes(columns: DataFrame) -> DataFrame:
     """Distinct words of table and column names found in each domain's word list."""
     spark = columns.sparkSession
     words = spark.createDataFrame(
-        [(d, w) for d, text in DOMAIN_WORDS.items() for w in text.split()], "domain string, word string"
+        [(d, w) for d, words in DOMAIN_WORDS.items() for w in words], "domain string, word string"
     )
     names = columns.select(F.col("table").alias("name")).unionAll(columns.select("column"))
     tokens = (

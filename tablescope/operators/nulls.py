@@ -10,11 +10,15 @@ from .profile import missing_report
 LIMIT_PCT = 5.0
 SMALL, SMALL_CLINICAL = 30, 50
 # Name parts of columns that every row should fill, and of rare events.
-MANDATORY_WORDS = "price date quantity country age id balance height weight carrier origin destination diagnosis".split()
-SPARSE_WORDS = (
-    "medal default fraud bonus return injury promotion exception coupon discount award trophy title record "
-    "delinquency claim writeoff readmission complication adverse icu mortality damage breach recall"
-).split()
+MANDATORY_WORDS = [
+    "price", "date", "quantity", "country", "age", "id", "balance", "height", "weight", "carrier", "origin",
+    "destination", "diagnosis",
+]
+SPARSE_WORDS = [
+    "medal", "default", "fraud", "bonus", "return", "injury", "promotion", "exception", "coupon", "discount",
+    "award", "trophy", "title", "record", "delinquency", "claim", "writeoff", "readmission", "complication",
+    "adverse", "icu", "mortality", "damage", "breach", "recall",
+]
 
 
 def null_taxonomy(
