@@ -173,8 +173,9 @@ def warn_findings(claims: DataFrame, facts: DataFrame) -> DataFrame:
     pairs = _ordered_pair(facts.where("metric = 'correlation'")).select("table", "_a", "_b", F.abs("value").alias("size"))
     gaps = facts.where("metric = 'missing_count' AND value > 0").select("table", F.col("column").alias("_c"), F.col("value").alias("gap"))
     c = _ordered_pair(claims)
-    met = c.join(F.broadcast(pairs), ["table", "_a", "_b"], "left").join(
-        F.broadcast(gaps), (c["table"] == gaps["table"]) & (c["column"] == gaps["_c"]), "left"
+    # k x k correlations for k columns: Spark broadcasts them only below its size limit (AQE measures them at run time)
+    met = c.join(pairs, ["table", "_a", "_b"], "left").join(
+        gaps, (c["table"] == gaps["table"]) & (c["column"] == gaps["_c"]), "left"
     ).select(*[c[x] for x in claims.columns], "size", "gap")
     words = F.split(F.lower("column"), "[^a-z0-9]+")
     mandatory = F.arrays_overlap(words, F.array(*[F.lit(w) for w in MANDATORY_WORDS]))
