@@ -92,6 +92,14 @@ def overall_value(spark, sf):
     )
 
 
+
+@query(
+    "low_value_rows",
+    f"""SELECT report, insight_id, round(value_score, 6) AS value_score FROM {SCORED} WHERE value_tier = 'low_value'""",
+)
+def low_value_rows(spark, sf):
+    return audit.low_value_rows(audit.insight_value(_insights(spark, sf))[0]).select("report", "insight_id", rnd("value_score"))
+
 # One report per order, one finding per line of it.
 REPORTS = "(SELECT o_orderkey AS report, o_orderstatus = 'F' AS approved, (o_orderkey % 101) / 100.0::DOUBLE AS score FROM orders)"
 # The types, written out: a wrong one in the library must show.

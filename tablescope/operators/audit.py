@@ -67,6 +67,12 @@ def overall_value(scored: DataFrame, report: str = "report", insight: str = "ins
     )
 
 
+def low_value_rows(scored: DataFrame, report: str = "report", insight: str = "insight_id") -> DataFrame:
+    """The low-value insights as rows (report, insight_id, value_score): no list per report, whatever its size.
+    ``overall_value`` gathers the same insights into a list for display."""
+    return scored.where(F.col("value_tier") == "low_value").select(report, F.col(insight).alias("insight_id"), "value_score")
+
+
 def clamp_scores(reports: DataFrame, findings: DataFrame, report: str = "report") -> DataFrame:
     """Make the score fit the verdict, in three ordered steps."""
     per = findings.groupBy(report).agg(

@@ -328,3 +328,12 @@ def test_bimodality_of_many_columns_equals_one_at_a_time(spark):
         one = tuple(shape.bimodality(df, c).first())
         assert got[c] == pytest.approx(one, nan_ok=True) if None not in one else got[c] == one
     assert got["two"][4] is True and got["five"][4] is None and got["short"][4] is None
+
+
+def test_low_value_insights_as_rows(spark):
+    rows = [("r1", "a", 0.1, 0.1, 0.1), ("r1", "b", 0.9, 0.9, 0.9), ("r2", "c", 0.0, 0.0, 0.0)]
+    names = list(audit.WEIGHTS)
+    df = spark.createDataFrame(rows, "report string, insight_id string, " + ", ".join(f"{n} double" for n in names))
+    scored, _ = audit.insight_value(df)
+    got = sorted((r["report"], r["insight_id"]) for r in audit.low_value_rows(scored).collect())
+    assert got == [("r1", "a"), ("r2", "c")]
