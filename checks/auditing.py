@@ -426,3 +426,41 @@ def history_two_writers(spark, sf):
     store.persist("click", own.where(F.col("created_at") < middle), none, datetime(2024, 1, 15), read_version=seen)
     store.persist("click", own.where(F.col("created_at") >= middle), none, datetime(2024, 1, 30, 12), read_version=seen)
     return store.load("click")["joins"]
+
+
+# The three remaining finding types on claims about lineitem: repeated claims, means that rest on outliers, gaps unstated.
+_MORE_DATA = """(SELECT l_orderkey, l_linenumber, l_returnflag, CASE WHEN l_linenumber <> 3 THEN CAST(l_quantity AS DOUBLE) END AS quantity,
+ CAST(l_extendedprice AS DOUBLE) AS extendedprice, CASE WHEN l_linenumber = 7 THEN 50 * CAST(l_extendedprice AS DOUBLE) ELSE CAST(l_extendedprice AS DOUBLE) END AS spiky
+ FROM lineitem)"""
+_MORE_COLUMN = "CASE l_linenumber % 3 WHEN 0 THEN 'quantity' WHEN 1 THEN 'extendedprice' ELSE 'spiky' END"
+
+
+@query(
+    "more_findings",
+    f"""WITH d AS {_MORE_DATA},
+u AS (SELECT 'quantity' AS col, quantity AS v FROM d UNION ALL SELECT 'extendedprice', extendedprice FROM d UNION ALL SELECT 'spiky', spiky FROM d),
+q AS (SELECT col, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3, avg(v) AS m, count_if(v IS NULL) / count(*) AS s FROM u GROUP BY col),
+f AS (SELECT q.col, any_value(q.m) AS m, any_value(q.s) AS s,
+  avg(CASE WHEN u.v BETWEEN q.q1 - 1.5 * (q.q3 - q.q1) AND q.q3 + 1.5 * (q.q3 - q.q1) THEN u.v END) AS fm FROM q JOIN u ON q.col = u.col GROUP BY q.col),
+c AS (SELECT l_orderkey AS report, l_linenumber AS claim, {_MORE_COLUMN} AS "column", l_returnflag = 'R' AS limited,
+  row_number() OVER (PARTITION BY l_orderkey, {_MORE_COLUMN} ORDER BY l_linenumber) AS nth FROM d)
+SELECT report, claim, "column", 'repeated_claim' AS issue_type, 'redundancy' AS finding_type, 'warn' AS severity FROM c WHERE nth > 1
+UNION ALL SELECT report, claim, "column", 'outlier_driven', 'outlier_misinterpretation', 'warn' FROM c JOIN f ON c."column" = f.col
+  WHERE abs(f.m - f.fm) > 0.1 * greatest(abs(f.fm), 1e-12)
+UNION ALL SELECT report, claim, "column", 'unstated_gap', 'missing_limitations', 'warn' FROM c JOIN f ON c."column" = f.col
+  WHERE f.s * 100 > 5 AND NOT coalesce(limited, false)""",
+)
+def more_findings(spark, sf):
+    line = read(spark, sf, "lineitem")
+    price = F.col("extendedprice").cast("double")
+    data = line.select(
+        "order_key", "line_num", "returnflag", F.when(F.col("line_num") != 3, F.col("quantity").cast("double")).alias("quantity"),
+        price.alias("extendedprice"), F.when(F.col("line_num") == 7, price * 50).otherwise(price).alias("spiky"),
+    )
+    facts = audit.fenced_means(data, ["quantity", "extendedprice", "spiky"], "lineitem")
+    which = F.when(F.col("line_num") % 3 == 0, "quantity").when(F.col("line_num") % 3 == 1, "extendedprice").otherwise("spiky")
+    claims = data.select(
+        F.col("order_key").alias("report"), F.col("line_num").alias("claim"), F.lit("lineitem").alias("table"), which.alias("column"),
+        F.lit(None).cast("string").alias("column2"), F.lit("mean").alias("metric"), (F.col("returnflag") == "R").alias("limited"),
+    )
+    return audit.more_findings(claims, facts).select("report", "claim", "column", "issue_type", "finding_type", "severity")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .nulls import MANDATORY_WORDS
+from ..plans.quantiles import quantiles
+from .nulls import LIMIT_PCT, MANDATORY_WORDS
 
 NOISE = 0.10
 # Fixed values: (strength, least |r|, least n), strongest first.
@@ -194,6 +195,59 @@ def warn_findings(claims: DataFrame, facts: DataFrame) -> DataFrame:
     return found.select(*claims.columns, "f.issue_type", "f.finding_type", F.lit("warn").alias("severity"))
 
 
+#: A claimed mean that values beyond the fences move by more than this share rests on outliers.
+OUTLIER_SHIFT = 0.10
+FENCE = 1.5
+
+
+def fenced_means(df: DataFrame, columns: list[str], table: str) -> DataFrame:
+    """Facts (table, column, column2, metric, value): each column's mean, its mean within the IQR fences
+    (exact quartiles), and its share of missing cells; two passes for the quartiles and one aggregate for the rest."""
+    cells = {c: F.col(c).cast("double") for c in columns}
+    qs = quantiles(df, cells, [0.25, 0.75])
+    aggs, facts = [], []
+    for i, c in enumerate(columns):
+        q1, q3 = qs[c]
+        v = cells[c]
+        inside = v if q1 is None else F.when(v.between(q1 - FENCE * (q3 - q1), q3 + FENCE * (q3 - q1)), v)
+        aggs += [F.avg(v).alias(f"m{i}"), F.avg(inside).alias(f"f{i}"), (F.count_if(v.isNull()) / F.count("*")).alias(f"s{i}")]
+    row = df.agg(*aggs).first()  # one row
+    for i, c in enumerate(columns):
+        facts += [(table, c, None, "mean", row[f"m{i}"]), (table, c, None, "mean_within_fences", row[f"f{i}"]), (table, c, None, "missing_share", row[f"s{i}"])]
+    return df.sparkSession.createDataFrame(facts, "table string, column string, column2 string, metric string, value double")
+
+
+def more_findings(claims: DataFrame, facts: DataFrame) -> DataFrame:
+    """Warnings of the three remaining finding types, one row per (claim, issue).
+
+    ``claims`` has report, claim, table, column, column2, metric and limited (whether the claim states a limitation;
+    null: no).  ``redundancy``: a claim that says what an earlier claim of its report (smaller ``claim``) said, the same
+    metric of the same columns (in either order).  ``outlier_misinterpretation``: a claimed mean of a column whose mean
+    moves by more than OUTLIER_SHIFT of itself when values beyond the IQR fences are left out (facts ``mean`` and
+    ``mean_within_fences``).  ``missing_limitations``: a claim on a column with more than LIMIT_PCT % missing cells
+    (fact ``missing_share``) that states no limitation.  Facts are of schema size.
+    """
+    c = _ordered_pair(claims)
+    same = Window.partitionBy("report", "table", "_a", "_b", "metric").orderBy("claim")
+    c = c.withColumn("_nth", F.row_number().over(same))
+    f = facts.groupBy("table", F.col("column").alias("_c")).agg(
+        *[F.max(F.when(F.col("metric") == m, F.col("value"))).alias(m) for m in ("mean", "mean_within_fences", "missing_share")]
+    )
+    met = c.join(f, (c["table"] == f["table"]) & (c["column"] == f["_c"]), "left").select(
+        *[c[x] for x in claims.columns], "_nth", "mean", "mean_within_fences", "missing_share"
+    )
+    shift = F.abs(F.col("mean") - F.col("mean_within_fences")) > OUTLIER_SHIFT * F.greatest(F.abs("mean_within_fences"), F.lit(1e-12))
+    issues = F.array(
+        F.when(F.col("_nth") > 1, F.struct(F.lit("repeated_claim").alias("issue_type"), F.lit("redundancy").alias("finding_type"))),
+        F.when((F.col("metric") == "mean") & F.coalesce(shift, F.lit(False)),
+               F.struct(F.lit("outlier_driven").alias("issue_type"), F.lit("outlier_misinterpretation").alias("finding_type"))),
+        F.when((F.col("missing_share") * 100 > LIMIT_PCT) & ~F.coalesce(F.col("limited"), F.lit(False)),
+               F.struct(F.lit("unstated_gap").alias("issue_type"), F.lit("missing_limitations").alias("finding_type"))),
+    )
+    found = met.select(*claims.columns, F.explode(F.filter(issues, lambda x: x.isNotNull())).alias("f"))
+    return found.select(*claims.columns, "f.issue_type", "f.finding_type", F.lit("warn").alias("severity"))
+
+
 def rewrites_from_findings(findings: DataFrame, report: str = "report", insight: str = "claim") -> DataFrame:
     """One rewrite per blocking finding, as rows (report, seq, insight_id, issue_type, fix_instruction)."""
     fix = F.coalesce(*[F.when(F.col("issue_type") == k, F.lit(v)) for k, v in FIXES.items()], F.lit("correct or drop the claim"))

@@ -337,3 +337,19 @@ def test_low_value_insights_as_rows(spark):
     scored, _ = audit.insight_value(df)
     got = sorted((r["report"], r["insight_id"]) for r in audit.low_value_rows(scored).collect())
     assert got == [("r1", "a"), ("r2", "c")]
+
+
+def test_more_findings(spark):
+    rows = [(float(v),) for v in list(range(1, 41)) + [5000.0]] + [(None,)] * 5
+    data = spark.createDataFrame(rows, "x double").withColumn("y", F.lit(1.0))
+    facts = audit.fenced_means(data, ["x", "y"], "t")
+    claims = spark.createDataFrame(
+        [("r", 1, "t", "x", None, "mean", True), ("r", 2, "t", "x", None, "mean", None), ("r", 3, "t", "y", None, "mean", False),
+         ("s", 1, "t", "y", "x", "correlation", False), ("s", 2, "t", "x", "y", "correlation", False)],
+        "report string, claim int, table string, column string, column2 string, metric string, limited boolean",
+    )
+    got = sorted((r["report"], r["claim"], r["finding_type"]) for r in audit.more_findings(claims, facts).collect())
+    assert got == [
+        ("r", 1, "outlier_misinterpretation"), ("r", 2, "missing_limitations"), ("r", 2, "outlier_misinterpretation"),
+        ("r", 2, "redundancy"), ("s", 2, "missing_limitations"), ("s", 2, "redundancy"),
+    ]
