@@ -352,12 +352,17 @@ def join_plan(spark, sf):
     return joins.join_plan(found.withColumn("confidence", F.round("confidence", 6)))
 
 
+# A unique fractional number (a price) is a measure; other id-like columns are keys.
+ROLES = f"""SELECT *, coalesce(id_evidence = 'uniqueness' AND kind = 'number', false) AS unique_measure,
+ coalesce(category = 'id_like' AND NOT (id_evidence = 'uniqueness' AND kind = 'number'), false) AS is_key FROM ({CLASSIFIED})"""
+
+
 @query(
     "auto_plans",
-    f"""SELECT "table", bool_or(category IS DISTINCT FROM 'id_like') AS should_profile,
-    coalesce(string_agg("column", ',' ORDER BY ordinal) FILTER (category = 'id_like'), '') AS id_like,
-    coalesce(string_agg("column", ',' ORDER BY ordinal) FILTER (category IN ('numeric_discrete', 'numeric_continuous')), '') AS corr_columns
-    FROM ({CLASSIFIED}) GROUP BY "table\"""",
+    f"""SELECT "table", bool_or(NOT is_key) AS should_profile,
+    coalesce(string_agg("column", ',' ORDER BY ordinal) FILTER (is_key), '') AS id_like,
+    coalesce(string_agg("column", ',' ORDER BY ordinal) FILTER (NOT is_key AND (category IN ('numeric_discrete', 'numeric_continuous') OR unique_measure)), '') AS corr_columns
+    FROM ({ROLES}) GROUP BY "table\"""",
 )
 def auto_plans(spark, sf):
     plans = profile.plans_from(d.columns_table(tables(spark, sf), samples=0))
@@ -367,7 +372,7 @@ def auto_plans(spark, sf):
 
 @query(
     "auto_profile",
-    f"""SELECT "table", "column", n_missing AS missing_count FROM ({CLASSIFIED}) WHERE category IS DISTINCT FROM 'id_like'""",
+    f"""SELECT "table", "column", n_missing AS missing_count FROM ({ROLES}) WHERE NOT is_key""",
 )
 def auto_profile(spark, sf):
     ts = tables(spark, sf)

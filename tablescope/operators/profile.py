@@ -403,15 +403,33 @@ def full_profile(
     )
 
 
-def plans_from(columns: DataFrame) -> list[TablePlan]:
-    """A plan per table of a columns table (table, column, category): key-like columns are not profiled, number columns
-    that are left are correlated, and a table with nothing left to profile is switched off."""
+def plans_from(columns: DataFrame, relationships: DataFrame | None = None) -> list[TablePlan]:
+    """A plan per table of a columns table (table, column, kind, category, id_evidence), by the evidence for each role.
+
+    A column is a key when it is id-like by its name, when it is id-like by uniqueness and not a fractional number
+    (a price or an amount can be unique and is still a measure), or when it is a side of a kept relationship.  Keys
+    are not profiled; the number columns that are left are correlated; a table with nothing left is switched off.
+    """
     found: dict[str, TablePlan] = {}
-    rows = columns.orderBy("pos", "ordinal").select("table", "column", "category").collect()  # bounded by the schema
+    rows = columns.orderBy("pos", "ordinal").select("table", "column", "kind", "category", "id_evidence").collect()  # bounded by the schema
+    joined: set[tuple[str, str]] = set()
+    if relationships is not None:
+        for r in relationships.select("table_a", "column_a", "table_b", "column_b").collect():  # bounded by the schema
+            joined |= {(r["table_a"], r["column_a"]), (r["table_b"], r["column_b"])}
     for name in dict.fromkeys(r["table"] for r in rows):
-        own = [(r["column"], r["category"]) for r in rows if r["table"] == name]
-        keys = [c for c, k in own if k == "id_like"]
-        numbers = [c for c, k in own if k in ("numeric_discrete", "numeric_continuous")]
+        own = [r for r in rows if r["table"] == name]
+
+        def unique_measure(r) -> bool:
+            return r["id_evidence"] == "uniqueness" and r["kind"] == "number"
+
+        def is_key(r) -> bool:
+            return (r["category"] == "id_like" and not unique_measure(r)) or (name, r["column"]) in joined
+
+        keys = [r["column"] for r in own if is_key(r)]
+        numbers = [
+            r["column"] for r in own
+            if not is_key(r) and (r["category"] in ("numeric_discrete", "numeric_continuous") or unique_measure(r))
+        ]
         found[name] = TablePlan(name, should_profile=len(keys) < len(own), id_like=keys, corr_columns=numbers)
     return list(found.values())
 

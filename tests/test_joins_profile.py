@@ -374,3 +374,23 @@ def test_many_pairs_come_from_one_scan_of_comoments(spark):
             assert r == pytest.approx(expected, abs=1e-9)
     plan = p.correlations(df)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1 and plan.count("Scan ExistingRDD") <= 2
+
+
+def test_plans_keep_measures_and_leave_out_keys(spark):
+    rows = [
+        ("line", 0, 0, "l_orderkey", "integer", "numeric_continuous", None),
+        ("line", 0, 1, "l_extendedprice", "number", "id_like", "uniqueness"),
+        ("line", 0, 2, "l_quantity", "number", "numeric_discrete", None),
+        ("line", 0, 3, "line_id", "integer", "id_like", "name"),
+        ("line", 0, 4, "row_no", "integer", "id_like", "uniqueness"),
+        ("orders", 1, 0, "o_orderkey", "integer", "id_like", "uniqueness"),
+    ]
+    columns = spark.createDataFrame(rows, "table string, pos int, ordinal int, column string, kind string, category string, id_evidence string")
+    plans = {pl.table: pl for pl in p.plans_from(columns)}
+    assert plans["line"].id_like == ["line_id", "row_no"]
+    assert plans["line"].corr_columns == ["l_orderkey", "l_extendedprice", "l_quantity"]
+    related = spark.createDataFrame([("line", "l_orderkey", "orders", "o_orderkey")], "table_a string, column_a string, table_b string, column_b string")
+    plans = {pl.table: pl for pl in p.plans_from(columns, related)}
+    assert plans["line"].id_like == ["l_orderkey", "line_id", "row_no"]
+    assert plans["line"].corr_columns == ["l_extendedprice", "l_quantity"]
+    assert plans["orders"].should_profile is False
