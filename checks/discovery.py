@@ -420,7 +420,7 @@ _NAMES = _union(f"SELECT '{t}' AS t, '{plain(c, t)}' AS c" for t in ALL for c in
     (SELECT t, '"' || t || '":[' || string_agg('"' || c || '"', ',' ORDER BY c) || ']' AS e FROM ({_NAMES}) GROUP BY t)""",
 )
 def fingerprint(spark, sf):
-    return d.schema_fingerprint(d.columns_table(tables(spark, sf), samples=0))
+    return d.schema_fingerprint(d.schema_columns(tables(spark, sf)))
 
 
 WORDS = {
@@ -446,7 +446,7 @@ _WORDS = _union(f"SELECT '{k}' AS domain, '{w}' AS word" for k, ws in WORDS.item
     SELECT CASE WHEN count(*) = 1 THEN max(domain) ELSE 'GENERAL' END AS domain, coalesce(max(votes), 0) AS votes FROM r""",
 )
 def domain(spark, sf):
-    return d.domain_tag(d.columns_table(tables(spark, sf), samples=0))
+    return d.domain_tag(d.schema_columns(tables(spark, sf)))
 
 
 # Theta sketches per column, exact counts only where the error could change a verdict: the same relationships.

@@ -550,6 +550,18 @@ def _json_escape(text: Column) -> Column:
     return F.array_join(F.transform(places, lambda i: one(F.substr(text, i, F.lit(1)))), "")
 
 
+def schema_columns(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table, pos, ordinal, column, kind) of every column, from the schemas alone: nothing is read.  A table without
+    columns has a row with a null column.  Enough for ``schema_fingerprint`` and ``domain_tag``."""
+    spark = next(iter(tables.values())).sparkSession
+    rows = [
+        (name, pos, i, f.name, kind_of(f.dataType))
+        for pos, (name, df) in enumerate(tables.items())
+        for i, f in enumerate(df.schema.fields)
+    ] + [(name, pos, None, None, None) for pos, (name, df) in enumerate(tables.items()) if not df.schema.fields]
+    return spark.createDataFrame(rows, "table string, pos int, ordinal int, column string, kind string")
+
+
 def schema_fingerprint(columns: DataFrame, dataset: str | None = None) -> DataFrame:
     """16 hex digits naming a family of datasets with the same table and column names.
 

@@ -283,3 +283,10 @@ def test_sketch_verdicts_equal_exact_ones_beyond_the_nominal_entries(frame, spar
     assert verdict(got) == verdict(exact)
     for g, e in zip(got, exact):
         assert abs(g["overlap_ratio"] - e["overlap_ratio"]) <= 3 * 2 / 16
+
+
+def test_schema_columns_need_no_pass(frame, spark):
+    ts = {"a": frame("k int, name string", [1, 2], ["x", "y"]), "b": frame("price double", [1.0])}
+    from_schema = d.schema_fingerprint(d.schema_columns(ts)).first()[0]
+    assert from_schema == d.schema_fingerprint(d.columns_table(ts, samples=0)).first()[0]
+    assert [tuple(r) for r in d.schema_columns(ts).collect()] == [("a", 0, 0, "k", "integer"), ("a", 0, 1, "name", "text"), ("b", 1, 0, "price", "number")]
