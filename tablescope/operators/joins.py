@@ -9,7 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import canonical_key, clean, col, is_boolean, is_datetime, is_floating, is_number, required
-from ..plans.skew import ROWS_PER_TASK, can_broadcast, hot_keys, spread_over
+from ..plans.skew import ROWS_PER_TASK, can_broadcast, hot_keys_of, spread_over
 from ..session import ensure_checkpoint_dir
 from ..sources.tables import TableSet
 
@@ -121,7 +121,7 @@ class _Spread:
     def plan(cls, left, right, on, left_key, right_key, how, match, skew, rows_per_task) -> "_Spread | None":
         if skew == "off" or (skew == "auto" and can_broadcast(left, right, how)):
             return None
-        hot_l, hot_r = hot_keys(left, left_key, rows_per_task), hot_keys(right, right_key, rows_per_task)
+        hot_l, hot_r = hot_keys_of([(left, left_key), (right, right_key)], rows_per_task)
         ones = F.lit(1).cast("long")
         both = hot_l.select("_hk", spread_over(F.col("n"), rows_per_task).alias("_a"), ones.alias("_b")).unionByName(
             hot_r.select("_hk", ones.alias("_a"), spread_over(F.col("n"), rows_per_task).alias("_b"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -41,12 +42,24 @@ def hot_keys(df: DataFrame, key: Column, rows_per_task: int = ROWS_PER_TASK) ->
     again with partial counts before the shuffle.  The result has at most rows / rows_per_task keys, whatever the
     table's size; null is one key.  The counts only steer how rows are spread: every row is joined whatever they say.
     """
-    keyed = df.select(key.alias("_hk")).withColumn("_b", F.pmod(F.xxhash64("_hk"), F.lit(BUCKETS)))
-    full = [r["_b"] for r in keyed.groupBy("_b").count().where(F.col("count") > rows_per_task).collect()]
-    if not full:
-        return keyed.select("_hk", F.lit(0).cast("long").alias("n")).limit(0)
-    counted = keyed.where(F.col("_b").isin(full)).groupBy("_hk").agg(F.count("*").alias("n"))
-    return counted.where(F.col("n") > rows_per_task)
+    return hot_keys_of([(df, key)], rows_per_task)[0]
+
+
+def hot_keys_of(sides: list[tuple[DataFrame, Column]], rows_per_task: int = ROWS_PER_TASK) -> list[DataFrame]:
+    """``hot_keys`` of several frames, their buckets counted in one job."""
+    keyed = [df.select(key.alias("_hk")).withColumn("_b", F.pmod(F.xxhash64("_hk"), F.lit(BUCKETS))) for df, key in sides]
+    counts = reduce(DataFrame.unionAll, [k.select(F.lit(i).alias("_s"), "_b") for i, k in enumerate(keyed)])
+    full: dict[int, list[int]] = {}
+    for r in counts.groupBy("_s", "_b").count().where(F.col("count") > rows_per_task).collect():  # <= sides x BUCKETS
+        full.setdefault(r["_s"], []).append(r["_b"])
+    out = []
+    for i, k in enumerate(keyed):
+        if i not in full:
+            out.append(k.select("_hk", F.lit(0).cast("long").alias("n")).limit(0))
+            continue
+        counted = k.where(F.col("_b").isin(full[i])).groupBy("_hk").agg(F.count("*").alias("n"))
+        out.append(counted.where(F.col("n") > rows_per_task))
+    return out
 
 
 def spread_over(rows: Column, rows_per_task: int) -> Column:
