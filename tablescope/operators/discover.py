@@ -114,6 +114,7 @@ def name_candidates(columns: DataFrame) -> DataFrame:
     return (
         a.join(b, (F.col("a.name") == F.col("b.name")) & (F.col("a.pos") < F.col("b.pos")))
         .where(F.col("a.category").isin(JOINABLE))
+        .orderBy("a.pos", "b.pos", "a.name")  # of schema size
         .select(
             F.col("a.table").alias("table_a"),
             F.col("a.column").alias("column_a"),
