@@ -394,3 +394,30 @@ def test_plans_keep_measures_and_leave_out_keys(spark):
     assert plans["line"].id_like == ["l_orderkey", "line_id", "row_no"]
     assert plans["line"].corr_columns == ["l_extendedprice", "l_quantity"]
     assert plans["orders"].should_profile is False
+
+
+@pytest.mark.parametrize("how", HOWS)
+@pytest.mark.parametrize("skew", ["auto", "split"])
+@pytest.mark.parametrize("null_keys", ["match", "drop"])
+def test_keys_with_many_pairs_are_joined_in_cells(spark, monkeypatch, how, skew, null_keys):
+    """Neither side's rows of a key are many, their product is; unmatched rows of other keys stay, whatever the way."""
+    left = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, i) for i in range(90)] + [(4, 4)] * 3
+    right = [(None if i % 2 == 0 else 7 if i % 5 == 0 else i, -i) for i in range(60)] + [(4, -4)] * 2
+    a, b = spark.createDataFrame(left, "k int, v int"), spark.createDataFrame(right, "k long, v int")
+    want = as_rows(j.merge(a, b, "k", how, null_keys, "off"))
+    monkeypatch.setattr(j, "PAIRS_PER_TASK", 100)
+    spread = j._Spread.plan(a, b.withColumnRenamed("k", "_rk"), "k", F.col("k"), F.col("_rk"), {"outer": "full"}.get(how, how), null_keys == "match", skew, 1000)
+    assert {r["_hk"] for r in spread.heavy.collect()} == ({None, 7} if null_keys == "match" else {7})
+    assert as_rows(j.merge(a, b, "k", how, null_keys, skew)) == want
+
+
+def test_no_cell_takes_all_pairs_of_a_key(spark, monkeypatch):
+    monkeypatch.setattr(j, "PAIRS_PER_TASK", 10_000)
+    a = spark.range(2000).select(F.lit(None).cast("long").alias("k"), F.col("id").alias("x"))
+    b = spark.range(500).select(F.lit(None).cast("long").alias("_rk"), F.col("id").alias("y"))
+    spread = j._Spread.plan(a, b, "k", F.col("k"), F.col("_rk"), "full", True, "auto", 2_000_000)
+    assert spread.hot is None and spread.rest(a, F.col("k")).count() == 0
+    pairs = spread.pairs(a, b)
+    cells = [r["count"] for r in pairs.groupBy("_ls").count().collect()]
+    assert sum(cells) == 1_000_000 and len(cells) == 100 and max(cells) < 30_000
+    assert pairs.select("x", "y").distinct().count() == 1_000_000
