@@ -284,13 +284,14 @@ COMOMENT_BYTES = 8 << 30
 FLAT_SHARE = 1e-12
 
 
-def comoments(df: DataFrame, names: list[str], known: dict[str, Moments]) -> DataFrame:
+def comoments(df: DataFrame, names: list[str]) -> DataFrame:
     """Pairwise-complete Pearson r of all pairs of ``names`` (both orders and the diagonal) from one scan.
 
-    Each task multiplies its block of deviations from the means (missing as 0) with the block of presence masks:
-    per pair (a, b) the rows where both are present, the sums of a and of a squared over those rows, and the sum of
-    products: four k x k matrices, which merge by addition.  Each task sends row a of each (and the transposed sums) to
-    a grouped sum by a, so the work after the scan is k groups of (tasks x k) numbers, whatever the number of rows.
+    Each task multiplies its block of deviations (missing as 0) from its first block's means with the block of presence
+    masks: per pair (a, b) the rows where both are present, the sums of a and of a squared over those rows, and the sum
+    of products: four k x k matrices.  Each task sends row a of each (and the transposed sums), and per column its shift,
+    count, sum, least and greatest value, to a grouped sum by a, which moves all sums to the means of the whole columns
+    before it adds them.  So the work after the scan is k groups of (tasks x k) numbers, whatever the number of rows.
     Tasks are merged first (without a shuffle) so that at most COMOMENT_BYTES of partial sums travel.
     """
     import numpy as np
@@ -298,37 +299,67 @@ def comoments(df: DataFrame, names: list[str], known: dict[str, Moments]) -> Dat
     import pyarrow as pa
 
     k = len(names)
-    values = df.select(*[(value_of(df, c) - F.lit(known[c].mean)).cast("double").alias(f"d{i}") for i, c in enumerate(names)])
-    state = 6 * k * k * 8
+    values = df.select(*[value_of(df, c).cast("double").alias(f"d{i}") for i, c in enumerate(names)])
+    pair_sums, column_sums = ("n", "sx", "sy", "qx", "qy", "p"), ("shift", "rows", "total", "least", "most")
+    state = (len(pair_sums) + len(column_sums)) * k * k * 8
     tasks = max(1, min(values.rdd.getNumPartitions(), COMOMENT_BYTES // max(state, 1)))
     values = values.coalesce(tasks)
-    flat_known = np.array([bool(known[c].flat) for c in names])
 
     def scan(batches):
         n = np.zeros((k, k)); s = np.zeros((k, k)); q = np.zeros((k, k)); p = np.zeros((k, k))  # noqa: E702
+        shift, least, most = np.full(k, np.nan), np.full(k, np.inf), np.full(k, -np.inf)
         for batch in batches:
             for at in range(0, batch.num_rows, COMOMENT_ROWS):
                 part = batch.slice(at, COMOMENT_ROWS)
-                x = np.column_stack([part.column(i).to_numpy(zero_copy_only=False).astype(np.float64) for i in range(k)])
+                x = np.empty((k, part.num_rows))
+                for i in range(k):
+                    x[i] = part.column(i).to_numpy(zero_copy_only=False)
                 m = ~np.isnan(x)
-                xz = np.where(m, x, 0.0)
+                least = np.fmin(least, np.fmin.reduce(x, axis=1))
+                most = np.fmax(most, np.fmax.reduce(x, axis=1))
                 mf = m.astype(np.float64)
-                n += mf.T @ mf
-                s += xz.T @ mf
-                q += (xz * xz).T @ mf
-                p += xz.T @ xz
+                fresh = np.isnan(shift)
+                if fresh.any():  # columns without a value so far
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        mean = np.where(m[fresh], x[fresh], 0.0).sum(axis=1) / m[fresh].sum(axis=1)
+                    shift[fresh] = np.where(np.isinf(mean), 0.0, mean)
+                with np.errstate(invalid="ignore"):
+                    xz = np.where(m, x - shift[:, None], 0.0)
+                    n += mf @ mf.T
+                    s += xz @ mf.T
+                    q += (xz * xz) @ mf.T
+                    p += xz @ xz.T
+        shift = np.where(np.isnan(shift), 0.0, shift)
+        rows, total = np.diag(n), np.diag(s)
+        found = {"n": n, "sx": s, "sy": s.T, "qx": q, "qy": q.T, "p": p}
+        found |= {c: np.tile(v, (k, 1)) for c, v in zip(column_sums, (shift, rows, total, least, most), strict=True)}
         yield pa.RecordBatch.from_pydict(
-            {"a": list(range(k)), "n": list(n), "sx": list(s), "sy": list(s.T), "qx": list(q), "qy": list(q.T), "p": list(p)},
-            schema=pa.schema([("a", pa.int32())] + [(c, pa.list_(pa.float64())) for c in ("n", "sx", "sy", "qx", "qy", "p")]),
+            {"a": list(range(k)), **{c: list(v) for c, v in found.items()}},
+            schema=pa.schema([("a", pa.int32())] + [(c, pa.list_(pa.float64())) for c in found]),
         )
 
-    sums = values.mapInArrow(scan, "a int, n array<double>, sx array<double>, sy array<double>, qx array<double>, qy array<double>, p array<double>")
+    sums = values.mapInArrow(scan, ", ".join(["a int", *[f"{c} array<double>" for c in pair_sums + column_sums]]))
 
     def pairs_of(rows: pd.DataFrame) -> pd.DataFrame:
         a = int(rows["a"].iloc[0])
-        t = {c: np.sum(np.stack(rows[c].to_numpy()), axis=0) for c in ("n", "sx", "sy", "qx", "qy", "p")}
-        n = t["n"]
+        of = {c: np.stack(rows[c].to_numpy()) for c in pair_sums + column_sums}
         with np.errstate(divide="ignore", invalid="ignore"):
+            total = of["rows"].sum(axis=0)
+            mean = (of["shift"] * of["rows"] + of["total"]).sum(axis=0) / total
+            mean = np.where(np.isfinite(mean), mean, 0.0)
+            dy = of["shift"] - mean  # what the deviations of a task still lack
+            dx = dy[:, [a]]
+            t = {
+                "n": of["n"],
+                "sx": of["sx"] + dx * of["n"],
+                "sy": of["sy"] + dy * of["n"],
+                "qx": of["qx"] + 2 * dx * of["sx"] + dx * dx * of["n"],
+                "qy": of["qy"] + 2 * dy * of["sy"] + dy * dy * of["n"],
+                "p": of["p"] + dx * of["sy"] + dy * of["sx"] + dx * dy * of["n"],
+            }
+            t = {c: v.sum(axis=0) for c, v in t.items()}
+            n = t["n"]
+            flat_known = ~(of["least"].min(axis=0) < of["most"].max(axis=0))
             cov = t["p"] / n - t["sx"] * t["sy"] / (n * n)
             vx = t["qx"] / n - t["sx"] * t["sx"] / (n * n)
             vy = t["qy"] / n - t["sy"] * t["sy"] / (n * n)
@@ -349,17 +380,17 @@ CORRELATIONS_SCHEMA = "col_x string, col_y string, r double, n long"
 def correlations_of(
     df: DataFrame, pairs: list[tuple[str, str]], known: dict[str, Moments] | None = None
 ) -> DataFrame:
-    """Correlations of the given column pairs: a pass for the means, unless known, and one for the sums."""
+    """Correlations of the given column pairs: a pass for the means, unless known, and one for the sums; one for many pairs."""
     if not pairs:
         return df.sparkSession.createDataFrame([], CORRELATIONS_SCHEMA)
     names = sorted({c for p in pairs for c in p})
     required(df, *names)
-    if known is None:
-        known = moments_from(names, df.agg(*[a.alias(k) for k, a in moment_aggregates(df, names).items()]).first())
     if len(pairs) <= PAIRS_PER_PASS:
+        if known is None:
+            known = moments_from(names, df.agg(*[a.alias(k) for k, a in moment_aggregates(df, names).items()]).first())
         return _pairs_row(df, pairs, known)
-    # more pairs than one aggregate takes: all of them from one scan of co-moment blocks
-    found = comoments(df, names, known)
+    # more pairs than one aggregate takes: all of them, and the means, from one scan of co-moment blocks
+    found = comoments(df, names)
     asked = df.sparkSession.createDataFrame(list(dict.fromkeys(pairs)), "col_x string, col_y string")  # the caller's list
     return found.join(F.broadcast(asked), ["col_x", "col_y"])
 

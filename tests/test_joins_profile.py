@@ -421,3 +421,21 @@ def test_no_cell_takes_all_pairs_of_a_key(spark, monkeypatch):
     cells = [r["count"] for r in pairs.groupBy("_ls").count().collect()]
     assert sum(cells) == 1_000_000 and len(cells) == 100 and max(cells) < 30_000
     assert pairs.select("x", "y").distinct().count() == 1_000_000
+
+
+def test_many_pairs_need_no_pass_for_the_means(spark, monkeypatch):
+    """Tasks whose values lie far apart, a column missing at first, a flat one: all from the one scan."""
+    monkeypatch.setattr(p, "moments_from", lambda *_: pytest.fail("a pass for the means"))
+    rnd = np.random.RandomState(4)
+    data = rnd.normal(size=(400, 25)) + np.repeat([0, 1e6, -1e5, 3e7], 100)[:, None]
+    data[:150, 3] = np.nan
+    data[:, 5] = 0.1
+    frame_ = pd.DataFrame(data, columns=[f"c{i}" for i in range(25)])
+    rows = frame_.astype(object).where(frame_.notna(), None).values.tolist()
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 4), ", ".join(f"c{i} double" for i in range(25)))
+    got = {(r["col_x"], r["col_y"]): (r["r"], r["n"]) for r in p.correlations(df).collect()}
+    want = frame_.corr()
+    assert len(got) == 300
+    for (x, y), (r, n) in got.items():
+        assert n == len(frame_[[x, y]].dropna())
+        assert r is None if "c5" in (x, y) else r == pytest.approx(want.loc[x, y], abs=1e-9)
