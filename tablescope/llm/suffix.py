@@ -300,11 +300,7 @@ def _find_anchors(texts: DataFrame, length: int, parts: int) -> DataFrame:
                     out.append((AGAIN, p, None, None, np.unique(some["hash"][twice]).tobytes()))
                 some, of = some[~twice], of[~twice]
                 if len(some):
-                    used, slot = np.unique(of, return_inverse=True)
-                    head = np.array([len(used), len(some)], np.int64).tobytes()
-                    parts_of = [head, ids[used].tobytes(), slot.astype(np.uint32).tobytes()]
-                    parts_of += [np.ascontiguousarray(some[n]).tobytes() for n in ANCHOR.names]
-                    out.append((ENTRIES, p, None, None, b"".join(parts_of)))
+                    out.append((ENTRIES, p, None, None, _packed(some, of, ids)))
             held.clear()
             owners.clear()
             names.clear()
@@ -341,36 +337,58 @@ def _find_anchors(texts: DataFrame, length: int, parts: int) -> DataFrame:
     return texts.mapInArrow(run, ROWS)
 
 
+def _packed(some: np.ndarray, of: np.ndarray, ids: np.ndarray) -> bytes:
+    """Anchors and the names of their texts as one blob."""
+    used, slot = np.unique(of, return_inverse=True)
+    head = np.array([len(used), len(some)], np.int64).tobytes()
+    parts_of = [head, ids[used].tobytes(), slot.astype(np.uint32).tobytes()]
+    return b"".join(parts_of + [np.ascontiguousarray(some[n]).tobytes() for n in ANCHOR.names])
+
+
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchors, index of the text of each, names of the texts) of a packed blob."""
+    k, n = np.frombuffer(blob, np.int64, 2).tolist()
+    at = 16
+    names = np.frombuffer(blob, np.int64, 2 * k, at).reshape(k, 2)
+    at += 16 * k
+    of = np.frombuffer(blob, np.uint32, n, at).astype(np.int64)
+    at += 4 * n
+    some = np.zeros(n, ANCHOR)
+    for name in ANCHOR.names:
+        some[name] = np.frombuffer(blob, ANCHOR[name], n, at)
+        at += n * ANCHOR[name].itemsize
+    return some, of, names
+
+
 def _shared_anchors(dealt: DataFrame, parts: int) -> DataFrame:
-    """(high, low, blob): the anchors of each text that occur twice or more anywhere."""
+    """(high, low, blob): the anchors of each text that occur twice or more anywhere, one row per text.
+
+    A partition of anchors sends one row to each partition of texts, so that rows do not grow with texts times partitions.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, docs, names, again = [np.zeros(0, ANCHOR)], [np.zeros(0, np.int64)], [], [np.zeros(0, U)]
+        passed, passed_of, passed_names = [np.zeros(0, ANCHOR)], [np.zeros(0, np.int64)], []
         n_names = 0
         for batch in batches:
             kind = batch.column(0).to_numpy()
-            rest = batch.filter(pa.array(kind == OF_DOC))
-            if rest.num_rows:
-                yield rest.select(["high", "low", "blob"])
-            for i in np.flatnonzero(kind != OF_DOC).tolist():
+            for i in range(batch.num_rows):
                 blob = batch.column(4)[i].as_py()
                 if kind[i] == AGAIN:
                     again.append(np.frombuffer(blob, U))
-                    continue
-                k, n = np.frombuffer(blob, np.int64, 2).tolist()
-                at = 16
-                names.append(np.frombuffer(blob, np.int64, 2 * k, at).reshape(k, 2))
-                at += 16 * k
-                docs.append(np.frombuffer(blob, np.uint32, n, at).astype(np.int64) + n_names)
-                at += 4 * n
-                n_names += k
-                some = np.zeros(n, ANCHOR)
-                for name in ANCHOR.names:
-                    some[name] = np.frombuffer(blob, ANCHOR[name], n, at)
-                    at += n * ANCHOR[name].itemsize
-                found.append(some)
+                elif kind[i] == OF_DOC:
+                    passed.append(np.frombuffer(blob, ANCHOR))
+                    passed_of.append(np.full(len(passed[-1]), len(passed_names), np.int64))
+                    passed_names.append((batch.column(2)[i].as_py(), batch.column(3)[i].as_py()))
+                else:
+                    some, of, ids = _unpacked(blob)
+                    found.append(some)
+                    docs.append(of + n_names)
+                    names.append(ids)
+                    n_names += len(ids)
+        some, of, ids = np.concatenate(passed), np.concatenate(passed_of), np.array(passed_names, np.int64).reshape(-1, 2)
         if n_names:
-            everything, doc, ids = np.concatenate(found), np.concatenate(docs), np.concatenate(names)
+            everything, doc, whose = np.concatenate(found), np.concatenate(docs), np.concatenate(names)
             known = np.concatenate(again)
 
             def twice(order: np.ndarray) -> np.ndarray:
@@ -380,15 +398,38 @@ def _shared_anchors(dealt: DataFrame, parts: int) -> DataFrame:
 
             order = twice(np.argsort(everything["hash"], kind="stable"))
             if len(order):  # tasks that met copies of one text found the same anchors
-                order = order[np.lexsort((everything["x"][order], ids[doc[order], 1], ids[doc[order], 0], everything["hash"][order]))]
-                some, who = everything[order], ids[doc[order]]
-                order = order[np.concatenate([[True], (some[1:] != some[:-1]) | (who[1:] != who[:-1]).any(axis=1)])]
+                order = order[np.lexsort((everything["x"][order], whose[doc[order], 1], whose[doc[order], 0], everything["hash"][order]))]
+                known_once, who = everything[order], whose[doc[order]]
+                order = order[np.concatenate([[True], (known_once[1:] != known_once[:-1]) | (who[1:] != who[:-1]).any(axis=1)])]
                 order = twice(order)
-            rows = [r[2:] for r in _of_docs(everything[order], doc[order], ids)]
-            for a in range(0, len(rows), 10_000):
-                yield _batch(rows[a : a + 10_000], ROW_TYPES[2:])
+            some, of = np.concatenate([some, everything[order]]), np.concatenate([of, doc[order] + len(ids)])
+            ids = np.concatenate([ids, whose])
+        if not len(some):
+            return
+        place = (ids[of, 1] & 0x7FFFFFFF) % parts
+        order = np.argsort(place, kind="stable")
+        some, of, place = some[order], of[order], place[order]
+        first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+        for a, e in zip(first.tolist(), [*first[1:].tolist(), len(place)], strict=True):
+            yield _batch([(int(place[a]), _packed(some[a:e], of[a:e], ids))], [ROW_TYPES[1], ROW_TYPES[4]])
+
+    def by_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, docs, names = [np.zeros(0, ANCHOR)], [np.zeros(0, np.int64)], [np.zeros((0, 2), np.int64)]
+        n_names = 0
+        for batch in batches:
+            for blob in batch.column(1).to_pylist():
+                some, of, ids = _unpacked(blob)
+                found.append(some)
+                docs.append(of + n_names)
+                names.append(ids)
+                n_names += len(ids)
+        ids, slot = np.unique(np.concatenate(names), axis=0, return_inverse=True)
+        rows = [r[2:] for r in _of_docs(np.concatenate(found), slot.reshape(-1)[np.concatenate(docs)], ids)]
+        for a in range(0, len(rows), 10_000):
+            yield _batch(rows[a : a + 10_000], ROW_TYPES[2:])
 
-    return dealt.repartition(parts, "part").mapInArrow(run, "high long, low long, blob binary")
+    met = dealt.repartition(parts, "part").mapInArrow(run, "part int, blob binary")
+    return met.repartition(parts, "part").mapInArrow(by_text, "high long, low long, blob binary")
 
 
 RUNS = "kind int, key long, mark long, anchor long, at int, back int, blob binary"
@@ -415,7 +456,7 @@ def _runs(texts: DataFrame, length: int) -> DataFrame:
             keys, marks = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for i in range(batch.num_rows):
                 raw = batch.column(2)[i].as_py().encode("utf-8", "surrogatepass")
-                found = np.unique(np.concatenate([np.frombuffer(b, ANCHOR) for b in batch.column(3)[i].as_py()]))
+                found = np.unique(np.frombuffer(batch.column(3)[i].as_py(), ANCHOR))
                 key, mark = keys[i], marks[i]
                 out = [(TEXT, key, mark, None, None, None, raw)]
                 gone: dict[tuple, list] = {}
@@ -618,9 +659,8 @@ def _judged(docs: DataFrame, key: str, text: str, length: int, as_text: bool) ->
     long = named.where(F.octet_length("text") >= length)
     shared = _shared_anchors(_find_anchors(long.select("digest", "text"), length, parts), parts)
     name = F.lower(F.concat(*[F.lpad(F.hex(c), 16, "0") for c in ("high", "low")]))
-    of_text = shared.groupBy(name.alias("digest")).agg(F.collect_list("blob").alias("blobs"))
-    of_doc = of_text.join(firsts, "digest").select("key", "mark", "blobs")
-    one = long.select("key", "mark", "text").join(of_doc, ["key", "mark"]).dropDuplicates(["key", "mark"]).select("key", "mark", "text", "blobs")
+    of_doc = shared.select(name.alias("digest"), "blob").join(firsts, "digest").select("key", "mark", "blob")
+    one = long.select("key", "mark", "text").join(of_doc, ["key", "mark"]).dropDuplicates(["key", "mark"]).select("key", "mark", "text", "blob")
     runs = written(_runs(one, length), "runs")
     local = runs.where(F.col("kind") == SPANS).select("key", "mark", "blob")
     found = local.unionByName(_later_spans(runs, length, parts))

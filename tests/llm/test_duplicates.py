@@ -267,3 +267,14 @@ def test_a_result_made_before_the_pipeline_survives_it(spark):
     before = jaccard.join(spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, "x y")], "doc_id long, text string"))
     corpus_pipeline.run(spark, SF).count()
     assert sorted(tuple(r) for r in before.select("doc_id", "component_id").collect()) == [(1, 1), (2, 1), (3, 3)]
+
+
+def test_shared_anchors_come_in_one_row_per_text(spark):
+    """However many partitions the anchors are dealt over, and wherever a text's anchors meet others."""
+    rng = random.Random(17)
+    passages = [bytes(rng.choices(range(97, 123), k=300)).decode() for _ in range(12)]
+    texts = ["".join(rng.sample(passages, 6)) + bytes(rng.choices(range(97, 123), k=50)).decode() for _ in range(30)]
+    df = spark.createDataFrame([(hashlib.md5(t.encode()).hexdigest(), t) for t in texts], "digest string, text string").repartition(3)
+    for parts in (1, 40):
+        rows = suffix._shared_anchors(suffix._find_anchors(df, 100, parts), parts).collect()
+        assert len(rows) == len({(r["high"], r["low"]) for r in rows}) == 30
