@@ -439,3 +439,14 @@ def test_many_pairs_need_no_pass_for_the_means(spark, monkeypatch):
     for (x, y), (r, n) in got.items():
         assert n == len(frame_[[x, y]].dropna())
         assert r is None if "c5" in (x, y) else r == pytest.approx(want.loc[x, y], abs=1e-9)
+
+
+def test_many_full_buckets_are_not_listed_one_by_one(spark, monkeypatch):
+    """Tens of thousands of bucket numbers in a plan cost more than the count itself; then all keys are counted."""
+    from tablescope.plans import skew
+
+    df = spark.range(3000).select((F.col("id") % 500).alias("k"))
+    monkeypatch.setattr(skew, "LISTED", 100)
+    found = skew.hot_keys(df, F.col("k"), 4)
+    assert " IN (" not in found._jdf.queryExecution().analyzed().toString() and " INSET " not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["_hk"]: r["n"] for r in found.collect()} == {k: 6 for k in range(500)}
