@@ -423,6 +423,26 @@ def test_no_cell_takes_all_pairs_of_a_key(spark, monkeypatch):
     assert pairs.select("x", "y").distinct().count() == 1_000_000
 
 
+@pytest.mark.parametrize("broadcast", ["-1", "10485760"])
+def test_cells_are_dealt_out_evenly(spark, monkeypatch, broadcast):
+    """Cells of several keys: every partition takes as many, also after the join."""
+    monkeypatch.setattr(j, "PAIRS_PER_TASK", 10_000)
+    key = F.when(F.col("id") % 2 == 0, F.lit(7).cast("long"))
+    a = spark.range(1000).select(key.alias("k"), F.col("id").alias("x"), F.lit("c").alias("_cell"))
+    b = spark.range(500).select(key.alias("_rk"), F.col("id").alias("y"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        spread = j._Spread.plan(a, b, "k", F.col("k"), F.col("_rk"), "full", True, "auto", 2_000_000)
+        for most in (2_000, 7):
+            monkeypatch.setattr(j, "CELL_PARTS", most)
+            pairs = spread.pairs(a, b)
+            parts = [r["n"] for r in pairs.groupBy(F.spark_partition_id()).agg(F.count_distinct("_ls").alias("n")).collect()]
+            assert sum(parts) == spread.cells == 30 and len(parts) == min(most, 30) and max(parts) == math.ceil(30 / len(parts))
+            assert pairs.select("k", "x", "y", "_cell").distinct().count() == 2 * 500 * 250
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_many_pairs_need_no_pass_for_the_means(spark, monkeypatch):
     """Tasks whose values lie far apart, a column missing at first, a flat one: all from the one scan."""
     monkeypatch.setattr(p, "moments_from", lambda *_: pytest.fail("a pass for the means"))
